@@ -4,9 +4,9 @@ Documents keep their order inside a task's split of the input; their tokens form
 one stream, cut into windows (sequences) of at most `length` tokens. Cuts fall
 at document ends, at sentence ends, or, inside sentences longer than `grain`
 tokens, at every `grain` tokens. The plan minimises padding plus a penalty for
-each cut inside a document:
+each cut inside a document and a small one for each window:
 
-    f(j) = penalty(j) + min( min over p_j - p_i <= length of f(i) + length - (p_j - p_i),
+    f(j) = penalty(j) + each + min( min over p_j - p_i <= length of f(i) + length - (p_j - p_i),
                              min over p_j - p_i a power of two of f(i) )
 
 The first minimum is over a sliding window of f(i) + p_i and comes from a
@@ -36,8 +36,9 @@ from .common import arrow_batches, utf8
 
 GRAIN = 256
 BLOCK = 1 << 18
-#: Penalties, in tokens of padding.
-SENTENCE, INSIDE = 4, 64
+#: Penalties, in tokens of padding: a cut at a sentence's end, a cut inside a
+#: sentence, and each sequence (so that few are short).
+SENTENCE, INSIDE, EACH = 2, 64, 4
 #: Distinct words that a worker remembers.
 WORDS = 400_000
 
@@ -98,7 +99,7 @@ def _ids(tok, texts: list[str]) -> list[bytes]:
     return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def plan(at: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
+def plan(at: np.ndarray, penalty: np.ndarray, length: int, each: float = EACH) -> list[int]:
     """Indices of the chosen cuts among the candidates `at` (ascending, at[0] = 0,
     gaps of at most `length`); the first and last candidates are cuts."""
     p, pen = at.tolist(), penalty.tolist()
@@ -117,7 +118,7 @@ def plan(at: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
             i = where.get(x - w)
             if i is not None and f[i] < best:
                 best, b = f[i], i
-        f[j] = best = best + pen[j]
+        f[j] = best = best + pen[j] + each
         back[j] = b
         key = best + x
         while queue and queue[-1][0] >= key:

@@ -1,17 +1,104 @@
-"""The training-data queries: each applies its operator to its whole table."""
+"""The training-data queries: each applies its operator to its whole table.
+
+Results without an entry in `oracle_sql` cannot be expressed in SQL: they hold a
+model's predictions, tokens, sketches or random draws. Tests hold those against
+brute force, exact round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fingerprint, language, media, mixing, ngram_join, packing, quality, sharding, tokencount, urlfilter
 from .common import table
-from .ngram_join import ngram_jaccard_join
+
+#: Where the tokenizers' files are; a parameter of the operators.
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+#: (host and start of the path, verdict)
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: Sites whose pages are listed one by one.
+LISTED_SITES = r"^(www\.)?(spam-farm|adult-x|free-bets)\.example\.(com|net|org)$"
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_language(docs)
+    rows = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.predict_language(rows, model).drop("text")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.grade_quality(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    url = F.col("url")
+    listed = pages.where(urlfilter.url_host(url).rlike(LISTED_SITES)).select(urlfilter.canonical_url(url).alias("canonical"))
+    return urlfilter.filter_urls(pages, listed, URL_RULES)
+
+
+OP7_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r AS (
+  SELECT *, CASE
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+    END AS rule,
+    regexp_matches(host, '^(www\.)?(spam-farm|adult-x|free-bets)\.example\.(com|net|org)$') AS listed
+  FROM u
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
+       listed
+FROM r
+"""
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer(PIECE_BPE))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +108,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    }
+    every = (op1_ngram_jaccard_join, op2_language_id, op3_quality_classifier, op4_document_fingerprints, op5_packing, op6_sharding, op7_url_filters, op8_media_columns, op9_mixing, op10_token_counts, pipeline)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": OP7_SQL}
