@@ -70,9 +70,10 @@ def test_against_brute_force(spark, seed):
 
 def test_long_lists_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIST", 3)
-    monkeypatch.setattr(ngram_join, "BLOCK", 1500)
     rows = corpus(3)
-    assert run(spark, rows) == brute(rows)
+    for block in (1500, 100):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert run(spark, rows) == brute(rows)
 
 
 def test_empty_and_clashing_columns(spark):

@@ -14,12 +14,16 @@ How the work is laid out:
   gives exact results, a count only makes it a good one.
 * Each class posts its prefix shingles. Postings travel packed, one binary
   value per task and bucket of the shingle space.
-* In a bucket, a shingle's posting list of up to `LIST` classes gives pairs that
-  pass the length and positional filters; of longer lists the classes meet in
-  blocks of bounded size, where a link is sought only for what is not yet
-  connected, and only links that connect are returned. No list is dropped.
-* Sets are fetched by one more scan, only for classes that met (a Bloom filter
-  of bounded size keeps out the others; past its bound it only keeps out less).
+* In a bucket, each posting list ties classes that pass the length filter (and
+  the positional one, for lists of two) to one of them: as many ties as entries.
+  Components of these ties are *families*: only inside one can two classes link.
+* A family of up to `BLOCK` shingles meets in one task. Its sets are fetched by one
+  more scan (a Bloom filter of bounded size keeps out the others; past its bound
+  it only keeps out less) and move once. Links are sought only for what is not
+  yet connected, and only links that connect are returned.
+* Of a larger family, pairs and blocks meet list by list: lists of up to `LIST`
+  classes give pairs that pass the length and positional filters, longer ones are
+  cut into blocks of bounded size. No list is dropped.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 fewer words than `n` make one shingle of the whole sequence; repeated rows and
@@ -37,12 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_batches, cut, mix, or_merge, pack, parts, slices, utf8, words
+from .common import U64, arrow_batches, cut, mix, or_merge, pack, parts, slices, unpack, utf8, words
 
 SKETCH_BITS = 20
 SKETCH_SLICES = 16
 #: Longest posting list whose pairs are listed one by one.
-LIST = 12
+LIST = 8
 #: Shingles of all sets that meet in one block of a longer list.
 BLOCK = 2_000_000
 #: Bytes of prefix postings that a task holds before it sends them on.
@@ -112,12 +116,33 @@ def _summary(n: int):
     return run
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes: small values pack well so."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplane(b: bytes, at: int, n: int, kind) -> np.ndarray:
+    k = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * k, at).reshape(k, n).T).view(kind).ravel()
+
+
+def set_bytes(h: np.ndarray) -> bytes:
+    """A set for the way: the first 48 bits of its hashes. Two different
+    shingles of a pair of sets of n meet in them with probability n^2 / 2^48."""
+    return (h >> U64(32)).astype(np.uint32).tobytes() + (h >> U64(16)).astype(np.uint16).tobytes()
+
+
+def set_hashes(b: bytes) -> np.ndarray:
+    n = len(b) // 6
+    return (np.frombuffer(b, np.uint32, n).astype(U64) << U64(32)) | (np.frombuffer(b, np.uint16, n, 4 * n).astype(U64) << U64(16))
+
+
 def least_overlap(x, y, num: int, den: int):
     """Least intersection of sets of x and y elements with Jaccard >= num/den."""
     return -(-num * (x + y) // (num + den))
 
 
-def _postings(n: int, num: int, den: int, rank, buckets: int):
+def _postings(n: int, num: int, den: int, rank, buckets: int, bloom=None, bits: int = 0):
     """Prefix shingles in rare-first order, packed by task and bucket."""
     shift = U64(64 - (buckets - 1).bit_length()) if buckets > 1 else U64(63)
 
@@ -130,7 +155,7 @@ def _postings(n: int, num: int, den: int, rank, buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             tok, cls, length, pos = (np.concatenate(x) for x in zip(*held))
             where = (tok >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(tok), np.int64)
-            o = np.argsort(where, kind="stable")
+            o = np.argsort(tok)
             tok, cls, length, pos, where = tok[o], cls[o], length[o], pos[o], where[o]
             names, code = np.unique(cls, return_inverse=True)
             long = np.zeros(len(names), np.uint32)
@@ -138,15 +163,18 @@ def _postings(n: int, num: int, den: int, rank, buckets: int):
             edge = np.flatnonzero(np.diff(where, prepend=-1))
             for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(where)]):
                 used, own = np.unique(code[i:j], return_inverse=True)
-                blob = b"".join([np.array([len(used), j - i], np.uint32).tobytes(), names[used].tobytes(), long[used].tobytes(), tok[i:j].tobytes(), own.astype(np.uint32).tobytes(), pos[i:j].astype(np.uint32).tobytes()])
+                step = np.diff(tok[i:j], prepend=U64(0))
+                blob = np.array([len(used), j - i], np.uint32).tobytes() + pack(b"".join(_planes(x) for x in (names[used], long[used], step, own.astype(np.uint32), pos[i:j].astype(np.uint32))))
                 yield pa.record_batch([pa.array([int(where[i])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
         for t in batches:
             for _, cls, at, h in shingle_sets(t.column(0), n):
+                if bloom is not None:
+                    cls = np.where(_in_bloom(bloom.value, cls, bits), cls, U64(0))
                 where, rare = at.tolist(), order[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                 for k, c in enumerate(cls.tolist()):
                     m = where[k + 1] - where[k]
-                    if not m or c in seen:
+                    if not m or not c or c in seen:
                         continue
                     if len(seen) < 2_000_000:
                         seen.add(c)
@@ -164,38 +192,72 @@ def _postings(n: int, num: int, den: int, rank, buckets: int):
     return run
 
 
-def _meet(num: int, den: int):
-    """Of a bucket's postings, who meets whom: (gid, cls, heavy). Light groups
-    are a class and those that it may link with; heavy ones are blocks of a
-    long list, to be searched for any link."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        toks, clss, lens, poss = [], [], [], []
-        for blob in t.column("blob"):
-            b = blob.as_buffer()
-            k, m = np.frombuffer(b, np.uint32, 2)
-            names = np.frombuffer(b, U64, k, 8)
-            long = np.frombuffer(b, np.uint32, k, 8 + 8 * k)
-            own = np.frombuffer(b, np.uint32, m, 8 + 12 * k + 8 * m)
-            toks.append(np.frombuffer(b, U64, m, 8 + 12 * k))
-            poss.append(np.frombuffer(b, np.uint32, m, 8 + 12 * k + 12 * m))
-            clss.append(names[own])
-            lens.append(long[own])
-        tok, cls, n, pos = map(np.concatenate, (toks, clss, lens, poss))
-        o = np.argsort(tok, kind="stable")
-        tok = tok[o]
+def _lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's posting lists of two classes or more, each in order of set size:
+    (shingle, class, size, position) of their entries, first entry and length of
+    each list."""
+    toks, clss, lens, poss = [], [], [], []
+    for blob in t.column("blob"):
+        b = blob.as_py()
+        k, m = np.frombuffer(b, np.uint32, 2).tolist()
+        b = unpack(b[8:])
+        names, long, own = _unplane(b, 0, k, U64), _unplane(b, 8 * k, k, np.uint32), _unplane(b, 12 * k + 8 * m, m, np.uint32)
+        toks.append(np.cumsum(_unplane(b, 12 * k, m, U64), dtype=U64))
+        poss.append(_unplane(b, 12 * k + 12 * m, m, np.uint32))
+        clss.append(names[own])
+        lens.append(long[own])
+    tok, cls, n, pos = map(np.concatenate, (toks, clss, lens, poss))
+
+    def shared() -> np.ndarray:
         twin = np.zeros(len(tok), bool)
         twin[1:] = tok[1:] == tok[:-1]
         twin[:-1] |= twin[1:]
-        o, tok = o[twin], tok[twin]
-        cls, n, pos = cls[o], n[o].astype(np.int64), pos[o].astype(np.int64)
-        o = np.lexsort((cls, n, tok))
-        tok, cls, n, pos = tok[o], cls[o], n[o], pos[o]
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
-        tok, cls, n, pos = tok[new], cls[new], n[new], pos[new]
-        edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate([edge, [len(tok)]])) if len(tok) else edge
+        return twin
+
+    o = np.argsort(tok, kind="stable")
+    tok = tok[o]
+    keep = shared()
+    o, tok = o[keep], tok[keep]
+    cls, n, pos = cls[o], n[o].astype(np.int64), pos[o].astype(np.int64)
+    o = np.lexsort((cls, n, tok))
+    tok, cls, n, pos = tok[o], cls[o], n[o], pos[o]
+    new = np.ones(len(tok), bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+    tok, cls, n, pos = tok[new], cls[new], n[new], pos[new]
+    keep = shared()
+    tok, cls, n, pos = tok[keep], cls[keep], n[keep], pos[keep]
+    edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
+    return tok, cls, n, pos, edge, np.diff(np.concatenate([edge, [len(tok)]])) if len(tok) else edge
+
+
+def _families(num: int, den: int):
+    """Edges (a, b) that put any two classes that may link into one family: in each
+    list, a run whose sizes pass the length filter is tied to its first class. As
+    many edges as entries, at most."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        tok, cls, n, pos, edge, size = _lists(t)
+        if not len(tok):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        first = np.zeros(len(tok), bool)
+        first[edge] = True
+        first[1:] |= n[:-1] * den < n[1:] * num
+        two = edge[size == 2]
+        first[two + 1] |= np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) < least_overlap(n[two], n[two + 1], num, den)
+        hub = cls[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        pair = np.unique(np.stack([hub[~first], cls[~first]], 1), axis=0)
+        return pa.table({"a": _signed(np.ascontiguousarray(pair[:, 0])), "b": _signed(np.ascontiguousarray(pair[:, 1]))})
+
+    return run
+
+
+def _meet(num: int, den: int):
+    """Of a bucket's postings, who meets whom in families too large for one
+    block: (gid, cls, heavy). Light groups are a class and those that it may link
+    with; heavy ones are blocks of a longer list, to be searched for any link."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        tok, cls, n, pos, edge, size = _lists(t)
         left, right, gids, members = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)]
         for k in range(2, LIST + 1):
             at = edge[size == k]
@@ -206,7 +268,7 @@ def _meet(num: int, den: int):
                 for j in range(i + 1, k):
                     y = at + j  # not shorter than x
                     need = least_overlap(n[x], n[y], num, den)
-                    ok = (n[x] * den >= n[y] * num) & (1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need)
+                    ok = (n[x] * den >= n[y] * num) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
                     left.append(cls[x[ok]])
                     right.append(cls[y[ok]])
         for i, m in zip(edge[size > LIST].tolist(), size[size > LIST].tolist()):
@@ -220,7 +282,8 @@ def _meet(num: int, den: int):
                     own = cls[i + start[a] : i + stop[a]]
                     if a != b:
                         own = np.concatenate([own, cls[i + start[b] : i + stop[b]]])
-                    gids.append(mix(np.full(len(own), tok[i] + U64((a * 1_000_003 + b) & 0xFFFFFFFF), U64)))
+                    # Lists of the same members are one group, whatever their shingle.
+                    gids.append(np.full(len(own), np.add.reduce(mix(own + U64(0x7F4A7C15 + len(own)))), U64))
                     members.append(own)
         x, y = np.concatenate(left), np.concatenate(right)
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), U64)
@@ -251,25 +314,38 @@ def _bloom(bits: int):
     return run
 
 
+def _in_bloom(flags: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    ok = np.ones(len(x), bool)
+    for at in _bloom_bits(x, bits):
+        ok &= (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return ok
+
+
 def _sets(n: int, bloom, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bloom.value
         seen: set[int] = set()
         for t in batches:
             for _, cls, at, h in shingle_sets(t.column(0), n):
-                ok = cls != 0
-                for x in _bloom_bits(cls, bits):
-                    ok &= (flags[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+                ok = (cls != 0) & _in_bloom(flags, cls, bits)
                 rows = [k for k in np.flatnonzero(ok).tolist() if int(cls[k]) not in seen]
                 rows = list({int(cls[k]): k for k in rows}.values())
                 if rows:
                     if len(seen) < 2_000_000:
                         seen.update(cls[rows].tolist())
-                    yield pa.record_batch([_signed(cls[rows]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary())], names=["cls", "blob"])
+                    yield pa.record_batch([_signed(cls[rows]), pa.array([set_bytes(h[at[k] : at[k + 1]]) for k in rows], pa.binary())], names=["cls", "blob"])
 
     return run
 
 
+def _class_filter(classes: DataFrame):
+    """A Bloom filter of a column of classes, shared with the tasks, and its bits."""
+    spark = classes.sparkSession
+    bits = min(BLOOM_MAX_BITS, max(16, (16 * classes.count()).bit_length()))
+    flags = or_merge(classes.mapInArrow(_bloom(bits), "slice int, blob binary"), "or")
+    return spark.sparkContext.broadcast(flags if len(flags) else np.zeros((1 << bits) // 8, np.uint8)), bits
+
+
 def _star(cls: np.ndarray, sets: list[np.ndarray], hub: int, num: int, den: int) -> np.ndarray:
     """Which sets link with the hub's: length filter, suffix filter, then the
     intersection of what is left."""
@@ -338,7 +414,7 @@ def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int]]:
             cls = [r[1] for r in rows]
-            sets = [np.frombuffer(r[3], U64) for r in rows]
+            sets = [set_hashes(r[3]) for r in rows]
             if rows[0][2]:
                 return [(cls[x], cls[y]) for x, y in _search(cls, sets, num, den)]
             if rows[0][0] not in cls:
@@ -403,14 +479,19 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = light.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = 1 << max(3, int(total * (den - num) / den / BUCKET)).bit_length()
     post = texts.mapInArrow(_postings(n, num, den, rank, buckets), "bucket int, blob binary")
-    met = cut(post.groupBy("bucket").applyInArrow(_meet(num, den), "gid long, cls long, heavy boolean").distinct())
-    some = met.select("cls").distinct()
-    count = some.count()
-    bits = min(BLOOM_MAX_BITS, max(16, (16 * count).bit_length()))
-    flags = or_merge(some.mapInArrow(_bloom(bits), "slice int, blob binary"), "or")
-    if not len(flags):
-        flags = np.zeros((1 << bits) // 8, np.uint8)
-    bloom = spark.sparkContext.broadcast(flags)
+    ties = cut(post.groupBy("bucket").applyInArrow(_families(num, den), "a long, b long").distinct())
+    # A family's sets meet in one block if they fit there.
+    family = components(ties).select(F.col("node").alias("cls"), F.col("label").alias("gid"))
+    family = cut(family.unionByName(family.select(F.col("gid").alias("cls"), "gid").distinct()))
+    size = light.where("cls <> 0").groupBy("cls").agg(F.first("n_shingles").alias("n"))
+    weight = cut(family.join(size, "cls").groupBy("gid").agg(F.sum("n").alias("weight")).where(F.col("weight") > BLOCK))
+    met = family.join(weight.select("gid"), "gid", "left_anti").select("gid", "cls", F.lit(True).alias("heavy"))
+    if weight.count():
+        bloom, bits = _class_filter(family.join(weight, "gid", "left_semi").select("cls"))
+        post = texts.mapInArrow(_postings(n, num, den, rank, buckets, bloom, bits), "bucket int, blob binary")
+        met = met.unionByName(post.groupBy("bucket").applyInArrow(_meet(num, den), "gid long, cls long, heavy boolean").distinct())
+        met = cut(met)
+    bloom, bits = _class_filter(met.select("cls").distinct())
     sets = texts.mapInArrow(_sets(n, bloom, bits), "cls long, blob binary").groupBy("cls").agg(F.first("blob").alias("blob"))
     groups = met.join(sets, "cls").select("gid", "cls", "heavy", "blob")
     found = groups.repartition(parts(spark), "gid", "heavy").sortWithinPartitions("gid", "heavy").mapInArrow(_verify(num, den), "a long, b long")
