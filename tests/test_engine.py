@@ -377,3 +377,19 @@ def test_stream(spark, tmp_path):
     out = scatter_stream(spark, f"file://{tmp_path}/in", df.schema, cfg, id_col="event_id", signal_col="signal", out=f"file://{tmp_path}/out", files_per_batch=1)
     want = {r.event_id: r.coeffs for r in signals.scatter(df, cfg).collect()}
     assert {r.event_id: r.coeffs for r in out.collect()} == want
+
+
+def test_pruned_inverse_has_the_same_bits():
+    class Plain(kernels.NumpyBackend):
+        name = "plain"
+        ifft_subsample = None
+
+    kernels.register_backend("plain", Plain())
+    try:
+        for cfg in (ScatterConfig.two_d(16, 32, 2, 4, ("zero_pad", "circular")), ScatterConfig.one_d(48, 4), ScatterConfig.one_d(64, 6, pad="circular")):
+            plan = Scattering.compile(cfg)
+            for scale in (1, 1e-19, 1e-37):
+                x = (np.random.default_rng(2).normal(size=(3, cfg.signal_len)) * scale).astype(np.float32)
+                assert np.array_equal(plan.run_raw(x).view(np.uint32), plan.run_raw(x, "plain").view(np.uint32))
+    finally:
+        kernels.unregister_backend("plain")

@@ -98,20 +98,24 @@ def _buffers(n: int, kind: np.dtype) -> list[np.ndarray]:
     return _SPACE.planes
 
 
-def fft(re: np.ndarray, im: np.ndarray, inverse: bool = False, always_flush: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Transform along the first axis, in binary32 with flushes or in binary64.
+def fft(re: np.ndarray, im: np.ndarray, inverse: bool = False, always_flush: bool = False, over: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Transform along the first axis, in binary32 with flushes or in binary64. An
+    inverse is divided by `over`, by default the length.
 
     A level runs without flushes where no result of it can be below 2^-126: if all
     nonzero operands are at least 2^-69; if they are at least 2^-36, so does the
     level after it, whose operands are then multiples of 2^-92."""
     n = re.shape[0]
     single = re.dtype == F32
-    if n == 1:
+    if n == 1 and not over:
         return re, im
+    if single:
+        re, im = ftz(re), ftz(im)
+    if n == 1:
+        return _scaled(re, im, over)
     wr, wi = twiddles(n, single, inverse)
     if single:
         wr, wi = ftz(wr), ftz(wi)
-        re, im = ftz(re), ftz(im)
     rest = re[0].size
     xr, xi = re.reshape(n, rest), im.reshape(n, rest)
     planes = _buffers(n * rest, re.dtype)
@@ -153,15 +157,43 @@ def fft(re: np.ndarray, im: np.ndarray, inverse: bool = False, always_flush: boo
                 yi[:, 1] = ftz(mul(er, pi) + mul(ei, pr))
             xr, xi = yr.reshape(n, rest), yi.reshape(n, rest)
             size, stride, turn = half, 2 * stride, 1 - turn
-        if inverse:
-            scale = re.dtype.type(1.0 / n)
-            np.multiply(xr, scale, out=xr)
-            np.multiply(xi, scale, out=xi)
-            if single:
-                xr, xi = ftz(xr), ftz(xi)
+    if inverse:
+        xr, xi = _scaled(xr, xi, over or n)
     return xr.reshape(re.shape), xi.reshape(re.shape)
 
 
+def _scaled(re: np.ndarray, im: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    scale = re.dtype.type(1.0 / n)
+    with np.errstate(all="ignore"):
+        re, im = re * scale, im * scale
+    return (ftz(re), ftz(im)) if re.dtype == F32 else (re, im)
+
+
+def _every(re: np.ndarray, im: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse transform along the first axis at every `step`-th output. These
+    depend on sums only in the first levels, so the rest is left out."""
+    n = re.shape[0]
+    re, im = ftz(re), ftz(im)
+    with np.errstate(all="ignore"):
+        while step > 1:
+            half = len(re) // 2
+            re, im = re[:half] + re[half:], im[:half] + im[half:]
+            if min(least_bits(re), least_bits(im)) < int(_TINY_BITS):
+                re, im = ftz(re), ftz(im)
+            step //= 2
+    return fft(re, im, inverse=True, over=n)
+
+
+def ifft2_subsample(re: np.ndarray, im: np.ndarray, step: tuple[int, int], first: tuple[int, int], out: tuple[int, int]) -> np.ndarray:
+    """`subsample` of the inverse transform, bit for bit, at a fraction of its work."""
+    if re.shape[1] > 1:
+        a, b = _every(*(np.ascontiguousarray(x.swapaxes(0, 1)) for x in (re, im)), step[1])
+        re, im = (np.ascontiguousarray(x.swapaxes(0, 1)) for x in (a, b))
+    if re.shape[0] > 1:
+        re, im = _every(re, im, step[0])
+    return re[first[0] : first[0] + out[0], first[1] : first[1] + out[1]]
+
+
 def fft2(re: np.ndarray, im: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(rows, columns, ...): every row, then every column; an axis of one element
     is not transformed."""
@@ -226,7 +258,7 @@ def subsample(re: np.ndarray, step: tuple[int, int], first: tuple[int, int], out
 
 class Backend(Protocol):
     """Five kernels on canvases (rows, columns, batch); a backend must return the
-    bits that the numpy backend returns."""
+    bits that the numpy backend returns. It may offer `ifft_subsample` as one."""
 
     name: str
     numerics_version: int
@@ -261,6 +293,9 @@ class NumpyBackend:
     def subsample(self, re, step, first, out):
         return subsample(re, step, first, out)
 
+    def ifft_subsample(self, re, im, step, first, out):
+        return ifft2_subsample(re, im, step, first, out)
+
 
 _BACKENDS: dict[str, Backend] = {"cpu": NumpyBackend()}
 
