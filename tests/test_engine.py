@@ -393,3 +393,67 @@ def test_pruned_inverse_has_the_same_bits():
                 assert np.array_equal(plan.run_raw(x).view(np.uint32), plan.run_raw(x, "plain").view(np.uint32))
     finally:
         kernels.unregister_backend("plain")
+
+
+# ------------------------------------------------------------ conformance, certificates
+
+
+def test_cases():
+    from wavemill.plans import conformance as C
+
+    names = C.cases()
+    assert len(names) == 434 and names[0] == "fft1d/n2/forward/uniform"
+    cfg, x = C.scatter_case("scatter/2d/32x32/J2-Q1-L4/circular-circular/so2_relative/o2/uniform")
+    assert cfg.group == "so2_relative" and np.array_equal(x, C.scatter_case("scatter/2d/32x32/J2-Q1-L4/circular-circular/trivial/o2/uniform")[1])
+    for kind in C.MODULUS + C.PATTERNS + ["long_tail", "signed_zero"]:
+        assert C._samples(kind, rng.Stream(1, 1), 4, 8, 2).shape == (32, 2)
+    assert C.first_difference("float32", np.float32([1, 2]).tobytes(), np.nextafter(np.float32([1, 2]), np.float32(9)).tobytes()) == (0, 1)
+    assert C.first_difference("utf8", b"abc", b"abd") == (2, None) and C.first_difference("utf8", b"a", b"a") is None
+
+
+def test_suite_finds_one_unit_in_the_last_place(spark):
+    from wavemill.plans import conformance as C
+
+    class Off(kernels.NumpyBackend):
+        name = "off"
+
+        def modulus(self, re, im):
+            m = super().modulus(re, im)
+            m[0, 0] = np.nextafter(m[0, 0], np.float32(np.inf)) if m.ndim == 3 else m[0, 0]
+            if m.ndim == 1:
+                m = m.copy()
+                m[0] = np.nextafter(m[0], np.float32(np.inf))
+            return m
+
+    want = C.run(spark, ("modulus/", "fft1d/n8/")).cache()
+    same = C.compare(C.run(spark, ("modulus/", "fft1d/n8/")), want)
+    assert same.where("not passed").count() == 0 and same.count() == want.count()
+    kernels.register_backend("off", Off())
+    try:
+        assert C.selftest("off")["failed"] > 0
+    finally:
+        kernels.unregister_backend("off")
+
+
+def test_certificates(tmp_path):
+    import json
+
+    from wavemill.plans import certificate
+
+    plan = Scattering.compile(ScatterConfig.one_d(64, 2, pad="circular"))
+    x = np.random.default_rng(1).normal(size=(2, 64)).astype(np.float32)
+    a, b = provenance.tensor_bytes(x, "float32"), provenance.tensor_bytes(plan.run(x), "float32")
+    m = provenance.scattering_manifest(plan, 2, provenance.oid(a), provenance.oid(b))
+    cert = certificate.issue(m.to_json())
+    assert json.loads(cert)["conformance"]["selftest_result"] == "pass"
+    assert certificate.verify(cert, str(tmp_path)).error
+    (tmp_path / f"{provenance.oid(a)}.bin").write_bytes(a)
+    assert certificate.verify(cert, str(tmp_path)).verified
+    wrong = json.loads(cert)
+    wrong["manifest"]["outputs"][0]["oid"] = "0" * 28
+    got = certificate.verify(json.dumps(wrong), str(tmp_path))
+    assert not got.verified and not got.manifest_hash_ok
+    (tmp_path / f"{provenance.oid(a)}.bin").write_bytes(a[:-1] + b"\x00")
+    assert not certificate.verify(cert, str(tmp_path)).verified
+    with pytest.raises(ValueError):
+        certificate.issue("{}")
