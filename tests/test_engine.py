@@ -454,3 +454,30 @@ def test_certificates(tmp_path):
     assert not certificate.verify(cert, str(tmp_path)).verified
     with pytest.raises(ValueError):
         certificate.issue("{}")
+
+
+def test_session(spark, tmp_path):
+    from wavemill.sources.session import Session, SessionError
+
+    s = Session(spark, f"file://{tmp_path}/s")
+    g = np.random.default_rng(3)
+    cfg = {"J": 3, "dim": 1, "pad": "circular"}
+    runs = [s.compute_scattering(s.put(g.normal(size=(4, 64))), cfg) for _ in range(2)]
+    odd = s.compute_scattering(s.put(50 * g.normal(size=(1, 64))), cfg)
+    assert runs[0]["shape"][0] == 4 and s.runs().count() == 3
+    assert s.reduce(runs[0]["oid"], "log_mean")["shape"] == [4, runs[0]["shape"][1]]
+    with pytest.raises(SessionError):
+        s.reduce(s.put(g.normal(size=(1, 64))))
+    near = s.compare(runs[0]["oid"], k=2)
+    assert len(near["events"]) == 4 and {n["oid"] for e in near["events"] for n in e["neighbours"]} <= {runs[1]["oid"], odd["oid"]}
+    assert s.detect_anomaly(odd["oid"], 1.0, k=2)["events"][0]["flagged"]
+    assert not s.detect_anomaly(runs[0]["oid"], 1.0, k=1)["events"][0]["flagged"]
+    with pytest.raises(SessionError):
+        s.detect_anomaly(odd["oid"], 0.0)
+
+
+def test_api_names():
+    import wavemill.api as api
+
+    for n in "scatter scatter_paths r2 fingerprint fingerprint_clouds dcorr2 synthetic_dataset train_tag calibrate AnomalyIndex bench_report scattering_manifest issue_certificate verify_certificate conformance_selftest oid Session".split():
+        assert hasattr(api, n)
