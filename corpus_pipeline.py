@@ -47,9 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("wm_id"), F.col("copies").alias("wm_copies"))
+    """Rows without an id are not sampled and stay once; rows of the same id are
+    taken equally often."""
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("wm_id")).agg(F.max("copies").alias("wm_copies")).where("wm_copies > 0")
     out = docs.join(copies, F.col("doc_id") == F.col("wm_id"))
-    return out.withColumn("wm_copy", F.explode(F.sequence(F.lit(1), F.col("wm_copies")))).select(*docs.columns)
+    out = out.withColumn("wm_copy", F.explode(F.sequence(F.lit(1), F.col("wm_copies")))).select(*docs.columns)
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
