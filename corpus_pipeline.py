@@ -39,8 +39,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the same id as the one that stays are the same document; of
-    repeated rows one stays. Rows without an id stay."""
+    """Rows of one id are one document and go or stay together. Rows without an id
+    stay."""
     groups = ngram_join.ngram_jaccard_join(docs)
     go = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
