@@ -9,27 +9,34 @@ How the work is laid out:
 
 * Equal word sequences are one *class*; only classes are compared, so a group
   of thousands of copies costs as much as one text.
-* Rare-first needs a global order of the shingles. Their counts over all rows
-  go into a fixed-size sketch (2^20 counters); any order that all tasks share
-  gives exact results, a count only makes it a good one.
-* Each class posts its prefix shingles. Postings travel packed, one binary
-  value per task and bucket of the shingle space.
-* In a bucket, each posting list ties classes that pass the length filter (and
-  the positional one, for lists of two) to one of them: as many ties as entries.
-  Components of these ties are *families*: only inside one can two classes link.
-* A family of up to `BLOCK` shingles meets in one task. Its sets are fetched by one
-  more scan (a Bloom filter of bounded size keeps out the others; past its bound
-  it only keeps out less) and move once. Links are sought only for what is not
-  yet connected, and only links that connect are returned.
+* A scan of the texts sends every class's shingles, sorted, packed as
+  differences and cut into buckets of the shingle space. A bucket counts in how
+  many classes each shingle occurs. A shingle of one class can link nothing and
+  goes no further: only its number stays, as the set's size is known.
+* What is shared returns to its class, again packed. There the set is put in
+  rare-first order: first the shingles of this class alone, then by count and hash.
+  Those of the prefix that are shared are posted; a class whose prefix is its own
+  alone posts nothing and is done.
+* In a bucket, each posting list ties classes that pass the length filter (and the
+  positional one, for lists of two) to one of them: as many ties as entries.
+  Components of these ties are *families*: only inside one can two classes link. A
+  family of up to `BLOCK` shingles meets in one task, where a link is sought only
+  for what is not yet connected, and only links that connect are returned.
 * Of a larger family, pairs and blocks meet list by list: lists of up to `LIST`
   classes give pairs that pass the length and positional filters, longer ones are
   cut into blocks of bounded size. No list is dropped.
+* Verification needs only the shared shingles: those of a class that posted move
+  once. The suffix filter compares the sizes of parts of two sets
+  before they are intersected.
+
+Nothing but sizes reaches the driver, nothing is broadcast.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 fewer words than `n` make one shingle of the whole sequence; repeated rows and
 equal texts link with each other; rows without doc_id take part and have the
-smallest known doc_id of their component. Classes and shingles are 64-bit
-hashes: k distinct texts are wrongly merged with probability about k^2 / 2^65.
+smallest known doc_id of their component. Classes are 64-bit and shingles 48-bit
+hashes: k distinct texts are wrongly merged with probability about k^2 / 2^65, two
+sets of m shingles wrongly share one with probability about m^2 / 2^48.
 """
 
 from __future__ import annotations
@@ -41,19 +48,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_batches, cut, mix, or_merge, pack, parts, slices, unpack, utf8, words
+from .common import U64, arrow_batches, cut, mix, pack, parts, slices, unpack, utf8, words
 
-SKETCH_BITS = 20
-SKETCH_SLICES = 16
 #: Longest posting list whose pairs are listed one by one.
 LIST = 8
-#: Shingles of all sets that meet in one block of a longer list.
+#: Shared shingles of all sets that meet in one block of a longer list.
 BLOCK = 2_000_000
-#: Bytes of prefix postings that a task holds before it sends them on.
-FLUSH = 24 << 20
-#: Prefix postings in a bucket, about.
-BUCKET = 400_000
-BLOOM_MAX_BITS = 26
+#: Shingles that a task holds before it sends them on.
+FLUSH = 4_000_000
+#: Shingles in a bucket, about.
+BUCKET = 3_000_000
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,14 +80,14 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np
             for k in range(n):
                 h = (h ^ w[k : len(w) - n + 1 + k]) * U64(0x9FB21C651E98DF25)
                 h ^= h >> U64(28)
-            h = mix(h)
+            h = mix(h) >> U64(16)
             inside = row[: len(h)] == row[n - 1 :]
             h, own = h[inside], row[: len(h)][inside]
         else:
             h, own = np.zeros(0, U64), np.zeros(0, np.int64)
         short = np.flatnonzero(some & (count < n))
         if len(short):
-            h, own = np.concatenate([h, mix(cls[short] + U64(n))]), np.concatenate([own, short])
+            h, own = np.concatenate([h, mix(cls[short] + U64(n)) >> U64(16)]), np.concatenate([own, short])
             o = np.argsort(own, kind="stable")
             h, own = h[o], own[o]
         bound = np.searchsorted(own, np.arange(b - a + 1))
@@ -92,142 +96,220 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np
         yield a, cls, np.cumsum(lens), (np.concatenate(sets) if sets else np.zeros(0, U64))
 
 
+def least_overlap(x, y, num: int, den: int):
+    """Least intersection of sets of x and y elements with Jaccard >= num/den."""
+    return -(-num * (x + y) // (num + den))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _summary(n: int):
-    """Per row: doc_id, class, size of its set; per task: the count sketch."""
-    size = 1 << SKETCH_BITS
+# Packed tables of a few columns: the first ascending, so that it is stored as
+# differences; all first bytes of a column, then all second bytes, and so on.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(size, np.uint32)
-        for t in batches:
-            ids = t.column(0)
-            for a, cls, at, h in shingle_sets(t.column(1), n):
-                sketch += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
-                m = len(cls)
-                yield pa.record_batch([ids.slice(a, m), _signed(cls), pa.array(np.diff(at)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "cls", "n_shingles", "slice", "blob"])
-        if sketch.any():
-            blobs = [pack(x.tobytes()) for x in np.split(sketch, SKETCH_SLICES)]
-            m = len(blobs)
-            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "cls", "n_shingles", "slice", "blob"])
+_KINDS = {1: np.dtype(np.uint8), 2: np.dtype(np.uint16), 4: np.dtype(np.uint32), 8: np.dtype(U64)}
 
-    return run
 
+def pack_table(*columns: np.ndarray) -> bytes:
+    out = [np.array([len(columns), *(x for c in columns for x in (c.dtype.itemsize, len(c)))], np.uint32).tobytes()]
+    for c in columns:
+        if c.dtype.itemsize == 8:
+            c = np.diff(c, prepend=U64(0))
+        out.append(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes())
+    return pack(b"".join(out))
 
-def _planes(x: np.ndarray) -> bytes:
-    """All first bytes, then all second bytes: small values pack well so."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
+def unpack_table(b: bytes) -> list[np.ndarray]:
+    b = unpack(b)
+    k = int(np.frombuffer(b, np.uint32, 1)[0])
+    head = np.frombuffer(b, np.uint32, 2 * k, 4).tolist()
+    at, out = 4 + 8 * k, []
+    for size, n in zip(head[0::2], head[1::2]):
+        c = np.ascontiguousarray(np.frombuffer(b, np.uint8, n * size, at).reshape(size, n).T).view(_KINDS[size]).ravel()
+        out.append(np.cumsum(c, dtype=U64) if size == 8 else c)
+        at += n * size
+    return out
 
-def _unplane(b: bytes, at: int, n: int, kind) -> np.ndarray:
-    k = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * k, at).reshape(k, n).T).view(kind).ravel()
 
+def _code(x: np.ndarray, n: int) -> np.ndarray:
+    return x.astype(np.uint16 if n <= 1 << 16 else np.uint32)
 
-def set_bytes(h: np.ndarray) -> bytes:
-    """A set for the way: the first 48 bits of its hashes. Two different
-    shingles of a pair of sets of n meet in them with probability n^2 / 2^48."""
-    return (h >> U64(32)).astype(np.uint32).tobytes() + (h >> U64(16)).astype(np.uint16).tobytes()
 
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the 48-bit hashes."""
+    return (h >> U64(48 - (buckets - 1).bit_length())).astype(np.int32) if buckets > 1 else np.zeros(len(h), np.int32)
 
-def set_hashes(b: bytes) -> np.ndarray:
-    n = len(b) // 6
-    return (np.frombuffer(b, np.uint32, n).astype(U64) << U64(32)) | (np.frombuffer(b, np.uint16, n, 4 * n).astype(U64) << U64(16))
 
+def _class_bucket(cls: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(cls) >> U64(64 - (buckets - 1).bit_length())).astype(np.int32) if buckets > 1 else np.zeros(len(cls), np.int32)
 
-def least_overlap(x, y, num: int, den: int):
-    """Least intersection of sets of x and y elements with Jaccard >= num/den."""
-    return -(-num * (x + y) // (num + den))
+
+def _rows(key: str, blobs: dict[int, bytes]) -> pa.Table:
+    return pa.table({key: pa.array(list(blobs), pa.int32()), "blob": pa.array(list(blobs.values()), pa.binary())})
+
+
+# ---------------------------------------------------------------------- stages
 
 
-def _postings(n: int, num: int, den: int, rank, buckets: int, bloom=None, bits: int = 0):
-    """Prefix shingles in rare-first order, packed by task and bucket."""
-    shift = U64(64 - (buckets - 1).bit_length()) if buckets > 1 else U64(63)
+def _light(n: int):
+    """Per row: doc_id, class, size of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            ids = t.column(0)
+            for a, cls, at, _ in shingle_sets(t.column(1), n):
+                yield pa.record_batch([ids.slice(a, len(cls)), _signed(cls), pa.array(np.diff(at))], names=["doc_id", "cls", "n_shingles"])
+
+    return run
+
+
+def _scan(n: int, buckets: int):
+    """Per task and bucket: the shingles of its classes, each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        order = rank.value
 
         def flush() -> Iterator[pa.RecordBatch]:
-            tok, cls, length, pos = (np.concatenate(x) for x in zip(*held))
-            where = (tok >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(tok), np.int64)
-            o = np.argsort(tok)
-            tok, cls, length, pos, where = tok[o], cls[o], length[o], pos[o], where[o]
-            names, code = np.unique(cls, return_inverse=True)
-            long = np.zeros(len(names), np.uint32)
-            long[code] = length
+            tok, cls = np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held])
+            o = np.argsort(tok, kind="stable")
+            tok, cls = tok[o], cls[o]
+            where = _bucket_of(tok, buckets)
             edge = np.flatnonzero(np.diff(where, prepend=-1))
-            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(where)]):
-                used, own = np.unique(code[i:j], return_inverse=True)
-                step = np.diff(tok[i:j], prepend=U64(0))
-                blob = np.array([len(used), j - i], np.uint32).tobytes() + pack(b"".join(_planes(x) for x in (names[used], long[used], step, own.astype(np.uint32), pos[i:j].astype(np.uint32))))
+            for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(tok)]):
+                used, own = np.unique(cls[i:j], return_inverse=True)
+                blob = pack_table(tok[i:j], used, _code(own, len(used)))
                 yield pa.record_batch([pa.array([int(where[i])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
         for t in batches:
             for _, cls, at, h in shingle_sets(t.column(0), n):
-                if bloom is not None:
-                    cls = np.where(_in_bloom(bloom.value, cls, bits), cls, U64(0))
-                where, rare = at.tolist(), order[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+                fresh = np.zeros(len(cls), bool)
                 for k, c in enumerate(cls.tolist()):
-                    m = where[k + 1] - where[k]
-                    if not m or not c or c in seen:
-                        continue
-                    if len(seen) < 2_000_000:
-                        seen.add(c)
-                    p = m - -(-num * m // den) + 1
-                    own = h[where[k] : where[k + 1]]
-                    first = np.argsort(rare[where[k] : where[k + 1]], kind="stable")[:p]
-                    held.append((own[first], np.full(p, c, U64), np.full(p, m, np.uint32), np.arange(p, dtype=np.uint32)))
-                    size += 24 * p
+                    if c and c not in seen:
+                        fresh[k] = True
+                        if len(seen) < 2_000_000:
+                            seen.add(c)
+                lens = np.diff(at)
+                keep = np.repeat(fresh, lens)
+                held.append((h[keep], np.repeat(cls[fresh], lens[fresh])))
+                size += len(held[-1][0])
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
     return run
 
 
-def _lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's posting lists of two classes or more, each in order of set size:
-    (shingle, class, size, position) of their entries, first entry and length of
-    each list."""
-    toks, clss, lens, poss = [], [], [], []
-    for blob in t.column("blob"):
-        b = blob.as_py()
-        k, m = np.frombuffer(b, np.uint32, 2).tolist()
-        b = unpack(b[8:])
-        names, long, own = _unplane(b, 0, k, U64), _unplane(b, 8 * k, k, np.uint32), _unplane(b, 12 * k + 8 * m, m, np.uint32)
-        toks.append(np.cumsum(_unplane(b, 12 * k, m, U64), dtype=U64))
-        poss.append(_unplane(b, 12 * k + 12 * m, m, np.uint32))
-        clss.append(names[own])
-        lens.append(long[own])
-    tok, cls, n, pos = map(np.concatenate, (toks, clss, lens, poss))
-
-    def shared() -> np.ndarray:
+def _shared(classes: int):
+    """Of a bucket, the shingles of two classes or more, dealt out by class."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        toks, clss = [], []
+        for blob in t.column("blob"):
+            tok, used, own = unpack_table(blob.as_py())
+            toks.append(tok)
+            clss.append(used[own])
+        tok, cls = np.concatenate(toks), np.concatenate(clss)
+        o = np.argsort(tok, kind="stable")
+        tok = tok[o]
         twin = np.zeros(len(tok), bool)
         twin[1:] = tok[1:] == tok[:-1]
         twin[:-1] |= twin[1:]
-        return twin
+        tok, cls = tok[twin], cls[o[twin]]
+        o = np.lexsort((cls, tok))
+        tok, cls = tok[o], cls[o]
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+        tok, cls = tok[new], cls[new]
+        if not len(tok):
+            return _rows("part", {})
+        edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        count = np.repeat(np.diff(np.concatenate([edge, [len(tok)]])), np.diff(np.concatenate([edge, [len(tok)]])))
+        two = count > 1
+        tok, cls, count = tok[two], cls[two], count[two]
+        part = _class_bucket(cls, classes)
+        blobs = {}
+        for k in np.unique(part).tolist():
+            mine = part == k
+            used, own = np.unique(cls[mine], return_inverse=True)
+            blobs[k] = pack_table(tok[mine], used, _code(own, len(used)), count[mine].astype(np.uint32))
+        return _rows("part", blobs)
 
-    o = np.argsort(tok, kind="stable")
-    tok = tok[o]
-    keep = shared()
-    o, tok = o[keep], tok[keep]
-    cls, n, pos = cls[o], n[o].astype(np.int64), pos[o].astype(np.int64)
+    return run
+
+
+def _prefixes(num: int, den: int, buckets: int):
+    """Of a part of the classes: each class's shared shingles (ascending), and by
+    bucket the postings of prefixes. Sizes come as rows of (cls, n)."""
+
+    def run(key: tuple, shared: pa.Table, sizes: pa.Table) -> pa.Table:
+        names = {"cls": pa.int64(), "n": pa.int64(), "bucket": pa.int32(), "blob": pa.binary()}
+        toks, clss, counts = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.uint32)]
+        for blob in shared.column("blob"):
+            tok, used, own, count = unpack_table(blob.as_py())
+            toks.append(tok)
+            clss.append(used[own])
+            counts.append(count)
+        tok, cls, count = map(np.concatenate, (toks, clss, counts))
+        known = sizes.column("cls").to_numpy().view(U64)
+        o = np.argsort(known)
+        known, size = known[o], sizes.column("n").to_numpy()[o]
+        # rare-first inside each class
+        o = np.lexsort((tok, count, cls))
+        tok, cls = tok[o], cls[o]
+        edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
+        shares = np.diff(np.concatenate([edge, [len(cls)]])) if len(cls) else edge
+        n = size[np.searchsorted(known, cls[edge])]
+        alone = n - shares
+        reach = n - -(-num * n // den) + 1  # length of the prefix
+        place = np.arange(len(cls)) - np.repeat(edge, shares) + np.repeat(alone, shares)
+        posted = place < np.repeat(reach, shares)
+        out_cls, out_n, out_blob = [], [], []
+        for i, m, size_ in zip(edge[alone < reach].tolist(), shares[alone < reach].tolist(), n[alone < reach].tolist()):
+            h = np.sort(tok[i : i + m])
+            out_cls.append(cls[i])
+            out_n.append(size_)
+            out_blob.append(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+        k = len(out_cls)
+        tables = [pa.table({"cls": _signed(np.array(out_cls, U64)), "n": pa.array(out_n, pa.int64()), "bucket": pa.nulls(k, pa.int32()), "blob": pa.array(out_blob, pa.binary())})]
+        p_tok, p_cls, p_place, p_n = tok[posted], cls[posted], place[posted].astype(np.uint32), np.repeat(n, shares)[posted].astype(np.uint32)
+        o = np.argsort(p_tok, kind="stable")
+        p_tok, p_cls, p_place, p_n = p_tok[o], p_cls[o], p_place[o], p_n[o]
+        where = _bucket_of(p_tok, buckets)
+        cuts = np.flatnonzero(np.diff(where, prepend=-1)).tolist()
+        blobs = [pack_table(p_tok[i:j], *(lambda used, own: (used, _code(own, len(used))))(*np.unique(p_cls[i:j], return_inverse=True)), p_place[i:j], p_n[i:j]) for i, j in zip(cuts, [*cuts[1:], len(p_tok)])]
+        k = len(blobs)
+        tables.append(pa.table({"cls": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "bucket": pa.array(where[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())}))
+        return pa.concat_tables([x.cast(pa.schema(list(names.items()))) for x in tables])
+
+    return run
+
+
+def set_hashes(b: bytes) -> np.ndarray:
+    x = np.zeros((len(b) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return x.view("<u8").ravel().astype(U64)
+
+
+def _lists(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """A bucket's posting lists, each in order of set size: (class, size, position)
+    of their entries, first entry and length of each list."""
+    toks, clss, poss, lens = [], [], [], []
+    for blob in t.column("blob"):
+        tok, used, own, pos, n = unpack_table(blob.as_py())
+        toks.append(tok)
+        clss.append(used[own])
+        poss.append(pos)
+        lens.append(n)
+    tok, cls, pos, n = map(np.concatenate, (toks, clss, poss, lens))
     o = np.lexsort((cls, n, tok))
-    tok, cls, n, pos = tok[o], cls[o], n[o], pos[o]
-    new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
-    tok, cls, n, pos = tok[new], cls[new], n[new], pos[new]
-    keep = shared()
-    tok, cls, n, pos = tok[keep], cls[keep], n[keep], pos[keep]
+    tok, cls, n, pos = tok[o], cls[o], n[o].astype(np.int64), pos[o].astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-    return tok, cls, n, pos, edge, np.diff(np.concatenate([edge, [len(tok)]])) if len(tok) else edge
+    return cls, n, pos, edge, np.diff(np.concatenate([edge, [len(tok)]])) if len(tok) else edge
 
 
 def _families(num: int, den: int):
@@ -236,28 +318,28 @@ def _families(num: int, den: int):
     many edges as entries, at most."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        tok, cls, n, pos, edge, size = _lists(t)
-        if not len(tok):
+        cls, n, pos, edge, size = _lists(t)
+        if not len(cls):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        first = np.zeros(len(tok), bool)
+        first = np.zeros(len(cls), bool)
         first[edge] = True
         first[1:] |= n[:-1] * den < n[1:] * num
         two = edge[size == 2]
         first[two + 1] |= np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) < least_overlap(n[two], n[two + 1], num, den)
         hub = cls[np.flatnonzero(first)[np.cumsum(first) - 1]]
         pair = np.unique(np.stack([hub[~first], cls[~first]], 1), axis=0)
-        return pa.table({"a": _signed(np.ascontiguousarray(pair[:, 0])), "b": _signed(np.ascontiguousarray(pair[:, 1]))})
+        return pa.table({"a": _signed(pair[:, 0]), "b": _signed(pair[:, 1])})
 
     return run
 
 
 def _meet(num: int, den: int):
-    """Of a bucket's postings, who meets whom in families too large for one
+    """Of a bucket's postings, who meets whom where a family is too large for one
     block: (gid, cls, heavy). Light groups are a class and those that it may link
     with; heavy ones are blocks of a longer list, to be searched for any link."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        tok, cls, n, pos, edge, size = _lists(t)
+        cls, n, pos, edge, size = _lists(t)
         left, right, gids, members = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)]
         for k in range(2, LIST + 1):
             at = edge[size == k]
@@ -271,6 +353,7 @@ def _meet(num: int, den: int):
                     ok = (n[x] * den >= n[y] * num) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
                     left.append(cls[x[ok]])
                     right.append(cls[y[ok]])
+        done = set()
         for i, m in zip(edge[size > LIST].tolist(), size[size > LIST].tolist()):
             block = (np.cumsum(n[i : i + m]) - n[i]) // BLOCK
             start = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
@@ -283,8 +366,11 @@ def _meet(num: int, den: int):
                     if a != b:
                         own = np.concatenate([own, cls[i + start[b] : i + stop[b]]])
                     # Lists of the same members are one group, whatever their shingle.
-                    gids.append(np.full(len(own), np.add.reduce(mix(own + U64(0x7F4A7C15 + len(own)))), U64))
-                    members.append(own)
+                    g = int(np.add.reduce(mix(own + U64((0x7F4A7C15 + len(own)) & 0xFFFFFFFF))))
+                    if g not in done:
+                        done.add(g)
+                        gids.append(np.full(len(own), U64(g)))
+                        members.append(own)
         x, y = np.concatenate(left), np.concatenate(right)
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), U64)
         own = np.unique(pair[:, 0])
@@ -296,95 +382,46 @@ def _meet(num: int, den: int):
     return run
 
 
-def _bloom_bits(x: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mix(x + U64(0x51ED270B))
-    return [((h >> U64(s)) & U64((1 << bits) - 1)).astype(np.int64) for s in (0, 19, 37)]
-
-
-def _bloom(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(1 << bits, bool)
-        for t in batches:
-            for at in _bloom_bits(t.column(0).to_numpy().view(U64), bits):
-                flags[at] = True
-        if flags.any():
-            for k, x in enumerate(np.split(np.packbits(flags, bitorder="little"), max(1, (1 << bits) >> 21))):
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pack(x.tobytes())], pa.binary())], names=["slice", "blob"])
-
-    return run
-
-
-def _in_bloom(flags: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
-    ok = np.ones(len(x), bool)
-    for at in _bloom_bits(x, bits):
-        ok &= (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return ok
-
-
-def _sets(n: int, bloom, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = bloom.value
-        seen: set[int] = set()
-        for t in batches:
-            for _, cls, at, h in shingle_sets(t.column(0), n):
-                ok = (cls != 0) & _in_bloom(flags, cls, bits)
-                rows = [k for k in np.flatnonzero(ok).tolist() if int(cls[k]) not in seen]
-                rows = list({int(cls[k]): k for k in rows}.values())
-                if rows:
-                    if len(seen) < 2_000_000:
-                        seen.update(cls[rows].tolist())
-                    yield pa.record_batch([_signed(cls[rows]), pa.array([set_bytes(h[at[k] : at[k + 1]]) for k in rows], pa.binary())], names=["cls", "blob"])
-
-    return run
-
-
-def _class_filter(classes: DataFrame):
-    """A Bloom filter of a column of classes, shared with the tasks, and its bits."""
-    spark = classes.sparkSession
-    bits = min(BLOOM_MAX_BITS, max(16, (16 * classes.count()).bit_length()))
-    flags = or_merge(classes.mapInArrow(_bloom(bits), "slice int, blob binary"), "or")
-    return spark.sparkContext.broadcast(flags if len(flags) else np.zeros((1 << bits) // 8, np.uint8)), bits
-
-
-def _star(cls: np.ndarray, sets: list[np.ndarray], hub: int, num: int, den: int) -> np.ndarray:
+def _star(n: np.ndarray, sets: list[np.ndarray], hub: int, num: int, den: int) -> np.ndarray:
     """Which sets link with the hub's: length filter, suffix filter, then the
-    intersection of what is left."""
-    n = np.array([len(x) for x in sets])
-    m = len(sets[hub])
+    intersection of what is left. n: whole sizes; sets: shared shingles."""
+    m = int(n[hub])
     need = least_overlap(n, m, num, den)
     ok = (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (np.arange(len(sets)) != hub)
     rows = np.flatnonzero(ok)
-    if not len(rows):
-        return rows
+    if not len(rows) or not len(sets[hub]):
+        return rows[:0]
     every = np.concatenate([sets[k] for k in rows])
-    own = np.repeat(np.arange(len(rows)), n[rows])
+    own = np.repeat(np.arange(len(rows)), [len(sets[k]) for k in rows])
     # Suffix filter: parts of the two sets between the same bounds hold at most
     # the smaller part in common.
-    part = np.bincount(own * 16 + (every >> U64(60)).astype(np.int64), minlength=16 * len(rows)).reshape(-1, 16)
-    base = np.bincount((sets[hub] >> U64(60)).astype(np.int64), minlength=16)
+    part = np.bincount(own * 16 + (every >> U64(44)).astype(np.int64), minlength=16 * len(rows)).reshape(-1, 16)
+    base = np.bincount((sets[hub] >> U64(44)).astype(np.int64), minlength=16)
     keep = np.minimum(part, base).sum(1) >= need[rows]
     if not keep.all():
         every, own = every[keep[own]], own[keep[own]]
     at = np.searchsorted(sets[hub], every)
-    at[at == m] = m - 1
+    at[at == len(sets[hub])] = len(sets[hub]) - 1
     common = np.bincount(own, weights=sets[hub][at] == every, minlength=len(rows)).astype(np.int64)
     return rows[common >= need[rows]]
 
 
-def _search(cls: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def _search(n: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect all that any links connect. Each set outside the
     largest component is held against all others, so no link is missed."""
     m = len(sets)
-    n = np.array([len(x) for x in sets])
+    lens = np.array([len(x) for x in sets])
     tok = np.concatenate(sets)
-    own = np.repeat(np.arange(m), n)
+    own = np.repeat(np.arange(m), lens)
+    if not len(tok):
+        return []
     o = np.argsort(tok, kind="stable")
     tok, own = tok[o], own[o]
     name = np.cumsum(np.diff(tok, prepend=tok[:1]) != 0)
     code = np.empty(len(tok), np.int64)
     code[o] = name
     edge = np.searchsorted(name, np.arange(name[-1] + 2))
-    start = np.concatenate([[0], np.cumsum(n)])
+    start = np.concatenate([[0], np.cumsum(lens)])
     label = np.arange(m)
     seen = np.zeros(m, bool)
     links = []
@@ -412,28 +449,30 @@ def _verify(num: int, den: int):
     block. Returns links between classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: list[tuple[int, int, bool, bytes]]) -> list[tuple[int, int]]:
+        def links(rows: list[tuple]) -> list[tuple[int, int]]:
             cls = [r[1] for r in rows]
-            sets = [set_hashes(r[3]) for r in rows]
+            n = np.array([r[3] for r in rows])
+            sets = [set_hashes(r[4]) for r in rows]
             if rows[0][2]:
-                return [(cls[x], cls[y]) for x, y in _search(cls, sets, num, den)]
-            if rows[0][0] not in cls:
-                return []
+                return [(cls[x], cls[y]) for x, y in _search(n, sets, num, den)]
             hub = cls.index(rows[0][0])
-            return [(cls[hub], cls[y]) for y in _star(cls, sets, hub, num, den).tolist()]
+            return [(cls[hub], cls[y]) for y in _star(n, sets, hub, num, den).tolist()]
+
+        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
         group: list = []
         for t in batches:
             out: list[tuple[int, int]] = []
-            for row in zip(*(t.column(k).to_pylist() for k in range(4))):
+            for row in zip(*(t.column(k).to_pylist() for k in range(5))):
                 if group and (group[0][0], group[0][2]) != (row[0], row[2]):
                     out += links(group)
                     group = []
                 group.append(row)
             if out:
-                yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                yield batch(out)
         if group and (out := links(group)):
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            yield batch(out)
 
     return run
 
@@ -461,6 +500,10 @@ def components(edges: DataFrame) -> DataFrame:
         e, was = new, now
 
 
+def _power(x: float) -> int:
+    return 1 << max(0, int(x)).bit_length()
+
+
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """Every row's (id, n_shingles, component_id) under links of Jaccard >=
     num/den between sets of n-word shingles. See the module for nulls, ties and
@@ -468,34 +511,34 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.select("text")
-    both = cut(rows.mapInArrow(_summary(n), "doc_id long, cls long, n_shingles long, slice int, blob binary"))
-    light = both.where("blob is null").select("doc_id", "cls", "n_shingles")
-    sketch = or_merge(both.where("blob is not null").select("slice", "blob"), "sum")
-    if not len(sketch):
-        return light.select(F.col("doc_id").alias(id_col), "n_shingles", F.col("doc_id").alias("component_id"))
-    # Counts to two significant bits: near-equal counts tie, hashes decide.
-    rank = spark.sparkContext.broadcast(np.floor(4 * np.log2(1.0 + sketch)).astype(np.uint8))
-    total = light.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = 1 << max(3, int(total * (den - num) / den / BUCKET)).bit_length()
-    post = texts.mapInArrow(_postings(n, num, den, rank, buckets), "bucket int, blob binary")
-    ties = cut(post.groupBy("bucket").applyInArrow(_families(num, den), "a long, b long").distinct())
+    # A word and its space take at least two bytes, about six on average.
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2, _power(total / 6 / BUCKET))
+    light = cut(rows.mapInArrow(_light(n), "doc_id long, cls long, n_shingles long"))
+    shared = rows.select("text").mapInArrow(_scan(n, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_shared(buckets), "part int, blob binary")
+    sizes = light.where("cls <> 0").groupBy("cls").agg(F.first("n_shingles").alias("n"))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_class_bucket(t.column(0).to_numpy().view(U64), buckets)), *t.columns], names=["part", *t.schema.names])
+
+    sizes = sizes.mapInArrow(parted, "part int, cls long, n long")
+    sets = cut(shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_prefixes(num, den, buckets), "cls long, n long, bucket int, blob binary"))
+    post = sets.where("bucket is not null").select("bucket", "blob").groupBy("bucket")
+    ties = post.applyInArrow(_families(num, den), "a long, b long").distinct()
     # A family's sets meet in one block if they fit there.
     family = components(ties).select(F.col("node").alias("cls"), F.col("label").alias("gid"))
-    family = cut(family.unionByName(family.select(F.col("gid").alias("cls"), "gid").distinct()))
-    size = light.where("cls <> 0").groupBy("cls").agg(F.first("n_shingles").alias("n"))
-    weight = cut(family.join(size, "cls").groupBy("gid").agg(F.sum("n").alias("weight")).where(F.col("weight") > BLOCK))
-    met = family.join(weight.select("gid"), "gid", "left_anti").select("gid", "cls", F.lit(True).alias("heavy"))
-    if weight.count():
-        bloom, bits = _class_filter(family.join(weight, "gid", "left_semi").select("cls"))
-        post = texts.mapInArrow(_postings(n, num, den, rank, buckets, bloom, bits), "bucket int, blob binary")
-        met = met.unionByName(post.groupBy("bucket").applyInArrow(_meet(num, den), "gid long, cls long, heavy boolean").distinct())
-        met = cut(met)
-    bloom, bits = _class_filter(met.select("cls").distinct())
-    sets = texts.mapInArrow(_sets(n, bloom, bits), "cls long, blob binary").groupBy("cls").agg(F.first("blob").alias("blob"))
-    groups = met.join(sets, "cls").select("gid", "cls", "heavy", "blob")
-    found = groups.repartition(parts(spark), "gid", "heavy").sortWithinPartitions("gid", "heavy").mapInArrow(_verify(num, den), "a long, b long")
-    links = cut(found.distinct())
+    family = family.unionByName(family.select(F.col("gid").alias("cls"), "gid").distinct())
+    own = sets.where("bucket is null").select("cls", "n", "blob")
+    weight = family.join(own.select("cls", F.length("blob").alias("bytes")), "cls").groupBy("gid").agg(F.sum("bytes").alias("bytes"))
+    large = cut(weight.where(F.col("bytes") > 6 * BLOCK).select("gid"))
+    met = family.join(large, "gid", "left_anti").select("gid", "cls", F.lit(True).alias("heavy"))
+    if not large.isEmpty():
+        in_large = family.join(large, "gid", "left_semi").select("cls")
+        lists = post.applyInArrow(_meet(num, den), "gid long, cls long, heavy boolean").distinct()
+        met = met.unionByName(lists.join(in_large, "cls", "left_semi").select("gid", "cls", "heavy"))
+    groups = met.join(own, "cls").select("gid", "cls", "heavy", "n", "blob")
+    links = groups.repartition(parts(spark), "gid", "heavy").sortWithinPartitions("gid", "heavy").mapInArrow(_verify(num, den), "a long, b long").distinct()
     # From classes to the smallest doc_id of each.
     rep = light.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     edges = links.join(rep.withColumnRenamed("cls", "a").withColumnRenamed("rep", "ra"), "a").join(rep.withColumnRenamed("cls", "b").withColumnRenamed("rep", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
