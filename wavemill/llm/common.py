@@ -30,13 +30,17 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+_OWN: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster, or one of our own in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="wavemill-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="wavemill-"))
+    return _OWN[0]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import U64, arrow_batches, mix, parts, unpack, utf8
 
 CELLS = 24
-_SALT = [U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0)]
+_SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], U64)
 _POW = np.multiply.accumulate(np.full(1 << 12, U64(0x9E3779B97F4A7C15)))
 
 
@@ -60,7 +60,8 @@ def paragraphs(b: bytes) -> np.ndarray:
 
 
 class Sketch:
-    """`cells` is a multiple of 3; each digest has one cell in each third."""
+    """`cells` is a multiple of 3; each digest has one cell in each third. Sketches
+    of one size and seed subtract cell by cell."""
 
     def __init__(self, digests: np.ndarray, cells: int, seed: int = 0):
         self.cells, self.seed, self.n = cells, seed, len(digests)
@@ -68,21 +69,18 @@ class Sketch:
         self.key = np.zeros(cells, U64)
         self.check = np.zeros(cells, U64)
         if len(digests):
-            self._toggle(digests, np.ones(len(digests), np.int64))
+            self.toggle(digests, np.ones(len(digests), np.int64))
 
-    def _cells_of(self, x: np.ndarray) -> np.ndarray:
+    def toggle(self, x: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """Adds (sign 1) or takes away (-1) digests; returns their cells."""
         third = self.cells // 3
-        return np.concatenate([(mix(x + s + U64(self.seed)) >> U64(20)) % U64(third) + U64(k * third) for k, s in enumerate(_SALT)]).astype(np.int64)
-
-    def _toggle(self, x: np.ndarray, sign: np.ndarray) -> None:
-        at = self._cells_of(x)
-        self.count += np.bincount(at, weights=np.concatenate([sign] * 3), minlength=self.cells).astype(np.int64)
-        o = np.argsort(at, kind="stable")
-        cell = at[o]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        key, check = np.concatenate([x] * 3)[o], np.concatenate([mix(x ^ U64(0x5BF03635))] * 3)[o]
-        self.key[cell[first]] ^= np.bitwise_xor.reduceat(key, first)
-        self.check[cell[first]] ^= np.bitwise_xor.reduceat(check, first)
+        h = mix(x + (_SALT + U64(self.seed))[:, None]) >> U64(32)
+        at = (((h * U64(third)) >> U64(32)).astype(np.int64) + (np.arange(3) * third)[:, None]).ravel()
+        np.add.at(self.count, at, np.concatenate((sign, sign, sign)))
+        np.bitwise_xor.at(self.key, at, np.concatenate((x, x, x)))
+        c = mix(x ^ U64(0x5BF03635))
+        np.bitwise_xor.at(self.check, at, np.concatenate((c, c, c)))
+        return at
 
     def __sub__(self, other: Sketch) -> Sketch:
         out = Sketch(np.zeros(0, U64), self.cells, self.seed)
@@ -91,19 +89,24 @@ class Sketch:
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """(digests that only the left had, only the right), or None."""
-        left, right = [np.zeros(0, U64)], [np.zeros(0, U64)]
-        while True:
-            pure = np.flatnonzero((np.abs(self.count) == 1) & (mix(self.key ^ U64(0x5BF03635)) == self.check))
-            if not len(pure):
-                done = not (self.count.any() or self.key.any() or self.check.any())
-                return (np.concatenate(left), np.concatenate(right)) if done else None
-            x, first = np.unique(self.key[pure], return_index=True)
-            sign = self.count[pure][first]
+        left, right, found = [np.zeros(0, U64)], [np.zeros(0, U64)], 0
+        cand = np.flatnonzero(np.abs(self.count) == 1)
+        while len(cand):
+            key = self.key[cand]
+            pure = mix(key ^ U64(0x5BF03635)) == self.check[cand]
+            x, first = np.unique(key[pure], return_index=True)
+            if not len(x):
+                break
+            sign = self.count[cand[pure][first]]
             left.append(x[sign > 0])
             right.append(x[sign < 0])
-            self._toggle(x, -sign)
-            if sum(map(len, left)) + sum(map(len, right)) > 3 * self.cells:
+            found += len(x)
+            if found > 3 * self.cells:
                 return None
+            touched = self.toggle(x, -sign)
+            cand = touched[np.abs(self.count[touched]) == 1]
+        done = not (self.count.any() or self.key.any() or self.check.any())
+        return (np.concatenate(left), np.concatenate(right)) if done else None
 
     def text(self) -> str:
         """The sketch as text: number of digests, then counts, keys, checks."""
@@ -111,13 +114,19 @@ class Sketch:
         return base64.b64encode(b).decode()
 
 
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[int, int]:
-    """(differing digests of two sets, sketches that it took), each time with
-    four times the cells."""
+def difference(a: np.ndarray, b: np.ndarray, cells: int | None = None) -> tuple[int, int]:
+    """(differing digests of two sets, sketches that it took). The first size
+    suffices for an edit of a third; each further one has four times the cells. The
+    sketches are subtracted as they are built: one holds +a and -b."""
+    cells = cells or max(CELLS, 3 * -(-(len(a) + len(b)) // 6))
+    both = np.concatenate([a, b])
+    sign = np.concatenate([np.ones(len(a), np.int64), np.full(len(b), -1, np.int64)])
     seed = tries = 0
     while True:
         tries += 1
-        got = (Sketch(a, cells, seed) - Sketch(b, cells, seed)).peel()
+        s = Sketch(both[:0], cells, seed)
+        s.toggle(both, sign)
+        got = s.peel()
         if got is not None:
             return len(got[0]) + len(got[1]), tries
         if cells < 6 * (len(a) + len(b)) + 30:
