@@ -88,10 +88,21 @@ def test_word_encoder_equals_the_library(monkeypatch):
     texts = [t or "" for t in TEXTS] + noise(4, 500) + ["Ⅷ K Å ẞ.", "e\u0301.", "\u0301.", "don't. can't, it's."]
     want = [np.array(x, "<u4").tobytes() for x in library_ids(texts)]
     encode, _ = packing._word_encoder(tokenizer(WORD_BPE), 1)
-    assert [encode(t.encode()) for t in texts] == want
+    assert encode([t.encode() for t in texts]) == want and encode([t.encode() for t in texts]) == want
     monkeypatch.setattr(packing, "WORDS", 5)
     encode, _ = packing._word_encoder(tokenizer(WORD_BPE), 1)
-    assert [encode(t.encode()) for t in texts] == want
+    assert [encode([t.encode()])[0] for t in texts] == want
+
+
+def test_merges_equal_the_library():
+    rng = random.Random(6)
+    vowels, rest = "aeiouéèöü", "bcdfghlmnprstvwzßçñ日本"
+    words = ["".join(rng.choice(vowels if k % 2 else rest) for k in range(rng.randrange(1, 30))) for _ in range(3000)] + ["aaaaaaaaaaaaaaaaaaa", "lllllll", "the", "a"]
+    import json
+
+    with open(tokenizer(WORD_BPE), encoding="utf-8") as f:
+        got = packing.Merges(json.load(f)["model"]).encode([w.encode() for w in words])
+    assert got == [np.array(x, "<u4").tobytes() for x in library_ids(words)]
 
 
 def best_cost(at, pen, length, each):

@@ -22,6 +22,7 @@ own; an empty table gives no rows. `sequence_id` is split * 2^32 + number.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,53 +40,191 @@ BLOCK = 1 << 18
 #: Penalties, in tokens of padding: a cut at a sentence's end, a cut inside a
 #: sentence, and each sequence (so that few are short).
 SENTENCE, INSIDE, EACH = 2, 64, 4
-#: Distinct words that a worker remembers.
-WORDS = 400_000
+#: Distinct words that a worker remembers in each of two generations.
+WORDS = 700_000
+
+
+_ENCODERS: dict[tuple[str, int], tuple] = {}
+
+
+def word_encoder(path: str, end_id: int):
+    """One for all tasks of a worker, so that words stay known."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = _word_encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
+class Merges:
+    """Byte-pair merges of many words at once. All words take their best merge in
+    turn (least rank, then leftmost), one in each round."""
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.size = max(vocab.values()) + 1
+        # Printable stand-ins of bytes, as byte-level tokenizers have them.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(shown))}
+        self.inner = np.array([vocab[sign[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[sign[b] + "</w>"] for b in range(256)], np.int64)
+        key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.bits = max(4, (4 * len(key)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, len(key), np.int64)
+        at, left, self.probes = self._place(key), np.arange(len(key)), 0
+        while len(left):  # each takes the next free place after its own
+            self.probes += 1
+            free = self.keys[at[left]] < 0
+            first = np.unique(at[left][free], return_index=True)[1]
+            win = left[free][first]
+            self.keys[at[win]], self.ranks[at[win]] = key[win], win
+            left = np.setdiff1d(left, win)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+        self.none = len(key)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        at = self._place(key)
+        out = np.full(key.shape, self.none, np.int64)
+        todo = np.flatnonzero((a >= 0).ravel() & (b >= 0).ravel())
+        k, at, flat = key.ravel(), at.ravel(), out.ravel()
+        for _ in range(self.probes):
+            if not len(todo):
+                break
+            found = self.keys[at[todo]]
+            hit = found == k[todo]
+            flat[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        return flat.reshape(key.shape)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, in groups of like length."""
+        out: list[bytes] = [b""] * len(words)
+        lens = np.array([len(w) for w in words])
+        order = np.argsort(lens, kind="stable")
+        a = 0
+        while a < len(order):
+            width = int(lens[order[a]]) + 3
+            b = min(a + 20_000, int(np.searchsorted(lens[order], width, "right")))
+            for k, ids in zip(order[a:b].tolist(), self._group([words[i] for i in order[a:b].tolist()])):
+                out[k] = ids
+            a = b
+        return out
+
+    def _group(self, words: list[bytes]) -> list[bytes]:
+        n = np.array([len(w) for w in words])
+        width = int(n.max())
+        data = np.frombuffer(b"".join(words), np.uint8)
+        t = np.full((len(words), width + 1), -1, np.int64)
+        inside = np.arange(width + 1) < n[:, None]
+        t[inside] = self.inner[data]
+        ends = np.cumsum(n) - 1
+        t[np.arange(len(n)), n - 1] = self.last[data[ends]]
+        r = np.concatenate([self.rank(t[:, :-1], t[:, 1:]), np.full((len(words), 1), self.none)], 1)
+        live, cols = np.arange(len(words)), np.arange(width + 1)
+        lt, lr = t, r
+        while True:
+            best = lr.argmin(1)
+            row = np.arange(len(live))
+            rank = lr[row, best]
+            go = rank < self.none
+            if not go.all():
+                t[live[~go]] = lt[~go]
+                live, lt, lr, best, rank = live[go], lt[go], lr[go], best[go], rank[go]
+                row = np.arange(len(live))
+            if not len(live):
+                break
+            lt[row, best] = self.made[rank]
+            src = np.minimum(cols + (cols > best[:, None]), width)
+            lt = np.take_along_axis(lt, src, 1)
+            lr = np.take_along_axis(lr, np.minimum(cols + (cols >= best[:, None]), width), 1)
+            here = lt[row, best]
+            lr[row, best] = self.rank(here, lt[row, np.minimum(best + 1, width)])
+            before = best > 0
+            lr[row[before], best[before] - 1] = self.rank(lt[row[before], best[before] - 1], here[before])
+        keep = t >= 0
+        flat = t[keep].astype("<u4").tobytes()
+        stop = np.cumsum(keep.sum(1)) * 4
+        return [flat[i:j] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist())]
+
+
+def _plain(word: bytes) -> bool:
+    """Letters only, composed and lower-case: one word to the tokenizer, unchanged
+    by its normalizer."""
+    if len(word) > 40:
+        return False
+    if word.isalpha():
+        return True
+    s = word.decode()
+    return s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s)
 
 
 def _word_encoder(path: str, end_id: int):
-    """(ids of a text as little-endian uint32 bytes, is a token a sentence end).
+    """(ids of texts as little-endian uint32 bytes, is a token a sentence end).
 
     White space always separates the tokenizer's words, so a text's ids are
-    those of its parts between ASCII white space; each part is given to the
-    library once and remembered. Lower-casing of A-Z is the tokenizer's own."""
+    those of its parts between ASCII white space; each part is encoded once and
+    remembered: words of letters by `Merges`, all else by the library. Lower-casing
+    of A-Z is the tokenizer's own."""
+    import json
+
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = False
+    with open(path, encoding="utf-8") as f:
+        merges = Merges(json.load(f)["model"])
     known: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
     special = [t.content.lower().encode() for t in tok.get_added_tokens_decoder().values()]
     dots = {m: _ids(tok, [m.decode()])[0] for m in (b".", b",")}
 
-    def learn(parts: list[bytes]) -> None:
-        if len(known) + len(parts) > WORDS:
-            known.clear()
-        ask: dict[bytes, None] = {}
-        tails = []
-        for p in parts:
-            if p[-1:] in dots and p[:-1].isalpha():
+    def learn(parts: set[bytes]) -> None:
+        """Afterwards all parts are known. A full memory becomes the older one, of
+        which the words that still occur are taken over."""
+        nonlocal known, older
+        missing = {p for p in parts if p not in known}
+        if len(known) + 2 * len(missing) > WORDS:
+            known, older = {}, known
+            missing = parts
+        words: set[bytes] = set()
+        other, tails = [], []
+        for p in missing:
+            got = older.get(p)
+            if got is not None:
+                known[p] = got
+                continue
+            tail = p[-1:] in dots and len(p) > 1
+            w = p[:-1] if tail else p
+            if not _plain(w):
+                other.append(p)
+                continue
+            if tail:
                 tails.append(p)
-                if p[:-1] not in known:
-                    ask[p[:-1]] = None
-            else:
-                ask[p] = None
-        known.update(zip(ask, _ids(tok, [p.decode() for p in ask])))
+            got = older.get(w)
+            if got is not None:
+                known[w] = got
+            elif w not in known:
+                words.add(w)
+        ask = list(words)
+        known.update(zip(ask, merges.encode(ask)))
+        known.update(zip(other, _ids(tok, [p.decode() for p in other])))
         for p in tails:
             known[p] = known[p[:-1]] + dots[p[-1:]]
 
-    def encode(data: bytes) -> bytes:
-        low = data.lower()
-        if any(s in low for s in special):  # the library finds these before it splits words
-            return _ids(tok, [data.decode()])[0]
-        parts = low.split()
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            learn([p for p in dict.fromkeys(parts) if p not in known])
-            # A clear() may have dropped words of this very text.
-            missing = [p for p in dict.fromkeys(parts) if p not in known]
-            own = dict(zip(missing, _ids(tok, [p.decode() for p in missing]))) if missing else {}
-            return b"".join([known[p] if p in known else own[p] for p in parts])
+    def encode(texts: list[bytes]) -> list[bytes]:
+        split = []
+        for data in texts:
+            low = data.lower()
+            # The library finds these before it splits words.
+            split.append(None if any(s in low for s in special) else low.split())
+        learn(set().union(*(p for p in split if p is not None)))
+        get = known.__getitem__
+        return [_ids(tok, [data.decode()])[0] if p is None else b"".join(map(get, p)) for data, p in zip(texts, split)]
 
     size = max(max(tok.get_vocab().values()), end_id) + 1
     ends = np.zeros(size, bool)
@@ -143,7 +282,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", *(["ids"] if tokens else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ends = _word_encoder(tokenizer_path, end_id)
+        encode, ends = word_encoder(tokenizer_path, end_id)
         last = np.array([end_id], "<u4").tobytes()
         first_id, made = TaskContext.get().partitionId() << 32, 0
         held: list[tuple[object, bytes, int]] = []  # document, its ids here, those before
@@ -201,8 +340,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         for t in batches:
             data, offs = utf8(t.column(1))
             data = data.tobytes()
-            for k, doc in enumerate(t.column(0).to_pylist()):
-                ids = encode(data[offs[k] : offs[k + 1]]) + last
+            every = encode([data[i:j] for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())])
+            for doc, ids in zip(t.column(0).to_pylist(), every):
+                ids += last
                 total = len(ids) // 4
                 for s in range(0, total, block):
                     piece = ids[4 * s : 4 * (s + block)]
