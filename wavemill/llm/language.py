@@ -77,19 +77,21 @@ class LanguageModel:
         return normed(flags) @ self.weights
 
     @classmethod
-    def fit(cls, flags: np.ndarray, langs: np.ndarray, *, landmarks: int = 192, ridge: float = 1e-3) -> LanguageModel:
+    def fit(cls, bits: np.ndarray, langs: np.ndarray, *, landmarks: int = 192, ridge: float = 1e-3) -> LanguageModel:
+        """bits: (rows, SIZE / 8) packed flags. Rows are unpacked a few at a time;
+        only the landmarks are held as floats."""
         names = tuple(sorted(set(langs.tolist())))
-        x = normed(flags)
+        rows = lambda k: normed(np.unpackbits(bits[k], axis=1))
         # Landmarks in turn from each language.
         turn = np.zeros(len(langs), np.int64)
         for name in names:
             own = langs == name
             turn[own] = np.arange(own.sum())
-        z = x[np.argsort(turn, kind="stable")[:landmarks]]
+        z = rows(np.argsort(turn, kind="stable")[:landmarks])
         val, vec = np.linalg.eigh((z @ z.T).astype(np.float64))
         val = np.where(val > 1e-6 * val.max(), val, np.inf)
         root = (vec / np.sqrt(val)) @ vec.T
-        phi = (x @ z.T).astype(np.float64) @ root
+        phi = np.concatenate([rows(slice(k, k + 128)) @ z.T for k in range(0, len(bits), 128)]).astype(np.float64) @ root
         y = np.where(langs[:, None] == np.array(names)[None, :], 1.0, -1.0)
         # Each language weighs the same, however many rows it has.
         w = (1 / np.maximum((y > 0).sum(0), 1))[np.argmax(y, 1)]
@@ -123,8 +125,8 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if not got:
         return None
     got = sorted(got, key=lambda r: (r.id, r.lang, bytes(r.bits)))
-    flags = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8)).reshape(len(got), SIZE)
-    return LanguageModel.fit(flags, np.array([r.lang for r in got]), landmarks=landmarks)
+    bits = np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), SIZE // 8)
+    return LanguageModel.fit(bits, np.array([r.lang for r in got]), landmarks=landmarks)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

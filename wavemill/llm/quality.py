@@ -125,7 +125,7 @@ def norm(at: np.ndarray) -> np.ndarray:
     return np.maximum(np.diff(at), 1) ** 0.25
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = 6000) -> OrdinalModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = 4000) -> OrdinalModel | None:
     """A model of a bounded sample of rated rows."""
     arrow_batches(docs.sparkSession)
     grade = F.when(F.col(toxic_col) == 1, 0).when(F.col(quality_col) == 1, 2).when(F.col(quality_col) == 0, 1)
