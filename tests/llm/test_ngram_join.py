@@ -89,3 +89,15 @@ def test_repeated_rows(spark):
     rows = [(3, "same words again and again ok"), (3, "same words again and again ok"), (9, "other"), (9, "other")]
     got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [(3, 2, 3), (3, 2, 3), (9, 1, 9), (9, 1, 9)]
+
+
+@pytest.mark.parametrize("size, block", [(8, 2_000_000), (3, 1500), (3, 100), (2, 400)])
+def test_every_link_counts_once(spark, monkeypatch, size, block):
+    monkeypatch.setattr(ngram_join, "LIST", size)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TILE", 3000)
+    rows = corpus(4)
+    sets = {i: set(zip(*(WORD.findall((t or "").translate(LOWER))[k:] for k in range(5)))) or set(map(tuple, [WORD.findall((t or "").translate(LOWER))])) - {()} for i, t in rows}
+    want = {i: sum(j != i and 4 * len(a & b) >= 3 * len(a | b) > 0 for j, b in sets.items()) for i, a in sets.items()}
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), counts=True)
+    assert {r.doc_id: r.n_links for r in got.collect()} == want and max(want.values()) > 20

@@ -3,7 +3,8 @@ and suffix filters, joined on prefix n-grams and verified once per pair.
 
 A text's set is its distinct word shingles. Two texts link when their sets'
 Jaccard similarity reaches the threshold; the result gives each row the
-smallest doc_id that links reach.
+smallest doc_id that links reach and, if asked, the number of rows that it links
+with.
 
 How the work is laid out:
 
@@ -20,14 +21,18 @@ How the work is laid out:
 * In a bucket, each posting list ties classes that pass the length filter (and the
   positional one, for lists of two) to one of them: as many ties as entries.
   Components of these ties are *families*: only inside one can two classes link. A
-  family of up to `BLOCK` shingles meets in one task, where a link is sought only
-  for what is not yet connected, and only links that connect are returned.
+  family of up to `BLOCK` shingles meets in one task, which counts what every two of
+  its sets have in common.
 * Of a larger family, pairs and blocks meet list by list: lists of up to `LIST`
   classes give pairs that pass the length and positional filters, longer ones are
-  cut into blocks of bounded size. No list is dropped.
+  cut into blocks of bounded size. No list is dropped. A pair that meets in several
+  lists counts in that of its first common shingle, rare-first, alone.
 * Verification needs only the shared shingles: those of a class that posted move
   once. The suffix filter compares the sizes of parts of two sets
   before they are intersected.
+* Links are summed where they are found: a task returns for each class how many rows
+  it links with there and one class that it is connected to, so a group of k near
+  copies sends k rows, not its k^2 links. Copies count as often as they occur.
 
 Nothing but sizes reaches the driver, nothing is broadcast.
 
@@ -58,6 +63,10 @@ BLOCK = 2_000_000
 FLUSH = 4_000_000
 #: Shingles in a bucket, about.
 BUCKET = 3_000_000
+#: Cells of a table of common shingles, and entries looked up for it, at a time.
+TILE = 4_000_000
+#: What meets: a whole family, a hub and its candidates, one or two blocks of a list.
+FAMILY, PAIR, LEFT, RIGHT = range(4)
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -243,11 +252,12 @@ def _shared(classes: int):
 
 
 def _prefixes(num: int, den: int, buckets: int):
-    """Of a part of the classes: each class's shared shingles (ascending), and by
-    bucket the postings of prefixes. Sizes come as rows of (cls, n)."""
+    """Of a part of the classes: each class's shared shingles (rare-first) with the
+    number of posted ones, and by bucket the postings of prefixes. Sizes come as rows
+    of (cls, n, w), w being the number of its rows."""
 
     def run(key: tuple, shared: pa.Table, sizes: pa.Table) -> pa.Table:
-        names = {"cls": pa.int64(), "n": pa.int64(), "bucket": pa.int32(), "blob": pa.binary()}
+        names = {"cls": pa.int64(), "n": pa.int64(), "w": pa.int64(), "posted": pa.int64(), "bucket": pa.int32(), "blob": pa.binary()}
         toks, clss, counts = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.uint32)]
         for blob in shared.column("blob"):
             tok, used, own, count = unpack_table(blob.as_py())
@@ -257,25 +267,21 @@ def _prefixes(num: int, den: int, buckets: int):
         tok, cls, count = map(np.concatenate, (toks, clss, counts))
         known = sizes.column("cls").to_numpy().view(U64)
         o = np.argsort(known)
-        known, size = known[o], sizes.column("n").to_numpy()[o]
+        known, size, copies = known[o], sizes.column("n").to_numpy()[o], sizes.column("w").to_numpy()[o]
         # rare-first inside each class
         o = np.lexsort((tok, count, cls))
         tok, cls = tok[o], cls[o]
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
         shares = np.diff(np.concatenate([edge, [len(cls)]])) if len(cls) else edge
-        n = size[np.searchsorted(known, cls[edge])]
+        at = np.searchsorted(known, cls[edge])
+        n, w = size[at], copies[at]
         alone = n - shares
         reach = n - -(-num * n // den) + 1  # length of the prefix
         place = np.arange(len(cls)) - np.repeat(edge, shares) + np.repeat(alone, shares)
         posted = place < np.repeat(reach, shares)
-        out_cls, out_n, out_blob = [], [], []
-        for i, m, size_ in zip(edge[alone < reach].tolist(), shares[alone < reach].tolist(), n[alone < reach].tolist()):
-            h = np.sort(tok[i : i + m])
-            out_cls.append(cls[i])
-            out_n.append(size_)
-            out_blob.append(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-        k = len(out_cls)
-        tables = [pa.table({"cls": _signed(np.array(out_cls, U64)), "n": pa.array(out_n, pa.int64()), "bucket": pa.nulls(k, pa.int32()), "blob": pa.array(out_blob, pa.binary())})]
+        some = alone < reach
+        blobs = [tok[i : i + m].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, m in zip(edge[some].tolist(), shares[some].tolist())]
+        tables = [pa.table({"cls": _signed(cls[edge][some]), "n": n[some], "w": w[some], "posted": np.minimum(reach - alone, shares)[some], "bucket": pa.nulls(len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})]
         p_tok, p_cls, p_place, p_n = tok[posted], cls[posted], place[posted].astype(np.uint32), np.repeat(n, shares)[posted].astype(np.uint32)
         o = np.argsort(p_tok, kind="stable")
         p_tok, p_cls, p_place, p_n = p_tok[o], p_cls[o], p_place[o], p_n[o]
@@ -283,7 +289,7 @@ def _prefixes(num: int, den: int, buckets: int):
         cuts = np.flatnonzero(np.diff(where, prepend=-1)).tolist()
         blobs = [pack_table(p_tok[i:j], *(lambda used, own: (used, _code(own, len(used))))(*np.unique(p_cls[i:j], return_inverse=True)), p_place[i:j], p_n[i:j]) for i, j in zip(cuts, [*cuts[1:], len(p_tok)])]
         k = len(blobs)
-        tables.append(pa.table({"cls": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "bucket": pa.array(where[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())}))
+        tables.append(pa.table({**{c: pa.nulls(k, pa.int64()) for c in ("cls", "n", "w", "posted")}, "bucket": pa.array(where[cuts], pa.int32()), "blob": pa.array(blobs, pa.binary())}))
         return pa.concat_tables([x.cast(pa.schema(list(names.items()))) for x in tables])
 
     return run
@@ -335,12 +341,13 @@ def _families(num: int, den: int):
 
 def _meet(num: int, den: int):
     """Of a bucket's postings, who meets whom where a family is too large for one
-    block: (gid, cls, heavy). Light groups are a class and those that it may link
-    with; heavy ones are blocks of a longer list, to be searched for any link."""
+    block: (gid, cls, kind, at). PAIR groups are a class and those that it may link
+    with; LEFT and RIGHT ones are a block, or two, of a longer list. `at` is the place
+    of the list's shingle in a set (the hub's, for pairs)."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         cls, n, pos, edge, size = _lists(t)
-        left, right, gids, members = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)]
+        left, right, first = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for k in range(2, LIST + 1):
             at = edge[size == k]
             if not len(at):
@@ -351,9 +358,19 @@ def _meet(num: int, den: int):
                     y = at + j  # not shorter than x
                     need = least_overlap(n[x], n[y], num, den)
                     ok = (n[x] * den >= n[y] * num) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
-                    left.append(cls[x[ok]])
-                    right.append(cls[y[ok]])
-        done = set()
+                    a, b = cls[x[ok]], cls[y[ok]]
+                    left.append(np.minimum(a, b))
+                    right.append(np.maximum(a, b))
+                    first.append(np.where(a < b, pos[x[ok]], pos[y[ok]]))
+        x, y, at = map(np.concatenate, (left, right, first))
+        o = np.lexsort((at, y, x))
+        x, y, at = x[o], y[o], at[o]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        x, y, at = x[new], y[new], at[new]
+        hub = np.unique(x)
+        gids, members, kinds, places = [x, hub], [y, hub], [np.full(len(x) + len(hub), PAIR)], [at, np.zeros(len(hub), np.int64)]
+        best: dict[int, tuple] = {}
         for i, m in zip(edge[size > LIST].tolist(), size[size > LIST].tolist()):
             block = (np.cumsum(n[i : i + m]) - n[i]) // BLOCK
             start = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
@@ -362,22 +379,21 @@ def _meet(num: int, den: int):
                 for b in range(a, len(start)):
                     if a != b and n[i + stop[a] - 1] * den < n[i + start[b]] * num:
                         continue
-                    own = cls[i + start[a] : i + stop[a]]
+                    own = np.arange(i + start[a], i + stop[a])
+                    kind = np.full(len(own), LEFT)
                     if a != b:
-                        own = np.concatenate([own, cls[i + start[b] : i + stop[b]]])
-                    # Lists of the same members are one group, whatever their shingle.
-                    g = int(np.add.reduce(mix(own + U64((0x7F4A7C15 + len(own)) & 0xFFFFFFFF))))
-                    if g not in done:
-                        done.add(g)
-                        gids.append(np.full(len(own), U64(g)))
-                        members.append(own)
-        x, y = np.concatenate(left), np.concatenate(right)
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), U64)
-        own = np.unique(pair[:, 0])
-        gid = np.concatenate([pair[:, 0], own, *gids])
-        mem = np.concatenate([pair[:, 1], own, *members])
-        heavy = np.arange(len(gid)) >= len(pair) + len(own)
-        return pa.table({"gid": _signed(gid), "cls": _signed(mem), "heavy": pa.array(heavy)})
+                        own = np.concatenate([own, np.arange(i + start[b], i + stop[b])])
+                        kind = np.concatenate([kind, np.full(len(own) - len(kind), RIGHT)])
+                    # Lists of the same members are one group, at their first shingle.
+                    g = int(np.add.reduce(mix(cls[own] + mix(kind.astype(U64) + U64(len(own))))))
+                    if g not in best or pos[own[0]] < pos[best[g][0][0]]:
+                        best[g] = own, kind
+        for g, (own, kind) in best.items():
+            gids.append(np.full(len(own), U64(g)))
+            members.append(cls[own])
+            kinds.append(kind)
+            places.append(pos[own])
+        return pa.table({"gid": _signed(np.concatenate(gids)), "cls": _signed(np.concatenate(members)), "kind": pa.array(np.concatenate(kinds), pa.int32()), "at": pa.array(np.concatenate(places), pa.int64())})
 
     return run
 
@@ -406,66 +422,105 @@ def _star(n: np.ndarray, sets: list[np.ndarray], hub: int, num: int, den: int) -
     return rows[common >= need[rows]]
 
 
-def _search(n: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all that any links connect. Each set outside the
-    largest component is held against all others, so no link is missed."""
+class _Common:
+    """How much any two of some sets have in common. What a good part of the sets hold
+    is multiplied as a matrix, the rest is looked up in lists."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.m = m = len(sets)
+        lens = np.array([len(x) for x in sets])
+        tok, row = np.concatenate(sets), np.repeat(np.arange(m), lens)
+        o = np.argsort(tok, kind="stable")
+        name = np.cumsum(np.diff(tok[o], prepend=tok[o][:1]) != 0)
+        code = np.empty(len(tok), np.int64)
+        code[o] = name
+        size = np.bincount(name)
+        wide = 8 * size >= max(m, 32) if len(size) else np.zeros(0, bool)
+        mine = wide[code]
+        self.wide = np.zeros((m, int(wide.sum())), np.float32)
+        self.wide[row[mine], (np.cumsum(wide) - 1)[code[mine]]] = 1
+        few = ~wide[name]
+        self.own = row[o][few]  # members of the lists, one after the other
+        size = np.where(wide, 0, size)
+        self.start, self.size = np.cumsum(size) - size, size
+        self.code, self.at = code[~mine], np.concatenate([[0], np.cumsum(np.bincount(row[~mine], minlength=m))])
+        self.cost = m + np.bincount(row[~mine], weights=size[self.code], minlength=m).astype(np.int64)
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """(b - a, sets): of sets a to b."""
+        out = (self.wide[a:b] @ self.wide.T).astype(np.int64)
+        c = self.code[self.at[a] : self.at[b]]
+        if len(c):
+            size = self.size[c]
+            flat = np.repeat(self.start[c] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            row = np.repeat(np.repeat(np.arange(b - a), np.diff(self.at[a : b + 1])), size)
+            out += np.bincount(row * self.m + self.own[flat], minlength=out.size).reshape(out.shape)
+        return out
+
+
+def _search(n: np.ndarray, w: np.ndarray, sets: list[np.ndarray], num: int, den: int, before: list[np.ndarray] | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(links, label) of each set: links with how many rows, and the set that names
+    its component. With `before`, only pairs without a common element there count;
+    with two sides, only pairs across."""
     m = len(sets)
-    lens = np.array([len(x) for x in sets])
-    tok = np.concatenate(sets)
-    own = np.repeat(np.arange(m), lens)
-    if not len(tok):
-        return []
-    o = np.argsort(tok, kind="stable")
-    tok, own = tok[o], own[o]
-    name = np.cumsum(np.diff(tok, prepend=tok[:1]) != 0)
-    code = np.empty(len(tok), np.int64)
-    code[o] = name
-    edge = np.searchsorted(name, np.arange(name[-1] + 2))
-    start = np.concatenate([[0], np.cumsum(lens)])
-    label = np.arange(m)
-    seen = np.zeros(m, bool)
-    links = []
-    while True:
-        main = np.bincount(label).argmax()
-        todo = np.flatnonzero(~seen & (label != main))
-        if not len(todo):
-            return links
-        x = int(todo[0]) if seen.any() else int(main)
-        seen[x] = True
-        c = code[start[x] : start[x + 1]]
-        a, b = edge[c], edge[c + 1]
-        size = b - a
-        flat = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        common = np.bincount(own[flat], minlength=m)
-        hit = np.flatnonzero(common >= least_overlap(n, n[x], num, den))
-        for y in hit.tolist():
-            if label[y] != label[x]:
-                links.append((x, y))
-                label[label == label[y]] = label[x]
+    common, early = _Common(sets), _Common(before) if before else None
+    links, label = np.zeros(m, np.int64), np.arange(m)
+    cost = np.cumsum(common.cost + (early.cost if early else 0))
+    edge = np.flatnonzero(np.diff(cost // TILE, prepend=-1))
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), m]):
+        hit = common.rows(a, b) >= least_overlap(n[a:b, None], n[None, :], num, den)
+        hit &= np.arange(m) > np.arange(a, b)[:, None]
+        if side is not None:
+            hit &= side != side[a:b, None]
+        if early and hit.any():
+            hit &= early.rows(a, b) == 0
+        x, y = np.nonzero(hit)
+        x += a
+        np.add.at(links, x, w[y])
+        np.add.at(links, y, w[x])
+        while len(x := x[new := label[x] != label[y]]):
+            y = y[new]
+            met = np.unique(label[[x[0], *y[x == x[0]]]])
+            label[np.isin(label, met)] = met[0]
+    return links, label
 
 
 def _verify(num: int, den: int):
-    """Rows come sorted by group; a group is a hub with its candidates, or a
-    block. Returns links between classes."""
+    """Rows come sorted by group; a group is a whole family, a hub with its
+    candidates, or one or two blocks of a list. Returns (a, b, links): class a links
+    with so many rows here and is connected to class b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: list[tuple]) -> list[tuple[int, int]]:
-            cls = [r[1] for r in rows]
-            n = np.array([r[3] for r in rows])
-            sets = [set_hashes(r[4]) for r in rows]
-            if rows[0][2]:
-                return [(cls[x], cls[y]) for x, y in _search(n, sets, num, den)]
-            hub = cls.index(rows[0][0])
-            return [(cls[hub], cls[y]) for y in _star(n, sets, hub, num, den).tolist()]
-
-        def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        def links(rows: list[tuple]) -> list[tuple[int, int, int]]:
+            if len(rows) < 2:
+                return []
+            gid, cls, kind, at, n, w, posted, blob = zip(*rows)
+            at, n, w = np.array(at), np.array(n), np.array(w)
+            ranked = [set_hashes(b) for b in blob]
+            alone = n - np.array([len(x) for x in ranked])
+            if kind[0] == PAIR:
+                hub = cls.index(gid[0])
+                out = []
+                for y in _star(n, [np.sort(x) for x in ranked], hub, num, den).tolist():
+                    mine = ranked[hub][: posted[hub]]
+                    if alone[hub] + np.isin(mine, ranked[y][: posted[y]]).argmax() == at[y]:
+                        out += [(cls[hub], cls[y], int(w[y])), (cls[y], cls[hub], int(w[hub]))]
+                return out
+            if kind[0] == FAMILY:
+                found, label = _search(n, w, ranked, num, den)
+            else:
+                side = np.array(kind)
+                found, label = _search(n, w, ranked, num, den, [x[:k] for x, k in zip(ranked, at - alone)], side if side[0] != side[-1] else None)
+            return [(cls[x], cls[label[x]], int(found[x])) for x in np.flatnonzero(found).tolist()]
+
+        def batch(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "links"])
 
         group: list = []
         for t in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(t.column(k).to_pylist() for k in range(5))):
-                if group and (group[0][0], group[0][2]) != (row[0], row[2]):
+            out: list[tuple[int, int, int]] = []
+            for row in zip(*(t.column(k).to_pylist() for k in range(8))):
+                if group and (group[0][0], min(group[0][2], LEFT)) != (row[0], min(row[2], LEFT)):
                     out += links(group)
                     group = []
                 group.append(row)
@@ -504,10 +559,11 @@ def _power(x: float) -> int:
     return 1 << max(0, int(x)).bit_length()
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4, counts: bool = False) -> DataFrame:
     """Every row's (id, n_shingles, component_id) under links of Jaccard >=
-    num/den between sets of n-word shingles. See the module for nulls, ties and
-    empty texts."""
+    num/den between sets of n-word shingles; with `counts` also n_links, the number
+    of other rows that it links with. See the module for nulls, ties and empty
+    texts."""
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -516,33 +572,37 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     buckets = max(2, _power(total / 6 / BUCKET))
     light = cut(rows.mapInArrow(_light(n), "doc_id long, cls long, n_shingles long"))
     shared = rows.select("text").mapInArrow(_scan(n, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_shared(buckets), "part int, blob binary")
-    sizes = light.where("cls <> 0").groupBy("cls").agg(F.first("n_shingles").alias("n"))
+    sizes = light.where("cls <> 0").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.count("*").alias("w"))
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_class_bucket(t.column(0).to_numpy().view(U64), buckets)), *t.columns], names=["part", *t.schema.names])
 
-    sizes = sizes.mapInArrow(parted, "part int, cls long, n long")
-    sets = cut(shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_prefixes(num, den, buckets), "cls long, n long, bucket int, blob binary"))
+    sizes = sizes.mapInArrow(parted, "part int, cls long, n long, w long")
+    sets = cut(shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_prefixes(num, den, buckets), "cls long, n long, w long, posted long, bucket int, blob binary"))
     post = sets.where("bucket is not null").select("bucket", "blob").groupBy("bucket")
     ties = post.applyInArrow(_families(num, den), "a long, b long").distinct()
     # A family's sets meet in one block if they fit there.
     family = components(ties).select(F.col("node").alias("cls"), F.col("label").alias("gid"))
     family = family.unionByName(family.select(F.col("gid").alias("cls"), "gid").distinct())
-    own = sets.where("bucket is null").select("cls", "n", "blob")
+    own = sets.where("bucket is null").select("cls", "n", "w", "posted", "blob")
     weight = family.join(own.select("cls", F.length("blob").alias("bytes")), "cls").groupBy("gid").agg(F.sum("bytes").alias("bytes"))
     large = cut(weight.where(F.col("bytes") > 6 * BLOCK).select("gid"))
-    met = family.join(large, "gid", "left_anti").select("gid", "cls", F.lit(True).alias("heavy"))
+    met = family.join(large, "gid", "left_anti").select("gid", "cls", F.lit(FAMILY).alias("kind"), F.lit(0).cast("long").alias("at"))
     if not large.isEmpty():
         in_large = family.join(large, "gid", "left_semi").select("cls")
-        lists = post.applyInArrow(_meet(num, den), "gid long, cls long, heavy boolean").distinct()
-        met = met.unionByName(lists.join(in_large, "cls", "left_semi").select("gid", "cls", "heavy"))
-    groups = met.join(own, "cls").select("gid", "cls", "heavy", "n", "blob")
-    links = groups.repartition(parts(spark), "gid", "heavy").sortWithinPartitions("gid", "heavy").mapInArrow(_verify(num, den), "a long, b long").distinct()
+        lists = post.applyInArrow(_meet(num, den), "gid long, cls long, kind int, at long").groupBy("gid", "cls", "kind").agg(F.min("at").alias("at"))
+        met = met.unionByName(lists.join(in_large, "cls", "left_semi").select("gid", "cls", "kind", "at"))
+    groups = met.join(own, "cls").select("gid", "cls", "kind", "at", "n", "w", "posted", "blob")
+    found = cut(groups.repartition(parts(spark), "gid").sortWithinPartitions("gid", "kind").mapInArrow(_verify(num, den), "a long, b long, links long"))
+    links = found.where("a <> b").select("a", "b").distinct()
     # From classes to the smallest doc_id of each.
-    rep = light.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    edges = links.join(rep.withColumnRenamed("cls", "a").withColumnRenamed("rep", "ra"), "a").join(rep.withColumnRenamed("cls", "b").withColumnRenamed("rep", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    rep = light.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"))
+    edges = links.join(rep.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     label = components(edges)
-    named = rep.join(label, F.col("rep") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("label", "rep").alias("component_id"))
+    named = rep.join(label, F.col("rep") == F.col("node"), "left").select("cls", "w", F.coalesce("label", "rep").alias("component_id"))
+    degree = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    named = named.join(degree, "cls", "left").select(F.col("cls").alias("c"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     out = light.join(named, F.col("cls") == F.col("c"), "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if counts else out.drop("n_links")

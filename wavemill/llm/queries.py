@@ -31,7 +31,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), counts=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
