@@ -101,3 +101,12 @@ def test_every_link_counts_once(spark, monkeypatch, size, block):
     want = {i: sum(j != i and 4 * len(a & b) >= 3 * len(a | b) > 0 for j, b in sets.items()) for i, a in sets.items()}
     got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), counts=True)
     assert {r.doc_id: r.n_links for r in got.collect()} == want and max(want.values()) > 20
+
+
+def test_class_without_ids_connects(spark):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(w[:50])), (None, " ".join(w[:56])), (2, " ".join(w)), (8, "else")]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), num=9, den=10, counts=True)
+    assert sorted(map(tuple, got.collect()), key=str) == [(2, 56, 2, 1), (5, 46, 5, 0), (8, 1, 8, 0), (None, 52, 2, 1)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), num=17, den=20, counts=True)
+    assert sorted(map(tuple, got.collect()), key=str) == [(2, 56, 2, 1), (5, 46, 2, 1), (8, 1, 8, 0), (None, 52, 2, 2)]

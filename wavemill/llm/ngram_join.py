@@ -596,11 +596,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = met.join(own, "cls").select("gid", "cls", "kind", "at", "n", "w", "posted", "blob")
     found = cut(groups.repartition(parts(spark), "gid").sortWithinPartitions("gid", "kind").mapInArrow(_verify(num, den), "a long, b long, links long"))
     links = found.where("a <> b").select("a", "b").distinct()
-    # From classes to the smallest doc_id of each.
+    # Classes are connected by their hashes, as one may have no known doc_id.
     rep = light.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"))
-    edges = links.join(rep.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    label = components(edges)
-    named = rep.join(label, F.col("rep") == F.col("node"), "left").select("cls", "w", F.coalesce("label", "rep").alias("component_id"))
+    rep = rep.join(components(links), F.col("cls") == F.col("node"), "left").select("cls", "w", "rep", F.coalesce("label", "cls").alias("label"))
+    named = rep.join(rep.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("cls", "w", "component_id")
     degree = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     named = named.join(degree, "cls", "left").select(F.col("cls").alias("c"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     out = light.join(named, F.col("cls") == F.col("c"), "left")
