@@ -35,3 +35,19 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert set(plans.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_index_holds_every_row(spark, sf_dir):
+    from wavemill.operators import tables
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    p = tables.project_clouds(e, plans._dirs(), id_col="vec_id", cloud_col="embedding")
+    want = {}
+    for r in tables.sw1_top_k(p, p, 5, plans.N_DIRS, id_col="vec_id").collect():
+        want.setdefault(r.query, set()).add(r.neighbour)
+    for got in (plans.hnsw_knn(spark, sf_dir), tables.indexed_knn(e, e, 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=5, directions=plans.N_DIRS, shard=150)):
+        near = {r.vec_id: set(r.nearest) for r in got.collect()}
+        assert set(near) == set(want) and all(i not in x and len(x) == 5 for i, x in near.items())
+        assert sum(len(near[i] & want[i]) for i in want) >= 0.9 * 5 * len(want)
+    graph = plans.anomaly_graph(spark, sf_dir).collect()
+    assert [r.id for r in graph] == sorted(want)

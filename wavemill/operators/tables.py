@@ -7,6 +7,7 @@ up to rounding.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -361,3 +362,56 @@ class AnomalyIndex:
                 yield pa.RecordBatch.from_arrays([t.column(0), pa.array([g.kth_distance for g in got], pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array([g.flagged for g in got])], names=[id_col, "kth_distance", "nearest", "flagged"])
 
         return clouds.select(F.col(id_col).cast("long").alias(id_col), cloud_col).mapInArrow(run, f"`{id_col}` long, kth_distance double, nearest array<long>, flagged boolean")
+
+
+#: Rows in one index of `indexed_knn`, about, and queries that go to it at a time.
+SHARD, CHUNK = 1000, 64
+
+
+def _near_sw1(a: np.ndarray, b: np.ndarray) -> float:
+    """Of clouds of one size the mean gap, equal to `sw1` up to rounding: for finding
+    the way in an index. Distances that are returned come from `sw1`."""
+    return float(np.abs(a - b).sum()) / a.size if a.shape == b.shape else anomaly.sw1(a, b)
+
+
+def indexed_knn(clouds: DataFrame, queries: DataFrame, dim: int, *, id_col: str, cloud_col: str, tau: float, shard: int = SHARD, **config) -> DataFrame:
+    """(id, kth_distance, nearest, distances, flagged): the k nearest of all rows but
+    the query itself. Rows are dealt by their ids to shards of bounded size, each with
+    an index of its own that answers every query; answers are merged per query."""
+    cfg = anomaly.AnomalyConfig(tau, **config)
+    dirs = anomaly.directions(dim, cfg.directions, cfg.seed)
+    rows = clouds.select(F.col(id_col).cast("long").alias("id"), F.col(cloud_col).cast("array<double>").alias("cloud"))
+    n = max(1, -(-rows.count() // shard))
+
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids = t.column("id").to_pylist()
+        refs = [anomaly.project(anomaly.cloud(np.array(v).reshape(-1, dim)), dirs) for v in t.column("cloud").to_pylist()]
+        index = anomaly.Hnsw.build(len(refs), lambda i, j: _near_sw1(refs[i], refs[j]), anomaly.HnswConfig(cfg.m, cfg.ef_construction, cfg.ef_search, cfg.seed))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "built": pa.array([pickle.dumps((ids, refs, index))], pa.binary())})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = ids = refs = index = None
+        for t in batches:
+            for k, built, asked in zip(*(t.column(c).to_pylist() for c in range(3))):
+                if k != name:
+                    name, (ids, refs, index) = k, pickle.loads(built)
+                out = []
+                for q in asked:
+                    p = anomaly.project(anomaly.cloud(np.array(q["cloud"]).reshape(-1, dim)), dirs)
+                    found = index.knn(lambda j: _near_sw1(p, refs[j]), cfg.k + 1)  # noqa: B023
+                    out += [(q["id"], ids[i], anomaly.sw1(p, refs[i])) for _, i in found if ids[i] != q["id"]]
+                q, i, d = zip(*out) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query", "neighbour", "sw1"])
+
+    built = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard")).applyInArrow(build, "shard int, built binary")
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(cloud_col).cast("array<double>").alias("cloud"))
+    m = max(1, -(-asked.count() // CHUNK))
+    asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(m)).alias("chunk")).agg(F.collect_list(F.struct("id", "cloud")).alias("asked"))
+    both = built.crossJoin(asked).repartition(n * m, "shard", "chunk").select("shard", "built", "asked")
+    near = both.mapInArrow(search, "query long, neighbour long, sw1 double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("sw1", "neighbour"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= cfg.k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "sw1"))).alias("near"))
+    kth = F.when(F.size("near") == cfg.k, F.col("near")[cfg.k - 1]["sw1"])
+    near = near.select("query", kth.alias("kth_distance"), F.col("near.neighbour").alias("nearest"), F.col("near.sw1").alias("distances"))
+    return near.select(F.col("query").alias(id_col), "kth_distance", "nearest", "distances", F.coalesce(F.col("kth_distance") > tau, F.lit(False)).alias("flagged"))

@@ -568,25 +568,26 @@ def layer0_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).select(F.least("query", "neighbour").alias("i"), F.greatest("query", "neighbour").alias("j")).distinct()
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[tables.AnomalyIndex, DataFrame]:
-    """References are the means of each (label, id modulo 10) group."""
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against all others."""
     e = read(spark, sf_dir, "embeddings")
-    g = e.select((F.col("label") * 10 + F.col("vec_id") % 10).cast("long").alias("id"), F.posexplode("embedding").alias("pos", "x")).groupBy("id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    refs = g.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("cloud"))
-    return tables.AnomalyIndex.fit(refs, 8, id_col="id", cloud_col="cloud", tau=0.5, k=5, directions=N_DIRS), e
+    return tables.indexed_knn(e, e, 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=5, directions=N_DIRS)
 
 
 @query()
 def hnsw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, e = _index(spark, sf_dir)
-    return index.transform(e, id_col="vec_id", cloud_col="embedding")
+    return _nearest(spark, sf_dir).drop("distances")
 
 
 @query()
 def anomaly_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, _ = _index(spark, sf_dir)
-    g = index.index.graph()
-    return spark.createDataFrame([(n["id"], n["x"], n["y"], n["flagged"]) for n in g["nodes"]], "id long, x double, y double, flagged boolean")
+    """A node for every row, laid out by the edges of the neighbour lists. The layout
+    is computed in the driver."""
+    got = _nearest(spark, sf_dir).select("vec_id", "nearest", "flagged").orderBy("vec_id").collect()
+    place = {r.vec_id: k for k, r in enumerate(got)}
+    edges = sorted({tuple(sorted((place[r.vec_id], place[i]))) for r in got for i in r.nearest})
+    at = anomaly.spring_layout(len(got), edges, 100, 0)
+    return spark.createDataFrame([(r.vec_id, float(x), float(y), r.flagged) for r, (x, y) in zip(got, at)], "id long, x double, y double, flagged boolean")
 
 
 # ------------------------------------------------------ random streams, identity
