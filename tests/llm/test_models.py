@@ -97,3 +97,12 @@ def test_quality_edges(spark):
     none = quality.grade_quality(docs, quality.fit_quality(docs, labels.limit(0))).collect()
     assert all(r.keep and r.tail_prob is None for r in none)
     assert quality.grade_quality(docs.limit(0), m).collect() == []
+
+
+def test_ratings_of_absent_rows_take_no_places(spark):
+    from wavemill.llm import quality
+
+    docs = spark.createDataFrame([(i, "good plain text here" if i % 2 else "bad !!! junk $$$") for i in range(40)], "doc_id long, text string")
+    rate = lambda n: spark.createDataFrame([(i, i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    a, b = quality.fit_quality(docs, rate(40), sample=20), quality.fit_quality(docs, rate(4000), sample=20)
+    assert b is not None and (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()

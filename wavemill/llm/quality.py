@@ -85,10 +85,11 @@ class OrdinalModel:
         """Adam on the mean negative log-likelihood, each grade weighing the same.
         Features of fewer than 3 rows keep weight 0."""
         rows = len(grade)
-        own = np.repeat(np.arange(rows), np.diff(at))
+        own = np.repeat(np.arange(rows, dtype=np.int32), np.diff(at))
         common = np.bincount(place, minlength=SIZE) >= min(3, max(1, rows // 4))
         keep = common[place]
         used, code = np.unique(place[keep], return_inverse=True)
+        code = code.astype(np.int32)
         own, x = own[keep], (1 / norm(at))[own[keep]]
         share = np.bincount(grade, minlength=grades)
         c = (1 / np.maximum(share, 1) / max(1, (share > 0).sum()))[grade]
@@ -125,11 +126,12 @@ def norm(at: np.ndarray) -> np.ndarray:
     return np.maximum(np.diff(at), 1) ** 0.25
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = 4000) -> OrdinalModel | None:
-    """A model of a bounded sample of rated rows."""
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = 6000) -> OrdinalModel | None:
+    """A model of a bounded sample of the rated rows that `docs` holds."""
     arrow_batches(docs.sparkSession)
     grade = F.when(F.col(toxic_col) == 1, 0).when(F.col(quality_col) == 1, 2).when(F.col(quality_col) == 0, 1)
     rated = labels.select(F.col(id_col).alias("id"), grade.alias("grade")).where("id is not null and grade is not null")
+    rated = rated.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     few = rated.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(sample)
     rows = few.collect()
     few = docs.sparkSession.createDataFrame([(r.id, r.grade) for r in rows], f"id {dict(rated.dtypes)['id']}, grade int")
@@ -148,7 +150,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     if not got:
         return None
     got = sorted(got, key=lambda r: (r.id, r.grade, bytes(r.blob)))
-    parts = [np.frombuffer(bytes(r.blob), np.uint32).astype(np.int64) for r in got]
+    parts = [np.frombuffer(bytes(r.blob), np.int32) for r in got]
     return OrdinalModel.fit(np.cumsum([0, *map(len, parts)]), np.concatenate(parts), np.array([r.grade for r in got]), 3)
 
 
