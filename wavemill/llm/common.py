@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: kilobytes, so the default of 10,000 rows could hold gigabytes.
 ARROW_ROWS = 512
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
+#: Bytes of text whose words are hashed at a time; a longer word stands alone.
+WORD_BYTES = 64 << 10
 
 U64 = np.uint64
 
@@ -92,17 +95,20 @@ LOWER[65:91] += 32
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, r in enumerate((_R, _R_INV)):
-            x = np.full(n, U64(r))
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS[0], _POWERS[1]
+    out = []
+    for r in (_R, _R_INV):
+        x = np.full(n, U64(r))
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+@functools.lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(WORD_BYTES + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,14 +135,20 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stop = full.copy()
     stop[:-1] &= ~full[1:] | edge[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = _powers(n + 1)
-    sums = np.empty(n + 1, U64)
-    sums[0] = 0
-    x = d.astype(U64)
-    x += U64(1)
-    x *= up[:n]
-    np.cumsum(x, out=sums[1:])
-    h = (sums[e] - sums[s]) * down[s]
+    h = np.empty(len(s), U64)
+    i = 0
+    while i < len(s):  # as many whole words as fit
+        j = max(i + 1, int(np.searchsorted(e, s[i] + WORD_BYTES, "right")))
+        a, b = int(s[i]), int(e[j - 1])
+        up, down = _kept_powers() if b - a <= WORD_BYTES else _powers(b - a + 1)
+        sums = np.empty(b - a + 1, U64)
+        sums[0] = 0
+        x = d[a:b].astype(U64)
+        x += U64(1)
+        x *= up[: b - a]
+        np.cumsum(x, out=sums[1:])
+        h[i:j] = (sums[e[i:j] - a] - sums[s[i:j] - a]) * down[s[i:j] - a]
+        i = j
     return mix(h ^ ((e - s).astype(U64) << U64(48))), np.searchsorted(s, offs).astype(np.int64)
 
 

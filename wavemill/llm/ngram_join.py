@@ -60,7 +60,9 @@ LIST = 8
 #: Shared shingles of all sets that meet in one block of a longer list.
 BLOCK = 2_000_000
 #: Shingles that a task holds before it sends them on.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
+#: Classes that a task remembers, so as not to send their copies.
+SEEN = 200_000
 #: Shingles in a bucket, about.
 BUCKET = 3_000_000
 #: Cells of a table of common shingles, and entries looked up for it, at a time.
@@ -198,7 +200,7 @@ def _scan(n: int, buckets: int):
                 for k, c in enumerate(cls.tolist()):
                     if c and c not in seen:
                         fresh[k] = True
-                        if len(seen) < 2_000_000:
+                        if len(seen) < SEEN:
                             seen.add(c)
                 lens = np.diff(at)
                 keep = np.repeat(fresh, lens)
