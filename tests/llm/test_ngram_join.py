@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from wavemill.llm import ngram_join
@@ -110,3 +111,101 @@ def test_class_without_ids_connects(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [(2, 56, 2, 1), (5, 46, 5, 0), (8, 1, 8, 0), (None, 52, 2, 1)]
     got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), num=17, den=20, counts=True)
     assert sorted(map(tuple, got.collect()), key=str) == [(2, 56, 2, 1), (5, 46, 2, 1), (8, 1, 8, 0), (None, 52, 2, 2)]
+
+
+def family(seed, m=220):
+    """Sets of shingles in order of size, rare-first, with the lengths of prefixes."""
+    from collections import Counter
+
+    rng = random.Random(seed)
+    base, sets = rng.sample(range(10**6), 60), []
+    for _ in range(m):
+        own = set(rng.sample(base, rng.randrange(20, 60))) | set(rng.sample(range(10**6, 10**6 + 300), rng.randrange(0, 12)))
+        sets.append(own)
+    sets += [set(rng.sample(base, 55)) for _ in range(40)] + [set(base)] * 0
+    count = Counter(x for s in sets for x in s)
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    ranked = [np.array(sorted(sets[k], key=lambda x: (count[x], x)), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in order]
+    n = np.array([len(x) for x in ranked])
+    return n, ranked, n - -(-3 * n // 4) + 1
+
+
+@pytest.mark.parametrize("tile", [40, 3000, 1_000_000])
+def test_candidates_pass_the_filters_and_are_verified_once(monkeypatch, tile):
+    from collections import Counter
+
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    n, ranked, posted = family(7)
+    m, verified = len(n), Counter()
+
+    class Counting(ngram_join._Sets):
+        def common(self, x, y):
+            verified.update(zip(x.tolist(), y.tolist()))
+            return super().common(x, y)
+
+    s = Counting(n, ranked)
+    links, label = ngram_join._links(s, np.ones(m, np.int64), ngram_join._by_prefix(s, posted, 3, 4))
+    assert max(verified.values()) == 1
+    sets = [set(x.tolist()) for x in ranked]
+    want, edges = np.zeros(m, int), set()
+    for x in range(m):
+        for y in range(x + 1, m):
+            if 4 * len(sets[x] & sets[y]) >= 3 * len(sets[x] | sets[y]):
+                want[[x, y]] += 1
+                edges.add((x, y))
+    assert (links == want).all() and edges <= set(verified) and len(verified) < m * (m - 1) / 2
+    part = lambda k: Counter(v >> 60 for v in ranked[k].tolist())
+    for x, y in verified:
+        need = -(-3 * (n[x] + n[y]) // 7)
+        assert n[x] * 4 >= n[y] * 3  # length
+        p, q = ranked[x][: posted[x]].tolist(), ranked[y][: posted[y]].tolist()
+        shared = [k for k, v in enumerate(p) if v in q]
+        assert shared  # joined on a prefix shingle
+        assert min(n[x] - shared[0], n[y] - q.index(p[shared[0]])) >= need  # position
+        assert sum((part(x) & part(y)).values()) >= need  # suffix
+    root = list(range(m))
+    for x, y in sorted(edges):
+        a, b = sorted((root[x], root[y]))
+        root = [a if r == b else r for r in root]
+    assert [root.index(r) for r in root] == [label.tolist().index(v) for v in label.tolist()]
+
+
+def test_many_small_sets_in_one_family():
+    """A chain of 100,000 sets meets in about linear time."""
+    import time
+
+    m = 100_000
+    g = np.random.default_rng(3)
+    ids = np.sort(g.integers(1, 2**63, m + 8).astype(np.uint64))
+    ranked = [ids[k : k + 8] for k in range(m)]  # neighbours share 7 of 9
+    n, posted = np.full(m, 8), np.full(m, 3)
+    s = ngram_join._Sets(n, ranked)
+    began = time.time()
+    links, label = ngram_join._links(s, np.ones(m, np.int64), ngram_join._by_prefix(s, posted, 3, 4))
+    assert links[0] == links[-1] == 1 and (links[1:-1] == 2).all() and (label == 0).all()
+    assert time.time() - began < 30
+
+
+def test_classes_pass_through_arrow():
+    low, high = np.array([0, 5, 2**64 - 1, 5], np.uint64), np.array([0, 2**32 - 1, 7, 1], np.uint32)
+    a, b = ngram_join._split(ngram_join._classes(low, high))
+    assert (a == low).all() and (b == high).all()
+    a, b, code = ngram_join._merged(np.concatenate([low, low]), np.concatenate([high, high]))
+    assert len(a) == 4 and (a[code[:4]] == low).all() and (b[code[4:]] == high).all()
+
+
+def test_against_sql(spark):
+    import os
+
+    from wavemill.llm import queries
+
+    duckdb, sf = pytest.importorskip("duckdb"), "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are absent")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    q = c.execute(queries.oracle_sql()["op1_ngram_jaccard_join"])
+    names = [d[0] for d in q.description]
+    want = sorted(q.fetchall())
+    got = queries.op1_ngram_jaccard_join(spark, sf).select(*names).collect()
+    assert sorted(map(tuple, got)) == want and max(r.n_links for r in got) > 3
