@@ -20,8 +20,8 @@ WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 #: (host and start of the path, verdict)
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Sites whose pages are listed one by one.
-LISTED_SITES = r"^(www\.)?(spam-farm|adult-x|free-bets)\.example\.(com|net|org)$"
+#: The list of the query: unwanted sites, under each of these endings.
+UNWANTED, ENDINGS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org")
 
 
 def tokenizer(name: str) -> str:
@@ -86,10 +86,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    url = F.col("url")
-    listed = pages.where(urlfilter.url_host(url).rlike(LISTED_SITES)).select(urlfilter.canonical_url(url).alias("canonical"))
-    return urlfilter.filter_urls(pages, listed, URL_RULES)
+    listed = spark.createDataFrame([(f"{site}.example.{end}",) for site in UNWANTED for end in ENDINGS], "canonical string")
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), listed, URL_RULES)
 
 
 OP7_SQL = r"""
@@ -105,7 +103,7 @@ WITH u AS (
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
     END AS rule,
-    regexp_matches(host, '^(www\.)?(spam-farm|adult-x|free-bets)\.example\.(com|net|org)$') AS listed
+    regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') AS listed
   FROM u
 )
 SELECT page_id, host, path, rule,
