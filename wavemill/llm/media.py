@@ -6,8 +6,8 @@ image's tiles, their count and a 64-bit difference hash. Images are cut into
 square tiles; the last ones are filled with `fill`. Samples deeper than 8 bits
 stay 16-bit in the tiles.
 
-Defined results: null or undecodable media give null tiles and hash, and `ok`
-false; images of any size are decoded (one image is one array in one task);
+Defined results: null or undecodable media (short ones, headers that state more than
+there is, samples above the stated maximum) give null tiles and hash, and `ok` false; images of any size are decoded (one image is one array in one task);
 equal media give equal results; an empty table gives no rows; columns of the
 input with names of the output are replaced.
 """
@@ -37,6 +37,8 @@ def decode_netpbm(b: bytes) -> np.ndarray:
         m = _TOKEN.match(b, at)
         if not m:
             raise ValueError("short header")
+        if not m[1].isdigit() or len(m[1]) > 10:
+            raise ValueError("bad header")
         head.append(int(m[1]))
         at = m.end()
     w, h, top = (*head, 1)[:3]
@@ -44,6 +46,10 @@ def decode_netpbm(b: bytes) -> np.ndarray:
         raise ValueError("bad header")
     deep = np.dtype(">u2" if top > 255 else np.uint8)
     planes = 3 if kind in (b"P3", b"P6") else 1
+    # Before anything of the size that the header states is made.
+    least = {b"P1": w * h, b"P4": h * ((w + 7) // 8), b"P5": w * h * deep.itemsize, b"P6": 3 * w * h * deep.itemsize}
+    if len(b) - at < least.get(kind, 2 * w * h * planes - 1):
+        raise ValueError("short image")
     if kind == b"P4":
         rows = np.frombuffer(b, np.uint8, h * ((w + 7) // 8), at + 1).reshape(h, -1)
         a = np.where(np.unpackbits(rows, axis=1)[:, :w], 0, 255).astype(np.uint8)
@@ -51,11 +57,16 @@ def decode_netpbm(b: bytes) -> np.ndarray:
         a = np.frombuffer(b, deep, w * h * planes, at + 1)
     else:
         text = re.sub(rb"#[^\r\n]*", b"", b[at:])
-        a = np.array([int(x) for x in (re.findall(rb"[01]", text) if kind == b"P1" else text.split())][: w * h * planes])
-        if len(a) < w * h * planes:
-            raise ValueError("short image")
+        found = (re.findall(rb"[01]", text) if kind == b"P1" else text.split())[: w * h * planes]
+        if len(found) < w * h * planes or any(not x.isdigit() or len(x) > 5 for x in found):
+            raise ValueError("short image, or no samples")
+        a = np.array([int(x) for x in found])
+        if kind != b"P1" and a.max() > top:
+            raise ValueError("a sample is above the maximum")
         a = np.where(a, 0, 255).astype(np.uint8) if kind == b"P1" else a.astype(deep)
     a = a.reshape((h, w, 3) if planes == 3 else (h, w))
+    if kind in (b"P5", b"P6") and a.max() > top:
+        raise ValueError("a sample is above the maximum")
     if top not in (1, 255, 65535) and kind not in (b"P1", b"P4"):
         full = 65535 if top > 255 else 255
         a = ((a.astype(np.uint32) * full + top // 2) // top).astype(deep)
@@ -78,6 +89,8 @@ def decode_bmp(b: bytes) -> np.ndarray:
     if comp not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w < 1 or h == 0:
         raise ValueError("unsupported BMP image")
     step = (w * bits + 31) // 32 * 4
+    if step * abs(h) > len(b) - start:
+        raise ValueError("short image")
     rows = np.frombuffer(b, np.uint8, step * abs(h), start).reshape(abs(h), step)
     if bits >= 24:
         a = rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1]
@@ -85,7 +98,7 @@ def decode_bmp(b: bytes) -> np.ndarray:
         index = {8: lambda: rows[:, :w], 4: lambda: np.stack([rows >> 4, rows & 15], 2).reshape(abs(h), -1)[:, :w], 1: lambda: np.unpackbits(rows, axis=1)[:, :w]}[bits]()
         cell = 3 if head == 12 else 4
         table = np.zeros((256, 3), np.uint8)
-        n = min(1 << bits, (start - 14 - head) // cell)
+        n = max(0, min(1 << bits, (start - 14 - head) // cell))
         table[:n] = np.frombuffer(b, np.uint8, n * cell, 14 + head).reshape(n, cell)[:, 2::-1]
         a = table[index]
     return a[::-1] if h > 0 else a
@@ -187,7 +200,7 @@ def media_columns(df: DataFrame, *, media_col: str = "media", side: int = 24) ->
                         a = decode(b)
                         cut = tiles(a, side)
                         out.append((True, npy(cut), len(cut), difference_hash(a)))
-                    except (ValueError, TypeError, IndexError):
+                    except (ValueError, TypeError, IndexError, OverflowError):
                         out.append((False, None, None, None))
                 ok, data, n, hashes = zip(*out)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ok), pa.array(data, pa.binary()), pa.array(n, pa.int32()), pa.array(hashes, pa.string())], names=[*names, *new])
