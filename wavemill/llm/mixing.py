@@ -10,11 +10,11 @@ sample's size is fixed in words, so a source meets its target to half a document
 
 The random number is a hash of (seed, id, text): reruns and other partitions
 agree. Ranking needs no sort of a source: ranks fall into `BINS` bins, words per
-bin are summed before any shuffle, and only the bin in which the words run out
-is ordered. A source's figures meet its documents by a join that Spark may
-split; nothing is collected.
+bin are summed before any shuffle; the bin in which the words run out falls into as
+many again, and only the last of these, a millionth of a source, is ordered. A source's
+figures meet its documents by a join that Spark may split; nothing is collected.
 
-Defined results: null text counts no words; a null source is a source of its
+Defined results: null text counts no words, texts of any length all theirs; a null source is a source of its
 own, last; a document of no words is taken 0 times its words; equal rows tie and
 are interchangeable; an empty table gives no rows; all else passes by name, so
 clashing extra columns do not matter.
@@ -78,7 +78,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     ranked = rows.join(kinds, F.col("source").eqNullSafe(F.col("s")) & (F.col("odds") == F.col("o")))
     ranked = ranked.withColumn("rank", F.when((F.col("p") > 1e-12) & (F.col("size") > 0), rank))
-    ranked = ranked.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int")).select("doc_id", "source", "size", "source_size", "target", "whole", "left", "rank", "bin")
+    share = F.col("rank") / (1 + F.col("rank")) * BINS
+    ranked = ranked.withColumn("bin", F.floor(share).cast("int")).withColumn("fine", F.floor((share - F.col("bin")) * BINS).cast("int")).select("doc_id", "source", "size", "source_size", "target", "whole", "left", "rank", "bin", "fine")
 
     bins = ranked.where("rank is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,11 +90,20 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     none = bins.groupBy("source").agg(F.max("left").alias("most_left")).withColumnRenamed("source", "ns")
     last = cut(last.join(none, F.col("source").eqNullSafe(F.col("ns"))).select(F.col("source").alias("s"), F.when(F.col("most_left") <= 0, F.lit(-1)).otherwise(F.coalesce("cut_bin", F.col("top") + 1)).alias("cut_bin"), F.coalesce("spent", F.lit(0)).alias("spent")))
 
+    fines = ranked.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("cut_bin"))).groupBy("source", "fine").agg(F.sum("size").alias("words"), F.first("left").alias("left"), F.first("spent").alias("spent"))
+    before = Window.partitionBy("source").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
+    fines = fines.withColumn("spent", F.col("spent") + F.coalesce(F.sum("words").over(before), F.lit(0)))
+    fines = fines.where((F.col("spent") < F.col("left")) & (F.col("spent") + F.col("words") >= F.col("left")))
+    fines = fines.select(F.col("source").alias("fs"), F.col("fine").alias("cut_fine"), F.col("spent").alias("fine_spent"))
+    last = last.join(fines, F.col("s").eqNullSafe(F.col("fs")), "left").select("s", "cut_bin", "cut_fine", "fine_spent")
+
     placed = ranked.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    clear = placed.where("rank is null or bin <> cut_bin").withColumn("extra", F.when(F.col("bin") < F.col("cut_bin"), 1).otherwise(0))
+    at_cut = F.coalesce((F.col("bin") == F.col("cut_bin")) & (F.col("fine") == F.col("cut_fine")), F.lit(False))
+    below = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("fine") < F.col("cut_fine")))
+    clear = placed.where(~at_cut).withColumn("extra", F.when(below, 1).otherwise(0))
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    tight = placed.where("bin = cut_bin").withColumn("ahead", F.col("spent") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    tight = placed.where(at_cut).withColumn("ahead", F.col("fine_spent") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     tight = tight.withColumn("extra", F.when(F.col("ahead") + F.col("size") / 2 <= F.col("left"), 1).otherwise(0)).drop("ahead")
-    out = clear.unionByName(tight)
+    out = clear.unionByName(tight)  # each row is in one of both
     copies = (F.col("whole") + F.col("extra")).cast("int")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source")
