@@ -12,11 +12,14 @@ its presence matrix with one matrix that holds landmarks, map and regression
 weights; whole texts are scored, in place, without a shuffle.
 
 Only the sample of labelled rows is bounded: `per_language` rows of each language
-by order of a hash of the id. A language with fewer rows gives all it has.
+by order of a hash of the id. A language with fewer rows gives all it has. How far the
+order is followed is known from counts of ranges of the hash, so that no task sees
+more than the sample and one range.
 
 Defined results: null text, or text without any letter, is `und` with score 0; so
 is everything where no labelled row exists; ties go to the language that is first
-by name; repeated rows get equal results; long texts are scored whole.
+by name; repeated rows get equal results; long texts are scored whole; an empty table
+gives no rows; columns of the input with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, slices, utf8
+from .common import arrow_batches, free, slices, utf8
 
 ORDERS = 4
 BITS = 15
 SIZE = 1 << BITS
 #: From scores of the regressions, about -1 to 1, to shares.
 SHARPNESS = 6.0
+#: Ranges of the hash by which the sample is ordered.
+RANGES = 4096
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -107,9 +112,13 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """A model of a bounded sample of labelled rows that are not held out."""
     arrow_batches(docs.sparkSession)
     lang = F.col(lang_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.xxhash64(F.lit(2), F.col(id_col)).alias("k")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    first = Window.partitionBy("lang").orderBy("k", "id")
-    chosen = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("id")
+    k = F.shiftrightunsigned(F.xxhash64(F.lit(2), F.col(id_col)), 1)
+    rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), k.alias("k"), F.floor(k * F.lit(RANGES * 2.0**-63)).cast("int").alias("range")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    upto = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    enough = rows.groupBy("lang", "range").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0))).where(F.col("before") < per_language)
+    near = rows.join(enough.select("lang", "range"), ["lang", "range"], "left_semi")
+    first = Window.partitionBy("lang").orderBy("range", "k", "id")
+    chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("id")
     ids = sorted({r.id for r in chosen.collect()})
     few = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {dict(rows.dtypes)['id']}")
 
@@ -132,12 +141,11 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def predict_language(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """`docs` with the predicted language and its share of the scores."""
     arrow_batches(docs.sparkSession)
-    if {lang_out.lower(), score_out.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {lang_out} and {score_out} are taken")
+    keep = [f for f in docs.schema if f.name.lower() not in (lang_out.lower(), score_out.lower())]
+    names, n = [f.name for f in keep], len(keep)
     if model is None:
-        return docs.withColumn(lang_out, F.lit("und")).withColumn(score_out, F.lit(0.0))
+        return docs.select(*[F.col(f"`{c}`") for c in names], F.lit("und").alias(lang_out), F.lit(0.0).alias(score_out))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, n = docs.columns, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -160,5 +168,5 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, *, text_col:
 
     text = F.col(f"`{text_col}`").cast("string")
     letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select(*[F.col(f"`{c}`") for c in names], text.alias("wm_text"), letter.alias("wm_letter")).mapInArrow(run, f"{fields}, `{lang_out}` string, `{score_out}` double")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+    return docs.select(*[F.col(f"`{c}`") for c in names], text.alias(free(docs, "wm_text")), letter.alias(free(docs, "wm_letter"))).mapInArrow(run, f"{fields}`{lang_out}` string, `{score_out}` double")
