@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -23,17 +24,62 @@ ODD = [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "é ü"), (4, "x " * 2
 def test_matrix_rows_have_exact_margins():
     counts = [5, 0, 17, 300, 1, 42, 9]
     before = np.concatenate([[0], np.cumsum(counts)])
-    sizes = np.array([b[2] for b in sharding.block_sizes(sum(counts), 4, 50)])
+    sizes = sharding.shard_sizes(sum(counts), 4)
     rows = np.stack([sharding.matrix_row(p, before, sizes, 7) for p in range(len(counts))])
     assert rows.sum(1).tolist() == counts and rows.sum(0).tolist() == sizes.tolist() and rows.min() >= 0
 
 
 def test_large_populations_keep_margins():
     room = np.array([3_000_000_000, 5, 2_000_000_000])
-    got = sharding.split_room(room, 1_700_000_000, (1, 2))
+    got = sharding.split_room(room, 1_700_000_000, sharding.generator(1, 2))
     assert got.sum() == 1_700_000_000 and (got <= room).all() and abs(got[0] / 1.02e9 - 1) < 1e-3
 
 
+def law(good, bad, draws):
+    """Exact probabilities of the counts that can occur."""
+    from fractions import Fraction
+    from math import comb, prod
+
+    falls = lambda n, k: prod(range(n - k + 1, n + 1))
+    low, high = max(0, draws - bad), min(good, draws)
+    return {x: float(Fraction(comb(draws, x) * falls(good, x) * falls(bad, draws - x), falls(good + bad, draws))) for x in range(low, high + 1)}
+
+
+@pytest.mark.parametrize("good, bad, draws", [(30, 50, 25), (3, 4, 6), (3_000_000_000, 2_000_000_000, 12), (10**12, 3 * 10**9, 40), (5, 1_500_000_000, 400_000_000)])
+def test_exact_draws_have_the_law(good, bad, draws):
+    rng, n = np.random.default_rng(8), 1500
+    got = Counter(sharding.exact_hypergeometric(rng, good, bad, draws) for _ in range(n))
+    if draws < 1000:
+        p = law(good, bad, draws)
+    else:  # five good ones: each is drawn or not
+        p = {x: v for x, v in law(draws, good + bad - draws, good).items()}
+    assert set(got) <= set(p)
+    cells = [(got[x], n * q) for x, q in p.items() if n * q >= 5]
+    cells.append((n - sum(c for c, _ in cells), n - sum(e for _, e in cells)))
+    chi = sum((c - e) ** 2 / e for c, e in cells if e > 1e-6)
+    assert chi < len(cells) + 5 * (2 * len(cells)) ** 0.5
+
+
+def test_draws_just_above_the_limit_agree_with_those_below():
+    rng = np.random.default_rng(3)
+    good, bad, draws, n = 400_000_000, 600_000_001, 250_000_000, 200
+    total = good + bad
+    mean, var = draws * good / total, draws * (good / total) * (bad / total) * (total - draws) / (total - 1)
+    z = np.array([(sharding.hypergeometric(rng, good, bad, draws) - mean) / var**0.5 for _ in range(n)])
+    assert abs(z.mean()) < 5 / n**0.5 and abs((z * z).mean() - 1) < 5 * (2 / n) ** 0.5
+    assert abs(float(sharding.ln_factorial(2999)) - math.lgamma(3000)) < 1e-8 and abs(float(sharding.ln_factorial(10**6) - sharding.ln_factorial(10**6 - 1)) - math.log(10**6)) < 1e-14
+
+
+def test_matrix_rows_cost_little():
+    import time
+
+    before, sizes = np.arange(16_001) * 40_000, sharding.shard_sizes(16_000 * 40_000, 16)
+    began = time.process_time()
+    for p in range(0, 16_000, 80):
+        assert sharding.matrix_row(p, before, sizes, 1).sum() == 40_000
+    assert (time.process_time() - began) * 80 < 30
+
+
 def test_shards(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long"))
     want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
@@ -62,6 +108,21 @@ def test_no_rows_to_shard(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_columns_with_the_names_of_results_are_replaced(spark):
+    odd = spark.createDataFrame([(1, 9, 9, 9, 9, 9)], "doc_id long, shard int, slot int, wm_part int, wm_key int, wm_block int")
+    got = sharding.hypergeometric_shards(odd, shards=2).collect()
+    assert got[0].asDict() == {"doc_id": 1, "wm_part": 9, "wm_key": 9, "wm_block": 9, "shard": 0, "slot": 0}
+
+
+def test_registered_sharding(spark, sf_dir):
+    from wavemill.llm import queries
+
+    got = queries.op6_sharding(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs)
+    assert len({(r.shard, r.slot) for r in got}) == len(docs)
+
+
 # ------------------------------------------------------------------ mixing
 
 
@@ -103,6 +164,40 @@ def test_mixing(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
+def test_mix_is_a_pareto_sample(spark):
+    """Each row's copies by sorting ranks, source by source."""
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 90))), rng.choices("abc", [70, 20, 10])[0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(9), F.col("doc_id"), F.col("text")), 11).cast("double")
+    u = {r.doc_id: (r.u + 0.5) * 2.0**-53 for r in df.select("doc_id", draw.alias("u")).collect()}
+    got = {r.doc_id: r for r in mixing.mix_sources(df.repartition(3)).collect()}
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    totals = Counter()
+    for i, _, s in rows:
+        totals[s] += size[i]
+    target = levels(totals, dict(zip("abc", (5, 2, 1))))
+    for s in "abc":
+        own = [i for i, _, x in rows if x == s]
+        odds = {i: 0.5 if size[i] < 32 else 1.0 for i in own}
+        low, high = 0.0, 100.0  # the level at which min(3, level * odds) spends the target
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(size[i] * min(3.0, mid * odds[i]) for i in own) < target[s] else (low, mid)
+        ratio = {i: min(3.0, high * odds[i]) for i in own}
+        whole = {i: int(ratio[i] + 1e-9) for i in own}
+        left = target[s] - sum(size[i] * whole[i] for i in own)
+        part = {i: max(ratio[i] - whole[i], 0.0) for i in own}
+        order = sorted((i for i in own if part[i] > 1e-12 and size[i]), key=lambda i: (u[i] / (1 - u[i])) / (part[i] / (1 - part[i])))
+        spent, extra = 0, set()
+        for i in order:
+            if spent < left and spent + size[i] / 2 <= left:
+                extra.add(i)
+            spent += size[i]
+        for i in own:
+            assert got[i].copies == whole[i] + (i in extra), (s, i)
+
+
 def test_odds_change_the_inclusion(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("a " * 50)).otherwise(F.lit("b " * 10)).alias("text"), F.when(F.col("id") < 3000, "x").otherwise("y").alias("source"))
     got = mixing.mix_sources(df, weights=(1, 3)).where("source = 'x'").groupBy("size").agg(F.avg("copies")).collect()
@@ -114,22 +209,69 @@ def test_odds_change_the_inclusion(spark):
 
 
 def test_urls(spark):
-    urls = ["http://a.example.net/en/1", "https://EXAMPLE.net/de/", "http://example.com/de/x?y#z", "http://x.org/fr/", "http://xorg/fr/", "http://spam.example.com/p/?utm_source=a&b=1#t", "https://www.spam.example.com/p?b=1", "nothing", None, "://", "http://", "http://h?q", "http://net", "a://b://c/d", "http://spam.example.com/p"]
+    far = "http://far.example.org/" + "x/" * 5000
+    urls = [far, "http://m.bad-site.example.org/a?b", "http://bad-site.example.org", "http://not-bad-site.example.org/", "http://a.example.net/en/1", "https://EXAMPLE.net/de/", "http://example.com/de/x?y#z", "http://x.org/fr/", "http://xorg/fr/", "http://spam.example.com/p/?utm_source=a&b=1#t", "https://www.spam.example.com/p?b=1", "nothing", None, "://", "http://", "http://h?q", "http://net", "a://b://c/d", "http://spam.example.com/p"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls + urls[:3])], "page_id long, url string, host string")
-    listed = spark.createDataFrame([("spam.example.com/p?b=1",), ("spam.example.com/p?b=1",), (None,), ("",)], "canonical string")
+    listed = spark.createDataFrame([("spam.example.com/p?b=1",), ("spam.example.com/p?b=1",), ("bad-site.example.org",), (far[7:-1],), (None,), ("",)], "canonical string")
     got = {r.page_id: tuple(r)[1:] for r in urlfilter.filter_urls(pages, listed, URL_RULES).collect()}
     for k, u in enumerate(urls + urls[:3]):
         m = re.search(r"://([^/?#]*)([^?#]*)", u or "")
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         fit = [(t, v) for t, v in URL_RULES if (host == (h := t.partition("/")[0]) or host.endswith("." + h)) and path.startswith("/" + t.partition("/")[2])]
         rule, verdict = max(fit, key=lambda r: len(r[0]), default=(None, None))
-        hit = k in (5, 6)
+        hit = k in (0, 1, 2, 9, 10) or k >= len(urls)
         assert got[k] == (host, path, rule, verdict or ("block" if hit else "allow"), hit), (k, u)
     none = urlfilter.filter_urls(pages, listed.limit(0), []).collect()
     assert {r.verdict for r in none} == {"allow"} and len(none) == len(urls) + 3
     assert urlfilter.filter_urls(pages.limit(0), listed, URL_RULES).collect() == []
 
 
+def test_only_possible_hits_are_shuffled(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.lit("http://bad.example.com/x")).otherwise(F.concat(F.lit("http://good.example.org/"), F.col("id"))).alias("url"))
+    listed = spark.createDataFrame([("bad.example.com",)], "canonical string")
+    out = urlfilter.filter_urls(pages, listed, [])
+    plan = out._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines, moved = plan.splitlines(), 0
+    for k, line in enumerate(lines):
+        if "Exchange" in line and "canonical" in line:
+            below = []
+            for other in lines[k + 1 :]:
+                if depth(other) <= depth(line):
+                    break
+                below.append(other)
+            assert any("Filter" in x and "maybe#" in x and "NOT maybe#" not in x for x in below), "\n".join([line, *below])
+            moved += 1
+    assert moved and any("Filter" in x and "NOT maybe#" in x for x in lines)
+    got = out.groupBy("listed").count().collect()
+    assert {(r.listed, r["count"]) for r in got} == {(True, 1000), (False, 2000)}
+
+
+def test_equally_long_rules_go_by_text(spark):
+    pages = spark.createDataFrame([(1, "http://a.bc/d")], "page_id long, url string")
+    got = urlfilter.filter_urls(pages, spark.createDataFrame([], "canonical string"), [("bc/d", "allow"), ("a.bc/", "block"), ("a.bc", "allow")]).first()
+    assert (got.rule, got.verdict) == ("a.bc/", "block")
+    same = urlfilter.filter_urls(pages, spark.createDataFrame([], "canonical string"), [("bc/d", "allow"), ("a.bc", "block")]).first()
+    assert (same.rule, same.verdict) == ("a.bc", "block")
+
+
+def test_urls_against_sql(spark):
+    import os
+
+    from wavemill.llm import queries
+
+    duckdb, sf = pytest.importorskip("duckdb"), "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are absent")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    q = c.execute(queries.oracle_sql()["op7_url_filters"])
+    names = [d[0] for d in q.description]
+    want = sorted(q.fetchall())
+    got = sorted(map(tuple, queries.op7_url_filters(spark, sf).select(*names).collect()))
+    assert got == want and sum(r[names.index("listed")] for r in got) > 100
+
+
 def test_bloom_has_no_false_negatives(spark):
     h = spark.range(5000).select(F.xxhash64("id").alias("h"))
     bits = 16
@@ -156,7 +298,10 @@ def test_decoders():
     deep = rng.integers(0, 65536, (2, 3)).astype(">u2")
     got = media.decode(b"P5\n3 2\n65535\n" + deep.tobytes())
     assert got.dtype == np.uint16 and (got == deep).all()
-    for bad in (b"", b"P5\n3", b"P5\n3 3\n255\nxx", b"BM", b"GIF89a", b"P5\nx y\n1\n"):
+    bmp = bytearray(media.encode_bmp(a))
+    bmp[18:26] = b"\xff\xff\xff\x7f" * 2
+    odd = [b"P5\n99999999999999999999 1\n255\n", b"P4\n4000000000 4000000000\n", b"P6\n4000000000 4000000000 255\nabc", b"P2\n1 1\n255\n99999999999999999999999", b"P2\n1 1\n255\n300", b"P5\n1 1\n9\n\x0a", b"P3\n1 1 255 1 2 -3", b"P5\n1_0 1\n255\n" + bytes(10), bytes(bmp)]
+    for bad in (b"", b"P5\n3", b"P5\n3 3\n255\nxx", b"BM", b"GIF89a", b"P5\nx y\n1\n", *odd):
         with pytest.raises(ValueError):
             media.decode(bad)
 
@@ -178,7 +323,7 @@ def test_npy_and_tiles():
 
 def test_media_columns(spark):
     good = b"P5\n2 2\n255\n\x00\x01\x02\x03"
-    rows = [(1, good, 5), (2, None, 6), (3, b"junk", 7), (1, good, 5)]
+    rows = [(1, good, 5), (2, None, 6), (3, b"P6\n4000000000 4000000000 255\n", 7), (1, good, 5)]
     got = media.media_columns(spark.createDataFrame(rows, "id long, media binary, ok int")).orderBy("id").collect()
     assert [r.ok for r in got] == [True, True, False, False] and got[0].tiles == got[1].tiles and got[2].tiles is None
     assert media.media_columns(spark.createDataFrame([], "id long, media binary")).collect() == []

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,27 +33,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 _OWN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster, or one of our own in tests."""
+    """A folder for this application in the shared one that the cluster names in
+    `spark.checkpoint.dir`. Only where all runs in one process (`local[...]`) may the
+    setting be missing: there a temporary folder serves, which goes at exit."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="wavemill-"))
-    return _OWN[0]
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _OWN:
+            own = tempfile.mkdtemp(prefix="wavemill-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN.append("file://" + own)
+        where = _OWN[0]
+    return f"{where}/wavemill-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what this application has cut. Results that were read from it must have
+    been written by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here, and a lost
-    executor costs one read instead of all that came before."""
+    executor costs one read instead of all that came before. `clean` removes it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/wavemill-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -160,24 +176,6 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(h ^ ((e - s).astype(U64) << U64(48))), np.searchsorted(s, offs).astype(np.int64)
 
 
-def or_merge(df: DataFrame, kind: str) -> np.ndarray:
-    """Merge fixed-size arrays, cut into slices by the tasks that made them.
-    df: (slice int, blob binary); kind: 'sum' of uint32 or 'or' of bytes. The
-    result has the fixed size of one array, whatever the input's size."""
-
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        out = None
-        for blob in t.column("blob"):
-            x = np.frombuffer(unpack(blob.as_py()), np.uint32 if kind == "sum" else np.uint8)
-            out = x.copy() if out is None else (np.add if kind == "sum" else np.bitwise_or)(out, x, out=out)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([out.tobytes()], pa.binary())})
-
-    got = df.groupBy("slice").applyInArrow(merge, "slice int, blob binary").collect()
-    if not got:
-        return np.zeros(0, np.uint32 if kind == "sum" else np.uint8)
-    return np.frombuffer(b"".join(bytes(r.blob) for r in sorted(got, key=lambda r: r["slice"])), np.uint32 if kind == "sum" else np.uint8)
-
-
 def pack(b: bytes) -> bytes:
     import zstandard
 

@@ -17,7 +17,8 @@ can end in a window that is not full. No row moves between tasks.
 
 Defined results: null text is empty and packs its end token alone; texts of any
 length are cut as often as needed; repeated rows and ties pack as rows of their
-own; an empty table gives no rows. `sequence_id` is split * 2^32 + number.
+own; an empty table gives no rows; only the id and text columns are read, so others
+may have any names. `sequence_id` is split * 2^32 + number.
 """
 
 from __future__ import annotations

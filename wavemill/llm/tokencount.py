@@ -21,7 +21,7 @@ from the reset state to itself, are remembered by text.
 Counts equal those of the library, special strings in texts being ordinary text;
 tests hold them against it. Null is the empty text, with 0 tokens; texts of any
 length, ties and repeated rows are counted like others; an empty table gives no
-rows.
+rows; only the id and text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
