@@ -6,12 +6,20 @@ documents. Between stages, rows are written to the shared folder and read again.
 
 1. language: documents without a language (no letters) or whose language cannot be
    told go.
-2. quality: toxic documents and documents of low quality go.
+2. quality: toxic documents and documents of low quality go (those whose probability of
+   the best grade is below one half).
 3. near_duplicates: of each group of near-duplicate documents, the one with the
    smallest doc_id stays.
 4. mix: sources are mixed to their target weights; a document that the mix takes k
    times has k rows, one that it does not take has none.
 5. pack: the mix is packed into sequences of 2048 tokens.
+
+Defined results: null, empty and letterless texts go in the first stage, so no stage
+after it sees them; texts of any length are judged, joined and packed whole; ties go as
+each operator says (the smallest doc_id of a group stays); rows of one id are one
+document in stages 3 and 4; rows without an id stay there; stages keep all columns of
+their input, whatever their names, and use free names for their own; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm import language, mixing, ngram_join, packing, quality
-from wavemill.llm.common import cut, table
+from wavemill.llm.common import cut, free, table
 from wavemill.llm.queries import WORD_BPE, tokenizer
 
 #: A language's least share of the scores; an even share of four is 0.25.
@@ -29,13 +37,15 @@ LEAST_SHARE = 0.3
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit_language(docs)
-    out = language.predict_language(docs, model, lang_out="wm_lang", score_out="wm_score")
-    return out.where((F.col("wm_lang") != "und") & (F.col("wm_score") >= LEAST_SHARE)).select(*docs.columns)
+    lang, score = free(docs, "wm_lang"), free(docs, "wm_score")
+    out = language.predict_language(docs, model, lang_out=lang, score_out=score)
+    return out.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SHARE)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.grade_quality(docs, model).where("keep").select(*docs.columns)
+    grade, tail, keep = (free(docs, n) for n in ("wm_grade", "wm_tail", "wm_keep"))
+    return quality.grade_quality(docs, model, new=(grade, tail, keep)).where(F.col(keep)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +59,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an id are not sampled and stay once; rows of the same id are
     taken equally often."""
-    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("wm_id")).agg(F.max("copies").alias("wm_copies")).where("wm_copies > 0")
-    out = docs.join(copies, F.col("doc_id") == F.col("wm_id"))
-    out = out.withColumn("wm_copy", F.explode(F.sequence(F.lit(1), F.col("wm_copies")))).select(*docs.columns)
+    own, n, k = (free(docs, x) for x in ("wm_id", "wm_copies", "wm_copy"))
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    out = docs.join(copies, F.col("doc_id") == F.col(own))
+    out = out.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
     return out.unionByName(docs.where("doc_id is null"))
 
 
