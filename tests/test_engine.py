@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -23,6 +24,7 @@ def test_sweeps(name):
 
 
 def test_known_answers():
+    """Published answers of both generators."""
     hexes = lambda *a: [int(x, 16) for x in a]
     for ctr, key, out in (
         (["00000000"] * 4, ["00000000"] * 2, ["6627e8d5", "e169c58d", "bc57ac4c", "9b00dbd8"]),
@@ -331,7 +333,18 @@ def test_chunked_estimator(spark):
     g = np.random.default_rng(6)
     x, y = g.normal(size=9000), g.normal(size=9000)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k long, x double, y double").repartition(3)
-    assert tables.dcorr2_chunked(df, "x", "y", order="k") == stats.dcorr2_chunked(x, y)
+    assert tables.dcorr2_chunked(df, "x", "y", order="k", permutation="reference") == stats.dcorr2_chunked(x, y)
+    # Drawn in tasks: every row in one chunk at most, in order of its words.
+    i = np.arange(9000, dtype=np.uint64)
+    s = rng.Stream(0, rng.STREAM_CHUNKS)
+    draw = s.words(2 * i) | s.words(2 * i + np.uint64(1)) << np.uint64(32)
+    order = np.lexsort((i, draw >> np.uint64(1)))
+    got = {r.chunk: r.value for r in tables.dcorr2_chunks(df, "x", "y", order="k", chunk=500).collect()}
+    assert got == {k: stats.dcorr2_exact(x[p], y[p]) for k, p in enumerate(order.reshape(18, 500))}
+    few = df.where("k < 7")
+    assert tables.dcorr2_chunked(few, "x", "y", order="k") == stats.dcorr2_exact(x[:7], y[:7])
+    with pytest.raises(ValueError):
+        tables.dcorr2_chunks(df, "x", "y", order="k", permutation="none")
 
 
 def test_synthetic_and_report(spark):
@@ -345,6 +358,58 @@ def test_synthetic_and_report(spark):
     assert np.array_equal([got[i] for i in range(500)], model.predict(b.x))
 
 
+def test_calibration_in_place_has_the_same_bits(spark):
+    g = np.random.default_rng(8)
+    x = g.normal(size=(700, 3)) * [1, 50, 0.1] + [0, 5, 2]
+    t = x @ [2.0, -0.3, 4.0] + g.normal(size=700)
+    df = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, t))], "k long, x array<double>, t double").repartition(5)
+    want, got = training.ridge(x, t), tables.calibrate(df, "x", "t", order=["k"])
+    for name in ("coef", "bias", "r2", "residual_std", "mu", "std"):
+        assert np.array_equal(getattr(want, name), getattr(got, name)), name
+    left = {r.k: r.residual for r in tables.residuals(df, got, "x", "t").collect()}
+    assert np.allclose([left[i] for i in range(700)], want.residuals, atol=1e-12) and "residuals_oid" not in got.constants()
+    with pytest.raises(training.TrainError):
+        tables.calibrate(df.limit(0), "x", "t", order=["k"])
+
+
+def test_running_sums_by_ranges(spark):
+    g = np.random.default_rng(9)
+    v = g.integers(0, 100, 5000)
+    df = spark.createDataFrame([(i, int(a), float(a) / 4) for i, a in enumerate(v)], "k long, a long, b double").repartition(7)
+    got = sorted(tables.running_sums(df, ["k"], ["a", "b"]).collect())
+    assert [r.run_a for r in got] == np.cumsum(v).tolist() and [r.run_b for r in got] == (np.cumsum(v) / 4).tolist()
+    assert tables.running_sums(df.limit(0), ["k"], ["a"]).collect() == []
+    assert sorted(r.idx for r in tables.dense_index(df, ["k"]).collect()) == list(range(5000))
+
+
+def test_queries_in_blocks_equal_those_that_are_broadcast(spark):
+    df = frame(spark, 60)
+    p = tables.project_clouds(df, anomaly.directions(8, 6, 0), id_col="event_id", cloud_col="signal")
+    one = sorted(tables.sw1_top_k(p, p, 4, 6, id_col="event_id").collect())
+    assert sorted(tables.sw1_top_k(p, p, 4, 6, id_col="event_id", broadcast=10).collect()) == one and len(one) == 240
+
+
+def test_null_signals(spark):
+    cfg = ScatterConfig.one_d(8, 2, pad="circular", carrier_cutoff=0)
+    rows = [(1, [1.0] * 8, "a"), (2, None, "b"), (3, [1.0, None] + [0.0] * 6, "c"), (4, [0.5] * 8, "d")]
+    df = spark.createDataFrame(rows, "event_id long, signal array<float>, label string")
+    s = signals.scatter(df, cfg, with_oid=True, keep=("label",))
+    got = {r.event_id: r for r in s.collect()}
+    assert s.columns == ["event_id", "label", "coeffs", "oid"] and [got[k].coeffs is None for k in (1, 2, 3, 4)] == [False, True, True, False]
+    assert got[2].oid is None and got[3].label == "c" and got[1].oid != got[4].oid
+    both = {r.event_id: r for r in signals.reduced(s, cfg, ["mean", "std", "log_mean"], keep=("label",)).collect()}
+    assert both[2].mean is None and len(both[1].mean) == len(both[4].std) == len(both[1].fp)
+    none = df.where("signal is null")
+    assert signals.scatter(none, cfg).first().coeffs is None and signals.scatter(df.limit(0), cfg).collect() == []
+
+
+def test_labels_go_along_without_a_shuffle(spark):
+    df = frame(spark, 10).withColumn("label", F.col("event_id") % 3)
+    cfg = ScatterConfig.one_d(64, 3, pad="circular", carrier_cutoff=0)
+    out = signals.reduced(signals.scatter(df, cfg, keep=("label",)), cfg, ["mean", "std"], keep=("label",))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_on_tables(spark):
     df = frame(spark, 40)
     index = tables.AnomalyIndex.fit(df, 8, id_col="event_id", cloud_col="signal", tau=0.1, k=3)
@@ -367,6 +432,12 @@ def test_tensor_store(spark, tmp_path):
     (tmp_path / "f" / ("0" * 28)).write_bytes(b"z")
     got = {r.oid: r.ok for r in s.from_files(f"file://{tmp_path}/f").collect()}
     assert got == {name: True, "0" * 28: False}
+    assert s.remove(name) and not s.remove(name) and s.table().count() == 5
+    with pytest.raises(KeyError):
+        s.get(name)
+    assert s.put(x, "float32") == name and (s.get_many([name])[name] == x).all()
+    s.drop()
+    assert s.table().count() == 0
 
 
 def test_stream(spark, tmp_path):
@@ -377,6 +448,9 @@ def test_stream(spark, tmp_path):
     out = scatter_stream(spark, f"file://{tmp_path}/in", df.schema, cfg, id_col="event_id", signal_col="signal", out=f"file://{tmp_path}/out", files_per_batch=1)
     want = {r.event_id: r.coeffs for r in signals.scatter(df, cfg).collect()}
     assert {r.event_id: r.coeffs for r in out.collect()} == want
+    one = next(p for p in (tmp_path / "in").iterdir() if p.name.startswith("part"))
+    alone = scatter_stream(spark, f"file://{one}", df.schema, cfg, id_col="event_id", signal_col="signal")
+    assert 0 < alone.count() < 20
 
 
 def test_pruned_inverse_has_the_same_bits():
@@ -427,11 +501,109 @@ def test_suite_finds_one_unit_in_the_last_place(spark):
     assert same.where("not passed").count() == 0 and same.count() == want.count()
     kernels.register_backend("off", Off())
     try:
-        assert C.selftest("off")["failed"] > 0
+        got = C.selftest("off")
+        assert got["failed"] > 0 and "modulus/n1024" in got["failures"] and "fft1d/n64" not in got["failures"]
     finally:
         kernels.unregister_backend("off")
 
 
+@pytest.mark.parametrize("name", ["fft", "ifft", "mul_real_filter", "modulus", "subsample"])
+def test_selftest_sees_a_last_bit_of_any_kernel(monkeypatch, name):
+    """The default backend is held against recorded digests, not against itself."""
+    from wavemill.plans import conformance as C
+
+    real = getattr(kernels.NumpyBackend, name)
+
+    def off(self, *a):
+        out = real(self, *a)
+        first = out[0] if isinstance(out, tuple) else out
+        first = first.copy()
+        first.flat[-1] = np.nextafter(first.flat[-1], np.float32(np.inf))
+        return (first, *out[1:]) if isinstance(out, tuple) else first
+
+    assert C.selftest()["failed"] == 0
+    monkeypatch.setattr(kernels.NumpyBackend, name, off)
+    monkeypatch.setattr(kernels.NumpyBackend, "ifft_subsample", None)
+    assert C.selftest()["failed"] > 0
+
+
+def test_every_group_has_a_digest():
+    from wavemill.plans import conformance as C
+
+    own = C.groups()
+    assert sum(map(len, own.values())) == 434 and all(C.recorded(g) for g in own) and set(C.DIGESTS) <= set(own)
+
+
+def test_backends_and_canvases_are_checked():
+    for bad in (("", 3), ("cpu", 3), ("x" * 65, 3), ("older", 2)):
+        b = kernels.NumpyBackend()
+        b.numerics_version = bad[1]
+        with pytest.raises(kernels.BackendError):
+            kernels.register_backend(bad[0], b)
+    with pytest.raises(kernels.BackendError):
+        kernels.register_backend("half", type("Half", (), {"numerics_version": 3})())
+    x = np.zeros((4, 8, 2), np.float32)
+    kernels.check_planes(4, 8, x, x)
+    for f in (lambda: kernels.check_canvas(3, 8), lambda: kernels.check_planes(8, 4, x), lambda: kernels.check_planes(4, 8, x.astype(float)), lambda: kernels.check_subsample(4, 8, (2, 2), (0, 0), (3, 4)), lambda: kernels.check_subsample(4, 8, (0, 2), (0, 0), (1, 1))):
+        with pytest.raises(kernels.BackendError):
+            f()
+    kernels.check_subsample(4, 8, (2, 2), (0, 1), (2, 3))
+
+
+def test_vectors_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from wavemill import cli
+    from wavemill.plans import conformance as C
+
+    path = f"file://{tmp_path}/vectors"
+    assert cli.main(["generate", path, "fft1d/n2/", "modulus/"], spark) == 0
+    assert C.load_expected(spark, path).count() == 25 and cli.main(["check", path, "fft1d/n2/", "modulus/"], spark) == 0
+    wrong = C.load_expected(spark, path).withColumn("sha3", F.lit("0")).withColumn("data", F.unhex(F.lit("00")))
+    wrong.write.parquet(f"{path}-wrong")
+    assert cli.main(["check", f"{path}-wrong", "modulus/"], spark) == 1
+    capsys.readouterr()
+    assert cli.main(["run", "fft1d/n8", "modulus/"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["cases"] == 16 + 9
+    assert cli.main(["list", "tier2/"]) == 0 and len(capsys.readouterr().out.split()) == 18
+    assert cli.main(["hashes"]) == 0 and len(json.loads(capsys.readouterr().out)["sweeps"]) == 13
+    assert cli.main(["selftest"]) == 0 and json.loads(capsys.readouterr().out)["cases"] == 92
+    assert cli.main(["wrong"]) == 2
+
+
+@pytest.mark.parametrize("cfg", [ScatterConfig.one_d(256, 4, 4, "circular"), ScatterConfig.one_d(256, 6, 8, "circular"), ScatterConfig.one_d(256, 3, 2, "zero_pad"), ScatterConfig.one_d(192, 4, 1, "zero_pad"), ScatterConfig.two_d(32, 32, 3, 8, "circular", group="so2_relative"), ScatterConfig.two_d(32, 64, 2, 4, ("zero_pad", "circular"))], ids=str)
+def test_cascade_against_platform_transforms(cfg):
+    """The same cascade in binary64 by numpy's FFT: orders agree to 2e-6 of their
+    greatest value, with padding, several filters an octave, and pooling."""
+    plan = Scattering.compile(cfg)
+    x = np.random.default_rng(5).normal(size=cfg.signal_len).astype(np.float32)
+    axes = cfg.axes if cfg.dim == 2 else (S.Axis(1, 1, 0, 1, 0), cfg.axes[0])
+    canvas = np.zeros(cfg.canvas)
+    canvas[axes[0].offset : axes[0].offset + axes[0].n, axes[1].offset : axes[1].offset + axes[1].n] = x.reshape(axes[0].n, axes[1].n)
+    step = 1 << cfg.J
+
+    def smooth(u):
+        v = np.fft.ifft2(np.fft.fft2(u) * plan.bank.phi).real[:: step if cfg.dim == 2 else 1, ::step]
+        return v[axes[0].out_offset : axes[0].out_offset + axes[0].out, axes[1].out_offset : axes[1].out_offset + axes[1].out].ravel()
+
+    u1 = [np.abs(np.fft.ifft2(np.fft.fft2(canvas) * h)) for h in plan.bank.first]
+    raw = [smooth(canvas), *map(smooth, u1)] + [smooth(np.abs(np.fft.ifft2(np.fft.fft2(u1[k]) * plan.bank.of_second()[m]))) for k, ms in enumerate(plan.partners) for m in ms]
+    want = {p.n: v for p, v in zip(plan.raw_paths, raw)}
+    if cfg.group != "trivial":
+        L, mean = cfg.L, lambda names: np.mean([want[n] for n in names], 0)
+        raw = [raw[0]] + [mean([(j * L + q,) for q in range(L)]) for j in range(cfg.J)] + [mean([(a * L + q, b * L + (q + d) % L) for q in range(L)]) for a in range(cfg.J) for b in range(a + 1, cfg.J) for d in range(L)]
+    got, raw = plan.run(x[None])[0], np.array(raw)
+    for order in (0, 1, 2):
+        own = [k for k, p in enumerate(plan.paths) if p.order == order]
+        assert np.abs(got[own] - raw[own]).max() <= 2e-6 * np.abs(raw[own]).max()
+
+
+def test_far_arguments():
+    """Against numpy's sines, which are right to a unit in the last place here."""
+    x = np.random.default_rng(1).normal(size=4000) * 10.0 ** np.arange(4000).__mod__(300)
+    assert np.abs(detmath.sin(x) - np.sin(x)).max() < 3e-16 and np.abs(detmath.cos(x) - np.cos(x)).max() < 3e-16
+
+
 def test_certificates(tmp_path):
     import json
 
@@ -474,6 +646,22 @@ def test_session(spark, tmp_path):
     assert not s.detect_anomaly(runs[0]["oid"], 1.0, k=1)["events"][0]["flagged"]
     with pytest.raises(SessionError):
         s.detect_anomaly(odd["oid"], 0.0)
+    import io
+    import json
+
+    from wavemill.sources import server
+
+    ask = lambda method, ident=1, **p: json.dumps({"jsonrpc": "2.0", "id": ident, "method": method, "params": p})
+    call = lambda name, **a: ask("tools/call", name=name, arguments=a)
+    lines = [ask("initialize"), ask("tools/list"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), call("compare", oid=runs[0]["oid"], k=2), call("reduce_scattering", oid=runs[0]["oid"], method="mean"), call("reduce", oid="0" * 28), call("reduce", wrong=1), call("none"), ask("none"), "{", "[]", ""]
+    out = io.StringIO()
+    server.serve(s, io.StringIO("\n".join(lines)), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(got) == 10 and len(got[1]["result"]["tools"]) == 4 and got[0]["result"]["capabilities"] == {"tools": {}}
+    assert got[2]["result"]["structuredContent"] == near and got[3]["result"]["structuredContent"]["shape"] == [4, runs[0]["shape"][1]]
+    assert [g["result"]["isError"] for g in got[2:6]] == [False, False, True, True] and [g["error"]["code"] for g in got[6:]] == [-32602, -32601, -32700, -32600]
+    s.close()
+    assert s.runs().count() == 0
 
 
 def test_api_names():

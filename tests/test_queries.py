@@ -45,9 +45,38 @@ def test_index_holds_every_row(spark, sf_dir):
     want = {}
     for r in tables.sw1_top_k(p, p, 5, plans.N_DIRS, id_col="vec_id").collect():
         want.setdefault(r.query, set()).add(r.neighbour)
-    for got in (plans.hnsw_knn(spark, sf_dir), tables.indexed_knn(e, e, 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=5, directions=plans.N_DIRS, shard=150)):
+    for got in (tables.indexed_knn(e, e, 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=5, directions=plans.N_DIRS), tables.indexed_knn(e, e, 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=5, directions=plans.N_DIRS, shard=150)):
         near = {r.vec_id: set(r.nearest) for r in got.collect()}
         assert set(near) == set(want) and all(i not in x and len(x) == 5 for i, x in near.items())
         assert sum(len(near[i] & want[i]) for i in want) >= 0.9 * 5 * len(want)
     graph = plans.anomaly_graph(spark, sf_dir).collect()
-    assert [r.id for r in graph] == sorted(want)
+    assert sorted(r.id for r in graph) == sorted(want) and all(0 <= r.x <= 1 and 0 <= r.y <= 1 for r in graph)
+    shard = {r.id: r.shard for r in graph}
+    edges = plans.layer0_edges(spark, sf_dir).collect()
+    assert {i for r in edges for i in (r.i, r.j)} == set(shard) and all(r.i != r.j and shard[r.i] == shard[r.j] == r.shard for r in edges)
+    assert len({(r.i, r.j) for r in edges}) == len(edges)
+
+
+def test_scratch_is_shared_or_refused(spark, monkeypatch):
+    from wavemill.sources import scratch
+
+    t = scratch.cut(spark.range(5))
+    assert t.count() == 5
+    scratch.clean(spark)
+    with pytest.raises(Exception):
+        t.collect()
+
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Conf:
+        get = staticmethod(lambda k, d=None: d)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        scratch.scratch_dir(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        scratch.scratch_dir(Session())

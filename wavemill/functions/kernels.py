@@ -67,20 +67,15 @@ def twiddles(n: int, single: bool = True, inverse: bool = False) -> tuple[np.nda
     if n < 2 or n & (n - 1):
         raise ValueError("length must be a power of two")
     kind = F32 if single else np.float64
-    q4, q8 = n // 4, n // 8
-    theta = np.arange(q8 + 1) * (detmath.TAU / n)
-    c = np.zeros(q4 + 1, kind)
-    s = np.zeros(q4 + 1, kind)
-    c[: q8 + 1], s[: q8 + 1] = detmath.cos(theta).astype(kind), detmath.sin(theta).astype(kind)
+    octant = np.arange(n // 8 + 1) * (detmath.TAU / n)
+    # Row 0 holds cosines, row 1 sines; mirrored at the octant's end they change places.
+    both = np.stack([detmath.cos(octant), detmath.sin(octant)]).astype(kind)
     if n >= 8:
-        c[q8] = s[q8] = np.sqrt(0.5).astype(kind)
-    for k in range(q8 + 1, q4 + 1):
-        c[k], s[k] = s[q4 - k], c[q4 - k]
-    p = np.arange(n // 2)
-    low = p <= q4
-    re = np.where(low, c[np.minimum(p, q4)], -s[np.maximum(p - q4, 0)])
-    im = np.where(low, -s[np.minimum(p, q4)], -c[np.maximum(p - q4, 0)])
-    return re.astype(kind), (-im if inverse else im).astype(kind)
+        both[:, -1] = np.sqrt(0.5).astype(kind)
+    quadrant = np.concatenate([both, both[::-1, : n // 4 - n // 8][:, ::-1]], 1)
+    # A quarter turn further on, (cos, sin) is (-sin, cos).
+    cos, sin = np.concatenate([quadrant, np.stack([-quadrant[1], quadrant[0]])[:, 1:]], 1)[:, : n // 2]
+    return np.ascontiguousarray(cos), np.ascontiguousarray(sin if inverse else -sin)
 
 
 # ------------------------------------------------------------------------- FFT
@@ -271,6 +266,10 @@ class Backend(Protocol):
     def subsample(self, re, step, first, out): ...
 
 
+class BackendError(ValueError):
+    """A backend, or the canvas that one is asked to work on, is not fit."""
+
+
 class NumpyBackend:
     name = "cpu"
     numerics_version = NUMERICS_VERSION
@@ -302,26 +301,26 @@ _BACKENDS: dict[str, Backend] = {"cpu": NumpyBackend()}
 
 def register_backend(name: str, backend: Backend) -> None:
     if not 1 <= len(name.encode()) <= 64 or name == "cpu":
-        raise ValueError("a backend's name has 1 to 64 bytes and is not cpu")
+        raise BackendError("a backend's name has 1 to 64 bytes and is not cpu")
     if name in _BACKENDS:
-        raise ValueError(f"backend {name} is registered")
+        raise BackendError(f"backend {name} is registered")
     if backend.numerics_version != NUMERICS_VERSION:
-        raise ValueError(f"backend {name} computes version {backend.numerics_version}, not {NUMERICS_VERSION}")
+        raise BackendError(f"backend {name} computes version {backend.numerics_version}, not {NUMERICS_VERSION}")
     for f in ("fft", "ifft", "mul_real_filter", "modulus", "subsample", "capabilities"):
         if not callable(getattr(backend, f, None)):
-            raise ValueError(f"backend {name} has no {f}")
+            raise BackendError(f"backend {name} has no {f}")
     _BACKENDS[name] = backend
 
 
 def unregister_backend(name: str) -> None:
     if name == "cpu" or name not in _BACKENDS:
-        raise ValueError(f"backend {name} cannot be removed")
+        raise BackendError(f"backend {name} cannot be removed")
     del _BACKENDS[name]
 
 
 def backend(name: str = "cpu") -> Backend:
     if name not in _BACKENDS:
-        raise ValueError(f"no backend {name}")
+        raise BackendError(f"no backend {name}")
     return _BACKENDS[name]
 
 
@@ -332,4 +331,19 @@ def registered_backends() -> list[str]:
 def check_canvas(rows: int, cols: int) -> None:
     for n in (rows, cols):
         if n != 1 and (n & (n - 1) or not 2 <= n <= 4096):
-            raise ValueError("canvas axes are 1 or a power of two from 2 to 4096")
+            raise BackendError("canvas axes are 1 or a power of two from 2 to 4096")
+
+
+def check_planes(rows: int, cols: int, *planes: np.ndarray) -> None:
+    """Planes of a canvas: binary32, of one shape that begins with the canvas."""
+    check_canvas(rows, cols)
+    for x in planes:
+        if x.dtype != F32 or x.shape[:2] != (rows, cols) or x.shape != planes[0].shape:
+            raise BackendError("planes are binary32 and have the canvas's shape")
+
+
+def check_subsample(rows: int, cols: int, step: tuple[int, int], first: tuple[int, int], out: tuple[int, int]) -> None:
+    """The last sample that is taken lies on the canvas."""
+    for n, s, f, m in zip((rows, cols), step, first, out):
+        if s < 1 or f < 0 or m < 1 or (f + m - 1) * s >= n:
+            raise BackendError("samples lie on the canvas")

@@ -319,7 +319,7 @@ class Calibration:
     bias: float
     r2: float
     residual_std: float
-    residuals: np.ndarray
+    residuals: np.ndarray | None  # not held where a table was fitted in place
     mu: np.ndarray
     std: np.ndarray
 
@@ -327,10 +327,13 @@ class Calibration:
         return dot((np.asarray(x, np.float64) - self.mu) / self.std, self.coef) + self.bias
 
     def residual_bytes(self) -> bytes:
+        if self.residuals is None:
+            raise TrainError("residuals are not held")
         return tensor_bytes(self.residuals, "float64")
 
     def constants(self, namespace: str = NAMESPACE) -> str:
-        return canonical({"bias": self.bias, "coef": self.coef.tolist(), "kind": f"{namespace}.calibration", "mu": self.mu.tolist(), "r2": self.r2, "residual_std": self.residual_std, "residuals_oid": oid(self.residual_bytes()), "std": self.std.tolist()})
+        own = {} if self.residuals is None else {"residuals_oid": oid(self.residual_bytes())}
+        return canonical({"bias": self.bias, "coef": self.coef.tolist(), "kind": f"{namespace}.calibration", "mu": self.mu.tolist(), "r2": self.r2, "residual_std": self.residual_std, "std": self.std.tolist(), **own})
 
 
 def ridge(x: np.ndarray, t: np.ndarray, strength: float = 1e-4) -> Calibration:

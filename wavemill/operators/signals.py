@@ -41,23 +41,43 @@ def matrix(column: pa.Array, width: int, kind=np.float32) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), width)
 
 
-def _map(df: DataFrame, id_col: str, col: str, width: int, out: list[tuple[str, str]], f: Callable[[np.ndarray], list], rows: int, kind=np.float32) -> DataFrame:
-    """Map a column of vectors, a bounded number of rows at a time."""
-    id_kind = dict(df.select(F.col(id_col).alias("i")).dtypes)["i"]
-    names = [id_col, *(n for n, _ in out)]
+def _whole(column: pa.Array) -> np.ndarray:
+    """Which lists are there, with no element null."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if not flat.null_count:
+        return there
+    owner = np.repeat(np.flatnonzero(there), np.diff(column.offsets.to_numpy())[there])
+    return there & (np.bincount(owner, flat.is_null().to_numpy(zero_copy_only=False), len(column)) == 0)
+
+
+def _map(df: DataFrame, id_col: str, col: str, width: int, out: list[tuple[str, str]], f: Callable[[np.ndarray], list], rows: int, kind=np.float32, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Map a column of vectors, a bounded number of rows at a time; columns to keep go
+    along. A vector that is null, or holds a null, gives nulls; one of another length
+    is an error of the configuration and raises."""
+    first = df.select(F.col(id_col).alias(id_col), *[F.col(c) for c in keep if c != id_col], F.col(col).alias("wm_vector"))
+    names = [*first.columns[:-1], *(n for n, _ in out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for a in range(0, len(t), rows):
                 part = t.slice(a, rows)
-                cols = f(matrix(part.column(1), width, kind))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(list_array(c) if isinstance(c, np.ndarray) and c.ndim == 2 else pa.array(c) for c in cols)], names=names)
-
-    return df.select(id_col, col).mapInArrow(run, ", ".join([f"`{id_col}` {id_kind}", *(f"`{n}` {k}" for n, k in out)]))
-
-
-def scatter(df: DataFrame, cfg: ScatterConfig | dict, *, id_col: str = "event_id", signal_col: str = "signal", backend: str = "cpu", with_oid: bool = False) -> DataFrame:
-    """(id, coeffs): coefficients in order of path, then position, binary32."""
+                vectors = part.column(len(part.schema) - 1)
+                ok = _whole(vectors)
+                cols = f(matrix(vectors.filter(pa.array(ok)), width, kind) if ok.any() else np.zeros((1, width), kind))
+                cols = [list_array(c) if isinstance(c, np.ndarray) and c.ndim == 2 else pa.array(c) for c in cols]
+                if not ok.all():
+                    place = pa.array(np.where(ok, np.cumsum(ok) - 1, 0), mask=~ok)
+                    cols = [c.take(place) for c in cols]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=names)
+
+    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in first.schema[:-1]]
+    return first.mapInArrow(run, ", ".join([*fields, *(f"`{n}` {k}" for n, k in out)]))
+
+
+def scatter(df: DataFrame, cfg: ScatterConfig | dict, *, id_col: str = "event_id", signal_col: str = "signal", backend: str = "cpu", with_oid: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, coeffs): coefficients in order of path, then position,
+    binary32; null where the signal or one of its samples is."""
     cfg = cfg if isinstance(cfg, ScatterConfig) else ScatterConfig.parse(cfg)
     plan = Scattering.compile(cfg)
     rows = max(1, min(1024, OUT_BYTES // (4 * len(plan.raw_paths) * cfg.out_len)))
@@ -67,57 +87,74 @@ def scatter(df: DataFrame, cfg: ScatterConfig | dict, *, id_col: str = "event_id
         s = s.reshape(len(s), -1)
         return [s, [oid(tensor_bytes(r, "float32")) for r in s]] if with_oid else [s]
 
-    return _map(df, id_col, signal_col, cfg.signal_len, [("coeffs", "array<float>"), *([("oid", "string")] if with_oid else [])], f, rows)
+    return _map(df, id_col, signal_col, cfg.signal_len, [("coeffs", "array<float>"), *([("oid", "string")] if with_oid else [])], f, rows, keep=keep)
 
 
-def _reduce(df: DataFrame, cfg: ScatterConfig | dict, id_col: str, name: str, kind: str, f) -> DataFrame:
+def reduced(coeffs: DataFrame, cfg: ScatterConfig | dict, names: list[str], *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, one column for each of `names`, of `REDUCTIONS`): any number
+    of reductions in one pass over the coefficients."""
     cfg = cfg if isinstance(cfg, ScatterConfig) else ScatterConfig.parse(cfg)
     plan = Scattering.compile(cfg)
     width = len(plan.paths) * cfg.out_len
-    return _map(df, id_col, "coeffs", width, [(name, kind)], lambda s: [f(plan, s.reshape(len(s), len(plan.paths), cfg.out_len))], max(1, OUT_BYTES // (8 * width)))
+    out = [REDUCTIONS[n] for n in names]
+
+    def f(x: np.ndarray) -> list:
+        s = x.reshape(len(x), len(plan.paths), cfg.out_len)
+        return [r[2](plan, s) for r in out]
 
+    return _map(coeffs, id_col, "coeffs", width, [(r[0], r[1]) for r in out], f, max(1, OUT_BYTES // (8 * width)), keep=keep)
 
-def r2(coeffs: DataFrame, cfg, *, id_col: str = "event_id") -> DataFrame:
+
+#: Reductions by name: column, type, and function of (plan, coefficients).
+REDUCTIONS: dict[str, tuple[str, str, Callable]] = {
+    "ratio": ("r2", "array<float>", lambda p, s: p.ratio(s).reshape(len(s), -1)),
+    "log_mean": ("fp", "array<double>", lambda p, s: S.log_mean(s)),
+    "mean": ("mean", "array<double>", lambda p, s: S.path_mean(s)),
+    "std": ("std", "array<double>", lambda p, s: S.path_std(s)),
+    "features": ("x", "array<double>", lambda p, s: S.path_mean(p.ratio(s))),
+    "clouds": ("cloud", "array<double>", lambda p, s: S.clouds(s).reshape(len(s), -1)),
+}
+
+
+def r2(coeffs: DataFrame, cfg, *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, r2): second- over first-order coefficients, 0 where the latter are."""
-    return _reduce(coeffs, cfg, id_col, "r2", "array<float>", lambda p, s: p.ratio(s).reshape(len(s), -1))
+    return reduced(coeffs, cfg, ["ratio"], id_col=id_col, keep=keep)
 
 
-def fingerprint(coeffs: DataFrame, cfg, *, id_col: str = "event_id") -> DataFrame:
+def fingerprint(coeffs: DataFrame, cfg, *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, fp): mean of ln(2^-20 + |c|) per path, ordered sums."""
-    return _reduce(coeffs, cfg, id_col, "fp", "array<double>", lambda p, s: S.log_mean(s))
+    return reduced(coeffs, cfg, ["log_mean"], id_col=id_col, keep=keep)
 
 
-def path_mean(coeffs: DataFrame, cfg, *, id_col: str = "event_id") -> DataFrame:
-    return _reduce(coeffs, cfg, id_col, "mean", "array<double>", lambda p, s: S.path_mean(s))
+def path_mean(coeffs: DataFrame, cfg, *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    return reduced(coeffs, cfg, ["mean"], id_col=id_col, keep=keep)
 
 
-def path_std(coeffs: DataFrame, cfg, *, id_col: str = "event_id") -> DataFrame:
-    return _reduce(coeffs, cfg, id_col, "std", "array<double>", lambda p, s: S.path_std(s))
+def path_std(coeffs: DataFrame, cfg, *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    return reduced(coeffs, cfg, ["std"], id_col=id_col, keep=keep)
 
 
-def features_from_r2(coeffs: DataFrame, cfg, *, id_col: str = "event_id") -> DataFrame:
+def features_from_r2(coeffs: DataFrame, cfg, *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, x): mean ratio per pair, as features of a classifier."""
-    return _reduce(coeffs, cfg, id_col, "x", "array<double>", lambda p, s: S.path_mean(p.ratio(s)))
+    return reduced(coeffs, cfg, ["features"], id_col=id_col, keep=keep)
 
 
-def fingerprint_clouds(coeffs: DataFrame, cfg, *, id_col: str = "event_id") -> DataFrame:
+def fingerprint_clouds(coeffs: DataFrame, cfg, *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, cloud): points of one coordinate per path, a point per position, flat."""
-    return _reduce(coeffs, cfg, id_col, "cloud", "array<double>", lambda p, s: S.clouds(s).reshape(len(s), -1))
-
-
-REDUCTIONS = {"ratio": r2, "log_mean": fingerprint, "mean": path_mean, "std": path_std}
+    return reduced(coeffs, cfg, ["clouds"], id_col=id_col, keep=keep)
 
 
 def reduce_coefficients(coeffs: DataFrame, cfg, method: str = "ratio", *, id_col: str = "event_id") -> DataFrame:
-    if method not in REDUCTIONS:
-        raise ValueError(f"method is one of {sorted(REDUCTIONS)}")
-    return REDUCTIONS[method](coeffs, cfg, id_col=id_col)
+    methods = ("log_mean", "mean", "ratio", "std")
+    if method not in methods:
+        raise ValueError(f"method is one of {list(methods)}")
+    return reduced(coeffs, cfg, [method], id_col=id_col)
 
 
-def coeffs_long(coeffs: DataFrame, cfg: ScatterConfig, *, id_col: str = "event_id") -> DataFrame:
-    """(id, path_id, pos, value)."""
+def coeffs_long(coeffs: DataFrame, cfg: ScatterConfig, *, id_col: str = "event_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, path_id, pos, value)."""
     n = cfg.out_len
-    return coeffs.select(id_col, F.posexplode("coeffs").alias("at", "value")).select(id_col, F.expr(f"int(at div {n})").alias("path_id"), (F.col("at") % n).alias("pos"), "value")
+    return coeffs.select(id_col, *keep, F.posexplode("coeffs").alias("at", "value")).select(id_col, *keep, F.expr(f"int(at div {n})").alias("path_id"), (F.col("at") % n).alias("pos"), "value")
 
 
 def scatter_paths(spark: SparkSession, cfg: ScatterConfig | dict) -> DataFrame:
@@ -161,11 +198,6 @@ def dft(df: DataFrame, n: int, bins: int, *, id_col: str, signal_col: str) -> Da
     return both.groupBy(id_col, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
 
 
-def ratio_join(s2: DataFrame, s1: DataFrame, on: list[str]) -> DataFrame:
-    """Ratios by a join on the first-order key, 0 where the divisor is 0."""
-    return s2.join(s1, on).withColumn("ratio", F.when(F.col("s1") == 0, F.lit(0.0)).otherwise(F.col("s2") / F.when(F.col("s1") != 0, F.col("s1"))).cast("float"))
-
-
 def so2_pool(cube: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean over the orientation, in binary64, rounded once to binary32."""
     return cube.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).cast("float").alias("pooled"))

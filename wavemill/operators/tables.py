@@ -8,7 +8,8 @@ up to rounding.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,51 +17,78 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import anomaly, stats, training
+from ..functions.rng import STREAM_CHUNKS, Stream
 from ..functions.sums import block_of, psum
-from .signals import list_array
+from ..sources.scratch import cut
+from .signals import list_array, matrix
 
 # --------------------------------------------------------------- ordered sums
 
 
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """Rows sorted into ranges of a key, a range per partition (`wm_range`), written
+    down: ranges are drawn from samples, so they must not be drawn twice."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("wm_range", F.spark_partition_id()))
+
+
+def _ahead(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """(wm_range, a_<c>): totals of the ranges before each; parts has a row per range."""
+    kinds = dict(parts.dtypes)
+    rows, total = [], [0 if kinds[c] in ("bigint", "int") else 0.0 for c in columns]
+    for r in sorted(parts.collect()):
+        rows.append((r[0], *total))
+        total = [t + (v or 0) for t, v in zip(total, r[1:])]
+    return parts.sparkSession.createDataFrame(rows, ", ".join(["wm_range int", *(f"`a_{c}` {kinds[c]}" for c in columns)]))
+
+
 def dense_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     """Adds 0, 1, 2, ... in the order of a key: rows are sorted into ranges, each is
     numbered on its own and shifted by the rows ahead of it."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("wm_range", F.spark_partition_id()).withColumn("wm_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    ranged = ranged.persist()
-    counts = {r[0]: r[1] for r in ranged.groupBy("wm_range").count().collect()}
-    ahead, total = {}, 0
-    for k in sorted(counts):
-        ahead[k] = total
-        total += counts[k]
-    shift = spark.createDataFrame([(k, v) for k, v in ahead.items()], "wm_range int, wm_ahead long")
-    return ranged.join(F.broadcast(shift), "wm_range").withColumn(out, F.col("wm_row") + F.col("wm_ahead")).drop("wm_range", "wm_row", "wm_ahead")
-
-
-def psum_columns(df: DataFrame, order: list[str], columns: list[str], depth: int = 6) -> dict[str, float]:
-    """Tree sums over all rows in the order of a key. The nodes at `depth` are
-    contiguous blocks of rows; each is summed by one task, the driver adds the
-    2^depth values by the rest of the tree."""
-    rows = dense_index(df.select(*order, *columns), order)
-    n = rows.count()
+    rows = ranged(df, order)
+    place = F.row_number().over(Window.partitionBy("wm_range").orderBy(*order)) - 1
+    shift = _ahead(rows.groupBy("wm_range").agg(F.count("*").alias("n")), ["n"])
+    return rows.withColumn("wm_row", place).join(F.broadcast(shift), "wm_range").withColumn(out, F.col("wm_row") + F.col("a_n")).drop("wm_range", "wm_row", "a_n")
+
+
+def running_sums(df: DataFrame, order: list, columns: list[str]) -> DataFrame:
+    """Adds `run_<c>`: the sum of c over all rows up to each, in the order of a key, by
+    ranges of the key: no task sees all rows."""
+    rows = ranged(df, order)
+    upto = Window.partitionBy("wm_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    shift = _ahead(rows.groupBy("wm_range").agg(*[F.sum(c).alias(c) for c in columns]), columns)
+    rows = rows.withColumns({f"run_{c}": F.sum(c).over(upto) for c in columns}).join(F.broadcast(shift), "wm_range")
+    return rows.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"a_{c}") for c in columns}).drop("wm_range", *[f"a_{c}" for c in columns])
+
+
+def tree_sums(rows: DataFrame, n: int, k: int, f: Callable[[pa.RecordBatch], np.ndarray], depth: int = 6) -> np.ndarray:
+    """k tree sums over n rows that `idx` numbers; f gives (rows, k) values of a batch.
+    The nodes at `depth` are contiguous blocks of rows; each is summed by one task, the
+    driver adds the 2^depth values by the rest of the tree."""
     if n == 0:
-        return {c: 0.0 for c in columns}
-    depth = min(depth, max(0, n.bit_length() - 1))
+        return np.zeros(k)
+    depth = min(depth, n.bit_length() - 1)
+    names = [f"v{j}" for j in range(k)]
+    fields = ", ".join(f"{c} double" for c in names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            b = block_of(t.column("idx").to_numpy(), n, depth)
-            yield pa.RecordBatch.from_arrays([pa.array(b), *t.columns], names=["wm_block", *t.schema.names])
+            v, idx = f(t), t.column("idx")
+            yield pa.RecordBatch.from_arrays([pa.array(block_of(idx.to_numpy(), n, depth)), idx, *(pa.array(np.ascontiguousarray(v[:, j])) for j in range(k))], names=["wm_block", "idx", *names])
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         o = np.argsort(t.column("idx").to_numpy())
-        return pa.table({"wm_block": pa.array([key[0].as_py()], pa.int64()), **{c: pa.array([float(psum(t.column(c).to_numpy()[o]))]) for c in columns}})
+        return pa.table({"wm_block": pa.array([key[0].as_py()], pa.int64()), **{c: pa.array([float(psum(t.column(c).to_numpy()[o]))]) for c in names}})
 
-    fields = ", ".join(f"`{c}` double" for c in columns)
-    placed = rows.select("idx", *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(blocks, f"wm_block long, idx long, {fields}")
-    parts = sorted(placed.groupBy("wm_block").applyInArrow(add, f"wm_block long, {fields}").collect())
-    return {c: float(psum(np.array([r[c] for r in parts]))) for c in columns}
+    parts = sorted(rows.mapInArrow(blocks, f"wm_block long, idx long, {fields}").groupBy("wm_block").applyInArrow(add, f"wm_block long, {fields}").collect())
+    return np.array([psum(np.array([r[1 + j] for r in parts])) for j in range(k)])
+
+
+def psum_columns(df: DataFrame, order: list[str], columns: list[str], depth: int = 6) -> dict[str, float]:
+    """Tree sums over all rows in the order of a key."""
+    rows = dense_index(df.select(*order, *columns), order).select("idx", *[F.col(c).cast("double").alias(c) for c in columns])
+    got = tree_sums(rows, rows.count(), len(columns), lambda t: np.stack([t.column(c).to_numpy() for c in columns], 1), depth)
+    return dict(zip(columns, got.tolist()))
 
 
 # -------------------------------------------------------- distance correlation
@@ -92,55 +120,80 @@ def _by_group(df, x, y, w, keys, order, schema, f) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema]))
 
 
-def dcorr2_chunked(df: DataFrame, x: str, y: str, w: str | None = None, *, order: str, seed: int = 0) -> float:
-    """The estimator over a whole table: one task for each chunk of the
-    permutation, their mean by the ordered sum. The permutation is one long per
-    row and is dealt out by the driver, the rows are not."""
-    rows = dense_index(df.select(order, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(w).cast("double") if w else F.lit(1.0)).alias("w")), [order])
+def dcorr2_chunks(df: DataFrame, x: str, y: str, w: str | None = None, *, order: str, seed: int = 0, chunk: int = stats.CHUNK, permutation: str = "drawn") -> DataFrame:
+    """(chunk, value): the exact statistic of each chunk of a permutation of all rows, a
+    task each. As the estimator is defined, a last chunk that is not full is left out;
+    fewer than 8 rows are one chunk.
+
+    `drawn`: rows in order of random words of their number, by a range sort. `reference`:
+    the shuffle of the estimator in `stats`, with its bits; it is sequential, so it
+    is made on the driver and bounded by `REFERENCE_ROWS`."""
+    if permutation not in ("drawn", "reference"):
+        raise ValueError("permutation is drawn or reference")
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    rows = dense_index(df.select(order, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), weight.alias("w")), [order])
     n = rows.count()
-    parts = stats.chunks(n, seed)
-    if n < 2:
-        return 0.0
-    if parts is None:
-        parts = [np.arange(n)]
-    place = np.full(n, -1, np.int64)
-    rank = np.zeros(n, np.int64)
-    for k, p in enumerate(parts):
-        place[p], rank[p] = k, np.arange(len(p))
-    shared = df.sparkSession.sparkContext.broadcast((place, rank))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            i = t.column("idx").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[0][i]), pa.array(shared.value[1][i]), *(t.column(c) for c in "xyw")], names=["chunk", "rank", "x", "y", "w"])
+    size = min(chunk, n // 2)
+    if size < 4:
+        placed, size, full = rows.withColumn("place", F.col("idx")), max(n, 1), 1
+    else:
+        full = n // size
+        if permutation == "drawn":
+
+            def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for t in batches:
+                    i = t.column("idx").to_numpy().astype(np.uint64)
+                    words = Stream(seed, STREAM_CHUNKS)
+                    v = words.words(2 * i) | words.words(2 * i + np.uint64(1)) << np.uint64(32)
+                    yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("idx", "x", "y", "w")), pa.array((v >> np.uint64(1)).view(np.int64))], names=["idx", "x", "y", "w", "draw"])
+
+            placed = dense_index(rows.mapInArrow(draw, "idx long, x double, y double, w double, draw long"), ["draw", "idx"], "place")
+        else:
+            if n > REFERENCE_ROWS:
+                raise ValueError(f"the reference permutation is made for {REFERENCE_ROWS} rows at most")
+            place = np.empty(n, np.int64)
+            place[Stream(seed, STREAM_CHUNKS).permutation(n)] = np.arange(n)
+            shared = df.sparkSession.sparkContext.broadcast(place)
+
+            def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for t in batches:
+                    yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("x", "y", "w")), pa.array(shared.value[t.column("idx").to_numpy()])], names=["x", "y", "w", "place"])
+
+            placed = rows.mapInArrow(look, "x double, y double, w double, place long")
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
-        o = np.argsort(t.column("rank").to_numpy())
-        return pa.table({"chunk": pa.array([key[0].as_py()]), "value": pa.array([stats.dcorr2_exact(*(t.column(c).to_numpy()[o] for c in "xyw"))])})
+        o = np.argsort(t.column("place").to_numpy())
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "value": pa.array([stats.dcorr2_exact(*(t.column(c).to_numpy()[o] for c in "xyw"))])})
+
+    parts = placed.select((F.floor(F.col("place") / size)).cast("long").alias("chunk"), "place", "x", "y", "w").where(F.col("chunk") < full)
+    return parts.groupBy("chunk").applyInArrow(one, "chunk long, value double")
+
+
+#: Rows whose reference permutation the driver makes, at most: 8 bytes each.
+REFERENCE_ROWS = 20_000_000
 
-    got = rows.mapInArrow(deal, "chunk long, rank long, x double, y double, w double").where("chunk >= 0").groupBy("chunk").applyInArrow(one, "chunk long, value double").collect()
-    return float(psum(np.array([r.value for r in sorted(got)])) / len(got))
+
+def dcorr2_chunked(df: DataFrame, x: str, y: str, w: str | None = None, *, order: str, seed: int = 0, chunk: int = stats.CHUNK, permutation: str = "drawn") -> float:
+    """The mean of `dcorr2_chunks`, by the ordered sum."""
+    got = sorted(dcorr2_chunks(df, x, y, w, order=order, seed=seed, chunk=chunk, permutation=permutation).collect())
+    return float(psum(np.array([r.value for r in got])) / len(got)) if got else 0.0
 
 
 # -------------------------------------------------------- plain aggregate forms
 
 
-def centred_pairs(df: DataFrame, keys: list[str], order: str, columns: list[str], w: str) -> DataFrame:
-    """Pairs (i, j) of each group with centred distances A of each column and the
-    normalised weights; the groups' squares, so for small groups."""
-    total = Window.partitionBy(*keys)
-    v = df.withColumn("v", F.col(w) / F.sum(w).over(total)).select(*keys, order, *columns, "v")
-    left = v.select(*keys, F.col(order).alias("i"), *[F.col(c).alias(f"{c}_i") for c in columns], F.col("v").alias("v_i"))
-    right = v.select(*keys, F.col(order).alias("j"), *[F.col(c).alias(f"{c}_j") for c in columns], F.col("v").alias("v_j"))
-    p = left.join(right, keys)
-    for c in columns:
-        d = F.abs(F.col(f"{c}_i") - F.col(f"{c}_j"))
-        p = p.withColumn(f"d_{c}", d)
-        row, col = Window.partitionBy(*keys, "i"), Window.partitionBy(*keys, "j")
-        p = p.withColumn(f"r_{c}", F.sum(F.col("v_j") * F.col(f"d_{c}")).over(row)).withColumn(f"q_{c}", F.sum(F.col("v_i") * F.col(f"d_{c}")).over(col))
-        p = p.withColumn(f"mu_{c}", F.sum(F.col("v_i") * F.col("v_j") * F.col(f"d_{c}")).over(Window.partitionBy(*keys)))
-        p = p.withColumn(f"A_{c}", F.col(f"d_{c}") - F.col(f"r_{c}") - F.col(f"q_{c}") + F.col(f"mu_{c}"))
-    return p
+def proxy_gradient(df: DataFrame, s: str, m: str, w: str) -> DataFrame:
+    """`df` with `grad`: the gradient of the squared weighted correlation. All moments
+    are one aggregate, one row, that meets the rows."""
+    x, y, v = F.col(s).cast("double"), F.col(m).cast("double"), F.col(w).cast("double")
+    t = df.agg(F.sum(v).alias("wm_w"), F.sum(v * x).alias("wm_x"), F.sum(v * y).alias("wm_y"), F.sum(v * x * y).alias("wm_xy"), F.sum(v * x * x).alias("wm_xx"), F.sum(v * y * y).alias("wm_yy"))
+    den, c = F.col("wm_w") + 1e-12, lambda a, b, ab: F.col(ab) / F.col("wm_den") - 2 * F.col(a) * F.col(b) + F.col(a) * F.col(b) * F.col("wm_w") / F.col("wm_den")
+    t = t.withColumn("wm_den", den).withColumn("wm_mx", F.col("wm_x") / den).withColumn("wm_my", F.col("wm_y") / den)
+    t = t.select("wm_den", "wm_mx", "wm_my", c("wm_mx", "wm_my", "wm_xy").alias("wm_cov"), (c("wm_mx", "wm_mx", "wm_xx") + 1e-12).alias("wm_vx"), (c("wm_my", "wm_my", "wm_yy") + 1e-12).alias("wm_vy"))
+    sd = F.sqrt(F.col("wm_vx") * F.col("wm_vy"))
+    r = F.col("wm_cov") / sd
+    grad = 2 * r * (v / F.col("wm_den")) * ((y - F.col("wm_my")) / sd - r * (x - F.col("wm_mx")) / F.col("wm_vx"))
+    return df.join(F.broadcast(t)).withColumn("grad", grad).drop("wm_den", "wm_mx", "wm_my", "wm_cov", "wm_vx", "wm_vy")
 
 
 def bin_column(v: Column, lo: Column, hi: Column, n_bins: int) -> Column:
@@ -148,18 +201,24 @@ def bin_column(v: Column, lo: Column, hi: Column, n_bins: int) -> Column:
     return F.when(hi <= lo, F.lit(0)).otherwise(F.least(F.greatest(F.floor(t), F.lit(0)), F.lit(n_bins - 1))).cast("int")
 
 
-def histogram(df: DataFrame, value: str, weight: str, n_bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """(bin, weight) of every bin, empty ones too; the range is one small row."""
+def histograms(df: DataFrame, value: str, weights: dict[str, Column], n_bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """(bin, one column for each of `weights`) of every bin, empty ones too, in one
+    pass; the range is one small row."""
     bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")) if lo is None else df.sparkSession.createDataFrame([(lo, hi)], "lo double, hi double")
-    b = df.join(F.broadcast(bounds)).select(bin_column(F.col(value), F.col("lo"), F.col("hi"), n_bins).alias("bin"), F.col(weight).cast("double").alias("weight"))
-    sums = b.groupBy("bin").agg(F.sum("weight").alias("weight"))
-    return df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin")).join(sums, "bin", "left").select("bin", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    b = df.join(F.broadcast(bounds)).select(bin_column(F.col(value), F.col("lo"), F.col("hi"), n_bins).alias("bin"), *[w.cast("double").alias(n) for n, w in weights.items()])
+    sums = b.groupBy("bin").agg(*[F.sum(n).alias(n) for n in weights])
+    return df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin")).join(sums, "bin", "left").select("bin", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in weights])
+
+
+def histogram(df: DataFrame, value: str, weight: str, n_bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """(bin, weight) of every bin."""
+    return histograms(df, value, {"weight": F.col(weight)}, n_bins, lo, hi)
 
 
-def jsd_of(p: DataFrame, q: DataFrame) -> DataFrame:
-    """One row: jsd of two histograms (bin, weight); null where one is empty."""
-    every = Window.partitionBy(F.lit(1))
-    j = p.select("bin", F.col("weight").alias("p")).join(q.select("bin", F.col("weight").alias("q")), "bin")
+def jsd_of(both: DataFrame, p: str, q: str) -> DataFrame:
+    """One row: jsd of two columns of a histogram; null where one is empty."""
+    every = Window.partitionBy(F.lit(1))  # a row per bin
+    j = both.select("bin", F.col(p).alias("p"), F.col(q).alias("q"))
     j = j.withColumn("p", F.col("p") / F.nullif(F.sum("p").over(every), F.lit(0.0))).withColumn("q", F.col("q") / F.nullif(F.sum("q").over(every), F.lit(0.0)))
     mid = 0.5 * (F.col("p") + F.col("q"))
     term = lambda a: F.when(a.isNull(), None).when(a == 0, 0.0).otherwise(a * F.ln(a / F.nullif(mid, F.lit(0.0))))
@@ -167,13 +226,12 @@ def jsd_of(p: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def cut_at(df: DataFrame, score: str, label: str, weight: str, order: str, targets: list[float]) -> DataFrame:
-    """(target, threshold, s, b, sig_eff, bkg_eff). Weights are summed per score
-    before they are accumulated, so no window gathers the rows."""
+    """(target, threshold, s, b, sig_eff, bkg_eff). Weights are summed per score, then
+    accumulated by ranges of the score."""
     per = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0.0)).alias("ws"), F.sum(F.when(F.col(label) != 1, F.col(weight)).otherwise(0.0)).alias("wb"), F.count_if(F.col(label) == 1).alias("ns"))
-    down = Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    run = per.withColumn("s", F.sum("ws").over(down)).withColumn("b", F.sum("wb").over(down)).withColumn("ts", F.sum("ws").over(every)).withColumn("tb", F.sum("wb").over(every)).where("ns > 0")
-    t = df.sparkSession.createDataFrame([(float(x),) for x in targets], "target double")
+    run = running_sums(per, [F.col("score").desc()], ["ws", "wb"]).where("ns > 0").withColumnsRenamed({"run_ws": "s", "run_wb": "b"})
+    total = df.agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0.0)).alias("ts"), F.sum(F.when(F.col(label) != 1, F.col(weight)).otherwise(0.0)).alias("tb"))
+    t = df.sparkSession.createDataFrame([(float(x),) for x in targets], "target double").join(total)
     met = run.join(F.broadcast(t), F.col("s") >= F.col("target") * F.col("ts"))
     best = met.groupBy("target").agg(F.max_by(F.struct("score", "s", "b", "ts", "tb"), "score").alias("c"))
     return best.select("target", F.col("c.score").alias("threshold"), F.col("c.s").alias("s"), F.col("c.b").alias("b"), (F.col("c.s") / F.col("c.ts")).alias("sig_eff"), (F.col("c.b") / F.col("c.tb")).alias("bkg_eff"))
@@ -206,9 +264,21 @@ def synthetic_dataset(spark: SparkSession, n: int, d: int, seed: int, split: int
     return spark.range(n).mapInArrow(run, "event_id long, x array<double>, y tinyint, w double, m double")
 
 
+#: Rows of a training table, and clouds of one index, that the driver holds at most.
+DRIVER_ROWS = 5_000_000
+
+
+def _bounded(df: DataFrame, most: int = DRIVER_ROWS) -> DataFrame:
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows; training and a single index are sequential and take {most} at most")
+    return df
+
+
 def dataset(df: DataFrame) -> training.Dataset:
-    """A training table in event order, on the driver: minibatches are sequential."""
-    t = df.select("event_id", "x", "y", "w", "m").orderBy("event_id").toArrow()
+    """A training table in event order, on the driver: minibatches are sequential. Its
+    size is checked (`DRIVER_ROWS`)."""
+    t = _bounded(df.select("event_id", "x", "y", "w", "m")).orderBy("event_id").toArrow()
     x = np.array(t.column("x").to_pylist(), np.float64)
     return training.Dataset(x.reshape(len(t), -1), t.column("y").to_numpy().astype(np.uint8), t.column("w").to_numpy(), t.column("m").to_numpy())
 
@@ -255,10 +325,50 @@ def bench_report(train_df: DataFrame, eval_df: DataFrame, lambdas: list[float],
     return training.benchmark_report(lambdas, lambda_star, rows, cfg, inputs, n_bins, target)
 
 
-def calibrate(df: DataFrame, features: str, target: str, *, order: str, strength: float = 1e-4) -> training.Calibration:
-    """Ridge in closed form with ordered sums, in the order of a key."""
-    t = df.select(order, features, F.col(target).cast("double").alias("wm_t")).orderBy(order).toArrow()
-    return training.ridge(np.array(t.column(features).to_pylist(), np.float64), t.column("wm_t").to_numpy(), strength)
+def calibrate(df: DataFrame, features: str, target: str, *, order: list[str], strength: float = 1e-4) -> training.Calibration:
+    """Ridge in closed form, all sums by the ordered tree in the order of a key: the bits
+    of `training.ridge`, but rows stay where they are. Residuals are not gathered; see
+    `residuals`."""
+    rows = dense_index(df.select(*order, F.col(features).cast("array<double>").alias("wm_x"), F.col(target).cast("double").alias("wm_t")), order).select("idx", "wm_x", "wm_t")
+    n = rows.count()
+    if not n:
+        raise training.TrainError("no events")
+    d = len(rows.first()["wm_x"])
+    x_of = lambda t: matrix(t.column("wm_x"), d, np.float64)
+    t_of = lambda t: t.column("wm_t").to_numpy()
+    mu = tree_sums(rows, n, d, x_of) / n
+    std = np.sqrt(tree_sums(rows, n, d, lambda t: (x_of(t) - mu) * (x_of(t) - mu)) / n) + 1e-8
+    z_of = lambda t: (x_of(t) - mu) / std
+
+    def products(t: pa.RecordBatch) -> np.ndarray:
+        z, own = z_of(t), t_of(t)
+        return np.concatenate([(z[:, :, None] * z[:, None, :]).reshape(len(z), d * d), z * own[:, None]], 1)
+
+    got = tree_sums(rows, n, d * d + d, products)
+    g = got[: d * d].reshape(d, d).copy()
+    g[np.arange(d), np.arange(d)] += strength
+    coef = training.cholesky_solve(training.cholesky(g), got[d * d :])
+    t_sum, fit_sum = tree_sums(rows, n, 2, lambda t: np.stack([t_of(t), training.dot(z_of(t), coef)], 1))
+    bias = float(t_sum / n - fit_sum / n)
+    left = lambda t: t_of(t) - (training.dot(z_of(t), coef) + bias)
+    spread = lambda t: t_of(t) - t_sum / n
+    res, square, total = tree_sums(rows, n, 3, lambda t: np.stack([left(t), left(t) * left(t), spread(t) * spread(t)], 1))
+    mean = res / n
+    var = tree_sums(rows, n, 1, lambda t: ((left(t) - mean) ** 2)[:, None])[0] / n
+    return training.Calibration(coef, bias, float(1.0 - square / (total + 1e-12)), float(np.sqrt(var)), None, mu, std)
+
+
+def residuals(df: DataFrame, model: training.Calibration, features: str, target: str) -> DataFrame:
+    """`df` with `residual`."""
+    d = len(model.coef)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            fit = model.predict(matrix(t.column(len(t.schema) - 2), d, np.float64)) if len(t) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*t.columns[:-2], pa.array(t.columns[-1].to_numpy() - fit)], names=[*t.schema.names[:-2], "residual"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+    return df.select("*", F.col(features).cast("array<double>").alias("wm_x"), F.col(target).cast("double").alias("wm_t")).mapInArrow(run, f"{fields}residual double")
 
 
 def gram(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -291,32 +401,63 @@ def project_clouds(df: DataFrame, dirs: np.ndarray, *, id_col: str, cloud_col: s
     return df.select(id_col, cloud_col).mapInArrow(run, f"`{id_col}` {kind}, projected array<double>")
 
 
-def sw1_top_k(projected: DataFrame, queries: DataFrame, k: int, n_dirs: int, *, id_col: str) -> DataFrame:
-    """(query, neighbour, rank, sw1): exact nearest of all rows to each row of a
-    stated query set, which is shared with the tasks; every task keeps its own k
-    nearest and k per query and task are merged."""
-    q = [(r[0], np.array(r[1])) for r in queries.select(id_col, "projected").collect()]
-    shared = projected.sparkSession.sparkContext.broadcast(q)
+#: Queries that are broadcast at most; more meet the rows in blocks.
+BROADCAST_QUERIES = 2000
+#: Rows and queries of a block.
+BLOCK_ROWS, BLOCK_QUERIES = 2000, 200
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
-        for t in batches:
-            ids = t.column(0).to_pylist()
-            rows = [np.array(v).reshape(n_dirs, -1) for v in t.column(1).to_pylist()]
-            for width in {r.shape[1] for r in rows}:
-                own = [i for i, r in enumerate(rows) if r.shape[1] == width]
-                block = np.stack([rows[i] for i in own])
-                for name, p in shared.value:
-                    p = p.reshape(n_dirs, -1)
-                    d = psum(anomaly.w1_sorted(np.broadcast_to(p, (len(own), *p.shape)), block)) / n_dirs
-                    cand = best.get(name, []) + [(float(x), ids[i]) for x, i in zip(d, own) if ids[i] != name]
-                    best[name] = sorted(cand)[:k]
-        flat = [(a, i, d) for a, near in best.items() for d, i in near]
-        if flat:
-            a, i, d = zip(*flat)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query", "neighbour", "sw1"])
-
-    near = projected.select(F.col(id_col).cast("long").alias(id_col), "projected").mapInArrow(run, "query long, neighbour long, sw1 double")
+
+def _nearest_rows(ids: list[int], rows: list[np.ndarray], queries: list[tuple[int, np.ndarray]], k: int, n_dirs: int, best: dict[int, list[tuple[float, int]]]) -> None:
+    """Merge the k nearest of some rows into `best`, for each query."""
+    shaped = [r.reshape(n_dirs, -1) for r in rows]
+    for width in {r.shape[1] for r in shaped}:
+        own = [i for i, r in enumerate(shaped) if r.shape[1] == width]
+        block = np.stack([shaped[i] for i in own])
+        for name, p in queries:
+            p = p.reshape(n_dirs, -1)
+            d = psum(anomaly.w1_sorted(np.broadcast_to(p, (len(own), *p.shape)), block)) / n_dirs
+            cand = best.get(name, []) + [(float(x), ids[i]) for x, i in zip(d, own) if ids[i] != name]
+            best[name] = sorted(cand)[:k]
+
+
+def _found(best: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
+    a, i, d = zip(*[(a, i, d) for a, near in best.items() for d, i in near]) if any(best.values()) else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query", "neighbour", "sw1"])
+
+
+def sw1_top_k(projected: DataFrame, queries: DataFrame, k: int, n_dirs: int, *, id_col: str, broadcast: int = BROADCAST_QUERIES) -> DataFrame:
+    """(query, neighbour, rank, sw1): exact nearest of all rows to each row of a stated
+    query set. Up to `broadcast` queries go to all tasks; a larger set meets the rows in
+    blocks. Every task keeps the k nearest that it sees, and these are merged."""
+    rows = projected.select(F.col(id_col).cast("long").alias("id"), "projected")
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), "projected")
+    first = asked.limit(broadcast + 1).collect()
+    schema = "query long, neighbour long, sw1 double"
+    if len(first) <= broadcast:
+        shared = projected.sparkSession.sparkContext.broadcast([(r[0], np.array(r[1])) for r in first])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, list[tuple[float, int]]] = {}
+            for t in batches:
+                _nearest_rows(t.column(0).to_pylist(), [np.array(v) for v in t.column(1).to_pylist()], shared.value, k, n_dirs, best)
+            yield _found(best)
+
+        near = rows.mapInArrow(run, schema)
+    else:
+
+        def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+            n = max(1, -(-df.count() // size))
+            return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "projected")).alias(name))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                for own, other in zip(t.column("rows").to_pylist(), t.column("asked").to_pylist()):
+                    best: dict[int, list[tuple[float, int]]] = {}
+                    _nearest_rows([r["id"] for r in own], [np.array(r["projected"]) for r in own], [(q["id"], np.array(q["projected"])) for q in other], k, n_dirs, best)
+                    yield _found(best)
+
+        both = blocks(rows, BLOCK_ROWS, "rows").crossJoin(blocks(asked, BLOCK_QUERIES, "asked"))
+        near = both.repartition("rows_block", "asked_block").select("rows", "asked").mapInArrow(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("sw1", "neighbour"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "neighbour", "rank", "sw1")
 
@@ -336,7 +477,7 @@ class AnomalyIndex:
 
     @classmethod
     def fit(cls, clouds: DataFrame, dim: int, *, id_col: str, cloud_col: str, tau: float, **config) -> AnomalyIndex:
-        rows = clouds.select(id_col, cloud_col).orderBy(id_col).collect()
+        rows = _bounded(clouds.select(id_col, cloud_col)).orderBy(id_col).collect()
         refs = [np.array(r[1], np.float64).reshape(-1, dim) for r in rows]
         return cls(anomaly.AnomalyIndex(refs, anomaly.AnomalyConfig(tau, **config)), [r[0] for r in rows], dim)
 
@@ -374,10 +515,17 @@ def _near_sw1(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.abs(a - b).sum()) / a.size if a.shape == b.shape else anomaly.sw1(a, b)
 
 
-def indexed_knn(clouds: DataFrame, queries: DataFrame, dim: int, *, id_col: str, cloud_col: str, tau: float, shard: int = SHARD, **config) -> DataFrame:
-    """(id, kth_distance, nearest, distances, flagged): the k nearest of all rows but
-    the query itself. Rows are dealt by their ids to shards of bounded size, each with
-    an index of its own that answers every query; answers are merged per query."""
+@dataclass(frozen=True)
+class Shards:
+    """Rows dealt by their ids to shards of bounded size, a graph of its own for each:
+    `built` has (shard, built), the latter the pickled ids, projections and graph."""
+
+    built: DataFrame
+    cfg: anomaly.AnomalyConfig
+    dirs: np.ndarray
+
+
+def index_shards(clouds: DataFrame, dim: int, *, id_col: str, cloud_col: str, tau: float, shard: int = SHARD, **config) -> Shards:
     cfg = anomaly.AnomalyConfig(tau, **config)
     dirs = anomaly.directions(dim, cfg.directions, cfg.seed)
     rows = clouds.select(F.col(id_col).cast("long").alias("id"), F.col(cloud_col).cast("array<double>").alias("cloud"))
@@ -390,6 +538,48 @@ def indexed_knn(clouds: DataFrame, queries: DataFrame, dim: int, *, id_col: str,
         index = anomaly.Hnsw.build(len(refs), lambda i, j: _near_sw1(refs[i], refs[j]), anomaly.HnswConfig(cfg.m, cfg.ef_construction, cfg.ef_search, cfg.seed))
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "built": pa.array([pickle.dumps((ids, refs, index))], pa.binary())})
 
+    return Shards(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard")).applyInArrow(build, "shard int, built binary"), cfg, dirs)
+
+
+def layer0_edges(shards: Shards) -> DataFrame:
+    """(shard, i, j, sw1): undirected edges of layer 0 of each shard's graph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for k, built in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                ids, refs, index = pickle.loads(built)
+                e = index.layer0_edges()
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(e), pa.int32()), pa.array([ids[i] for i, _ in e], pa.int64()), pa.array([ids[j] for _, j in e], pa.int64()), pa.array([anomaly.sw1(refs[i], refs[j]) for i, j in e], pa.float64())], names=["shard", "i", "j", "sw1"])
+
+    return shards.built.mapInArrow(run, "shard int, i long, j long, sw1 double")
+
+
+def shard_graphs(shards: Shards) -> DataFrame:
+    """(shard, id, x, y, kth_distance, flagged): every row as a node of its shard's
+    graph, laid out there and flagged by the distance to its k-th neighbour there."""
+    cfg = shards.cfg
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for k, built in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                ids, refs, index = pickle.loads(built)
+                kth: list[float | None] = []
+                for i, p in enumerate(refs):
+                    near = [e for e in index.knn(lambda j: _near_sw1(p, refs[j]), cfg.k + 1) if e[1] != i][: cfg.k]  # noqa: B023
+                    kth.append(near[cfg.k - 1][0] if len(near) >= cfg.k else None)
+                at = anomaly.spring_layout(len(ids), index.layer0_edges(), cfg.layout_iterations, cfg.seed)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(kth, pa.float64()), pa.array([d is not None and d > cfg.tau for d in kth])], names=["shard", "id", "x", "y", "kth_distance", "flagged"])
+
+    return shards.built.mapInArrow(run, "shard int, id long, x double, y double, kth_distance double, flagged boolean")
+
+
+def indexed_knn(clouds: DataFrame, queries: DataFrame, dim: int, *, id_col: str, cloud_col: str, tau: float, shard: int = SHARD, **config) -> DataFrame:
+    """(id, kth_distance, nearest, distances, flagged): the k nearest of all rows but
+    the query itself. Every shard's graph answers every query of the stated set; answers
+    are merged per query."""
+    shards = index_shards(clouds, dim, id_col=id_col, cloud_col=cloud_col, tau=tau, shard=shard, **config)
+    cfg, dirs = shards.cfg, shards.dirs
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = ids = refs = index = None
         for t in batches:
@@ -404,11 +594,10 @@ def indexed_knn(clouds: DataFrame, queries: DataFrame, dim: int, *, id_col: str,
                 q, i, d = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query", "neighbour", "sw1"])
 
-    built = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard")).applyInArrow(build, "shard int, built binary")
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(cloud_col).cast("array<double>").alias("cloud"))
     m = max(1, -(-asked.count() // CHUNK))
     asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(m)).alias("chunk")).agg(F.collect_list(F.struct("id", "cloud")).alias("asked"))
-    both = built.crossJoin(asked).repartition(n * m, "shard", "chunk").select("shard", "built", "asked")
+    both = shards.built.crossJoin(asked).repartition("shard", "chunk").select("shard", "built", "asked")
     near = both.mapInArrow(search, "query long, neighbour long, sw1 double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("sw1", "neighbour"))
     near = near.withColumn("rank", rank).where(F.col("rank") <= cfg.k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "sw1"))).alias("near"))

@@ -18,61 +18,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import anomaly, kernels, provenance, rng
+from ..functions import anomaly, kernels, provenance, rng, stats
 from ..operators import signals, tables
 from ..sources import store
-from . import scattering
+from ..sources.scratch import scratch_dir
+from . import conformance as suite
+from . import definitions, scattering
+from .registry import EV as _EV
+from .registry import Q, SQL, X as _X
+from .registry import events, query, read, rounded, values
 from .scattering import ScatterConfig, Scattering
 
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 ONE_D = ScatterConfig.one_d(64, 3, 1, "circular", carrier_cutoff=0)
 TWO_D = ScatterConfig.two_d(8, 8, 2, 4, "circular")
 SO2 = ScatterConfig.two_d(8, 8, 2, 4, "circular", group="so2_relative")
 
 
-def query(sql: str | Callable[[], str] | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql() if callable(sql) else sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def values(rows) -> str:
-    cell = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(int(v))
-    return "(VALUES " + ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows) + ")"
-
-
-def rounded(c, n: int):
-    """Rounded, with one zero."""
-    return (F.round(c, n) + F.lit(0.0)).cast("double")
-
-
 # ------------------------------------------------------------- scattering paths
 
 
-def _bank_rows(cfg: ScatterConfig) -> tuple[list, list]:
-    b = scattering.filter_bank(cfg)
-    return [(k, i[0]) for k, i in enumerate(b.first_info)], [(k, i[0]) for k, i in enumerate(b.second_info)]
-
-
 PATHS_CFG = ScatterConfig.one_d(256, 4, 4, "circular")
 
-
-def _paths_sql() -> str:
-    one, two = _bank_rows(PATHS_CFG)
-    return f"SELECT CAST(row_number() OVER (ORDER BY a.k, b.k) - 1 AS BIGINT) AS pair, CAST(a.k AS INTEGER) AS n1, CAST(b.k AS INTEGER) AS n2, CAST(a.j AS INTEGER) AS j1, CAST(b.j AS INTEGER) AS j2 FROM {values(one)} a(k, j) JOIN {values(two)} b(k, j) ON b.j > a.j"
+#: The banks of quality 4 and 1 at J = 4: a geometric sequence, then linear steps.
+_PATHS = """
+WITH q AS (SELECT 4 AS q, 1 AS ord UNION ALL SELECT 1, 2),
+top AS (SELECT q, ord, greatest(1 / (1 + pow(2.0, 3.0 / q)), 0.35) AS xi, pow(2.0, 1.0 / q) AS ratio, 0.1 / 16 AS least FROM q),
+geo AS (SELECT q, ord, i, xi / pow(ratio, i) AS xi, xi * ((1 - 1 / ratio) / (1 + 1 / ratio)) / sqrt(2 * ln(1 / sqrt(0.5))) / pow(ratio, i) AS sigma, least, ratio FROM top, range(60) r(i)),
+kept AS (SELECT * FROM geo WHERE i = 0 OR sigma * ratio > least * ratio),
+bank AS (SELECT ord, i, xi, sigma FROM kept
+  UNION ALL SELECT k.ord, k.i + j, k.xi - j * k.xi / k.q, k.least FROM kept k, range(1, 4) r(j) WHERE j < k.q AND k.i = (SELECT max(i) FROM kept m WHERE m.ord = k.ord)),
+oct AS (SELECT ord, CAST(i AS INTEGER) AS n, CAST(floor(-log2(least(xi + 5 * sigma, 0.5))) AS INTEGER) - 1 AS j FROM bank)
+SELECT CAST(row_number() OVER (ORDER BY a.n, b.n) - 1 AS BIGINT) AS pair, a.n AS n1, b.n AS n2, a.j AS j1, b.j AS j2
+FROM oct a JOIN oct b ON b.j > a.j WHERE a.ord = 1 AND b.ord = 2
+"""
 
 
-@query(_paths_sql)
+@query(_PATHS)
 def paths_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = signals.scatter_paths(spark, PATHS_CFG).where("ord = 2")
     first = paths.agg(F.min("path_id").alias("m"))
@@ -93,7 +74,6 @@ def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------- kernels
 
-_X = "x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(range(64)) AS INTEGER) AS pos FROM embeddings)"
 _DFT = f"WITH {_X}, d AS (SELECT vec_id, k, sum(x * cos(-2 * pi() / 64 * ((pos * k) % 64))) AS re, sum(x * sin(-2 * pi() / 64 * ((pos * k) % 64))) AS im FROM x, (SELECT CAST(unnest(range(9)) AS INTEGER) AS k) GROUP BY vec_id, k)"
 _POWER = _DFT + " SELECT k, count(*) AS n, round(avg(re * re + im * im), 4) + 0.0 AS power FROM d GROUP BY k"
 
@@ -116,12 +96,12 @@ def fft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.posexplode("p").alias("k", "p")).groupBy("k").agg(F.count("*").alias("n"), rounded(F.avg("p"), 4).alias("power"))
 
 
-@query(f"WITH {_X} SELECT a.vec_id, CAST(a.pos // 2 AS INTEGER) AS i, round(sqrt(a.x * a.x + b.x * b.x), 4) + 0.0 AS modulus FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0")
+@query(f"WITH {_X}, f AS (SELECT vec_id, pos, CAST(x AS FLOAT) AS x FROM x) SELECT a.vec_id, CAST(a.pos // 2 AS INTEGER) AS i, CAST(CAST(sqrt(a.x * a.x + b.x * b.x) AS FLOAT) AS DOUBLE) AS modulus FROM f a JOIN f b ON a.vec_id = b.vec_id AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0")
 def modulus_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in pairs as complex values."""
+    """Samples in pairs as complex values; binary32 on both sides, bit for bit."""
     f = lambda x: [kernels.modulus(np.ascontiguousarray(x[:, 0::2]), np.ascontiguousarray(x[:, 1::2]))]
     m = signals._map(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, [("m", "array<float>")], f, 512)
-    return m.select("vec_id", F.posexplode("m").alias("i", "m")).select("vec_id", "i", rounded(F.col("m").cast("double"), 4).alias("modulus"))
+    return m.select("vec_id", F.posexplode("m").alias("i", "m")).select("vec_id", "i", F.col("m").cast("double").alias("modulus"))
 
 
 @functools.lru_cache(maxsize=1)
@@ -145,39 +125,17 @@ def subsample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ scattering
 
 
-@functools.lru_cache(maxsize=1)
-def _taps() -> tuple[list, list, list]:
-    """Filters of the one-dimensional bank as periodic taps: phi, psi1, psi2."""
-    b = scattering.filter_bank(ONE_D)
-    taps = lambda h: np.fft.ifft(h.ravel().astype(np.float64))
-    phi = [(n, float(v.real)) for n, v in enumerate(taps(b.phi))]
-    bank = lambda hs: [(k, n, float(v.real), float(v.imag)) for k, h in enumerate(hs) for n, v in enumerate(taps(h))]
-    return phi, bank(b.first), bank(b.of_second())
-
-
 def _scatter_sql() -> str:
-    """s(vec_id, label, path_id, pos, v): the cascade by circular convolutions."""
-    phi, one, two = _taps()
-    plan = Scattering.compile(ONE_D)
-    first = [(p.n[0], k, p.j[0]) for k, p in enumerate(plan.paths) if p.order == 1]
-    second = [(p.n[0], p.n[1], k) for k, p in enumerate(plan.paths) if p.order == 2]
-    return f"""
-WITH {_X}, phi AS (SELECT * FROM {values(phi)} t(n, h)), psi1 AS (SELECT * FROM {values(one)} t(f, n, re, im)), psi2 AS (SELECT * FROM {values(two)} t(f, n, re, im)),
-p1 AS (SELECT * FROM {values(first)} t(f, path_id, j)), p2 AS (SELECT * FROM {values(second)} t(f1, f2, path_id)),
-u1 AS (SELECT vec_id, label, f, (pos + n) % 64 AS pos, sqrt(pow(sum(x * re), 2) + pow(sum(x * im), 2)) AS u FROM x, psi1 GROUP BY ALL),
-u2 AS (SELECT vec_id, label, path_id, (pos + n) % 64 AS pos, sqrt(pow(sum(u * re), 2) + pow(sum(u * im), 2)) AS u FROM u1 JOIN p2 ON f1 = u1.f JOIN psi2 ON psi2.f = f2 GROUP BY ALL),
-every AS (SELECT vec_id, label, 0 AS path_id, pos, x AS u FROM x UNION ALL SELECT vec_id, label, path_id, pos, u FROM u1 JOIN p1 ON p1.f = u1.f UNION ALL SELECT vec_id, label, path_id, pos, u FROM u2),
-s AS (SELECT vec_id, label, path_id, CAST(((pos + n) % 64) // 8 AS INTEGER) AS pos, sum(u * h) AS v FROM every, phi WHERE (pos + n) % 64 % 8 = 0 GROUP BY ALL)
-"""
+    return definitions.scatter_1d(64, 3)
 
 
 def _scattered(spark: SparkSession, sf_dir: str, cfg: ScatterConfig = ONE_D) -> DataFrame:
-    return signals.scatter(read(spark, sf_dir, "embeddings"), cfg, id_col="vec_id", signal_col="embedding")
+    """(vec_id, label, coeffs): labels go along, so nothing is joined to itself."""
+    return signals.scatter(read(spark, sf_dir, "embeddings"), cfg, id_col="vec_id", signal_col="embedding", keep=("label",))
 
 
 def _long(spark: SparkSession, sf_dir: str, cfg: ScatterConfig = ONE_D) -> DataFrame:
-    long = signals.coeffs_long(_scattered(spark, sf_dir, cfg), cfg, id_col="vec_id")
-    return long.join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return signals.coeffs_long(_scattered(spark, sf_dir, cfg), cfg, id_col="vec_id", keep=("label",))
 
 
 def _orders_sql(order: int) -> str:
@@ -208,54 +166,58 @@ def scatter_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(lambda: _scatter_sql() + "SELECT label, CAST(path_id AS INTEGER) AS path_id, round(avg(f), 4) + 0.0 AS fp FROM (SELECT vec_id, label, path_id, avg(ln(pow(2.0, -20) + abs(v))) AS f FROM s GROUP BY ALL) GROUP BY label, path_id")
 def scatter_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean log-mean fingerprint of each label."""
-    fp = signals.fingerprint(_scattered(spark, sf_dir), ONE_D, id_col="vec_id")
-    fp = fp.join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    fp = signals.fingerprint(_scattered(spark, sf_dir), ONE_D, id_col="vec_id", keep=("label",))
     return fp.select("label", F.posexplode("fp").alias("path_id", "f")).groupBy("label", "path_id").agg(rounded(F.avg("f"), 4).alias("fp"))
 
 
 def _ratio_sql() -> str:
-    rows = [(two, one) for two, one in Scattering.compile(ONE_D).ratio_pairs]
-    return _scatter_sql() + f", r AS (SELECT * FROM {values(rows)} t(two, one)) SELECT a.label, CAST(a.path_id AS INTEGER) AS path_id, round(avg(CASE WHEN b.v = 0 THEN 0 ELSE a.v / b.v END), 4) + 0.0 AS r2 FROM s a JOIN r ON a.path_id = r.two JOIN s b ON b.vec_id = a.vec_id AND b.path_id = r.one AND b.pos = a.pos GROUP BY a.label, a.path_id"
+    return _scatter_sql() + "SELECT a.label, a.path_id, round(avg(CASE WHEN b.v = 0 THEN 0 ELSE a.v / b.v END), 4) + 0.0 AS r2 FROM s a JOIN p2 ON a.path_id = p2.path_id JOIN s b ON b.vec_id = a.vec_id AND b.path_id = p2.f1 + 1 AND b.pos = a.pos GROUP BY a.label, a.path_id"
 
 
 @query(_ratio_sql)
 def scatter_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [k for k, _ in Scattering.compile(ONE_D).ratio_pairs]
     n = ONE_D.out_len
-    r = signals.r2(_scattered(spark, sf_dir), ONE_D, id_col="vec_id").join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    r = signals.r2(_scattered(spark, sf_dir), ONE_D, id_col="vec_id", keep=("label",))
     long = r.select("label", F.posexplode("r2").alias("at", "v")).withColumn("path_id", F.element_at(F.array(*map(F.lit, pairs)), F.expr(f"int(at div {n}) + 1")))
     return long.groupBy("label", "path_id").agg(rounded(F.avg(F.col("v").cast("double")), 4).alias("r2"))
 
 
 @query(lambda: _scatter_sql() + ", m AS (SELECT vec_id, label, path_id, avg(v) AS a, stddev_pop(v) AS d FROM s GROUP BY ALL) SELECT label, CAST(path_id AS INTEGER) AS path_id, round(avg(a), 4) + 0.0 AS mean, round(avg(d), 4) + 0.0 AS std FROM m GROUP BY label, path_id")
 def scatter_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scattered(spark, sf_dir)
-    a, d = signals.path_mean(s, ONE_D, id_col="vec_id"), signals.path_std(s, ONE_D, id_col="vec_id")
-    both = a.join(d, "vec_id").join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    both = signals.reduced(_scattered(spark, sf_dir), ONE_D, ["mean", "std"], id_col="vec_id", keep=("label",))
     return both.select("label", F.posexplode(F.arrays_zip("mean", "std")).alias("path_id", "v")).groupBy("label", "path_id").agg(rounded(F.avg("v.mean"), 4).alias("mean"), rounded(F.avg("v.std"), 4).alias("std"))
 
 
 @query(lambda: _scatter_sql() + "SELECT label, pos, CAST(path_id AS INTEGER) AS path_id, round(avg(ln(pow(2.0, -20) + abs(v))), 4) + 0.0 AS f FROM s GROUP BY label, pos, path_id")
 def scatter_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = len(Scattering.compile(ONE_D).paths)
-    c = signals.fingerprint_clouds(_scattered(spark, sf_dir), ONE_D, id_col="vec_id").join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    c = signals.fingerprint_clouds(_scattered(spark, sf_dir), ONE_D, id_col="vec_id", keep=("label",))
     return c.select("label", F.posexplode("cloud").alias("at", "f")).groupBy("label", F.expr(f"int(at div {p})").alias("pos"), F.expr(f"int(at % {p})").alias("path_id")).agg(rounded(F.avg("f"), 4).alias("f"))
 
 
-@query()
+_MEANS = "SELECT label, path_id, pos, round(avg(v), 3) + 0.0 AS v FROM {} GROUP BY label, path_id, pos"
+
+
+def _means(long: DataFrame) -> DataFrame:
+    return long.groupBy("label", "path_id", "pos").agg(rounded(F.avg(F.col("value").cast("double")), 3).alias("v"))
+
+
+@query(lambda: definitions.scatter_2d(8, 2, 4) + _MEANS.format("s"))
 def scatter_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 8 x 8 images: coefficients and their identifiers."""
-    return signals.scatter(read(spark, sf_dir, "embeddings"), TWO_D, id_col="vec_id", signal_col="embedding", with_oid=True)
+    """Embeddings as 8 x 8 images: mean coefficients of each label."""
+    return _means(_long(spark, sf_dir, TWO_D))
 
 
-@query()
+@query(lambda: definitions.scatter_2d(8, 2, 4) + definitions.pooled_2d(2, 4) + _MEANS.format("t"))
 def scatter_2d_so2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.scatter(read(spark, sf_dir, "embeddings"), SO2, id_col="vec_id", signal_col="embedding", with_oid=True)
+    return _means(_long(spark, sf_dir, SO2))
 
 
-@query()
+@query(lambda: _scatter_sql() + ", r AS (SELECT a.vec_id, a.label, a.path_id, avg(CASE WHEN b.v = 0 THEN 0 ELSE a.v / b.v END) AS f FROM s a JOIN p2 ON a.path_id = p2.path_id JOIN s b ON b.vec_id = a.vec_id AND b.path_id = p2.f1 + 1 AND b.pos = a.pos GROUP BY ALL) SELECT label, CAST(path_id - (SELECT min(path_id) FROM p2) AS INTEGER) AS feature, round(avg(f), 4) + 0.0 AS f FROM r GROUP BY label, path_id")
 def scatter_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.features_from_r2(_scattered(spark, sf_dir), ONE_D, id_col="vec_id")
+    x = signals.features_from_r2(_scattered(spark, sf_dir), ONE_D, id_col="vec_id", keep=("label",))
+    return x.select("label", F.posexplode("x").alias("feature", "f")).groupBy("label", "feature").agg(rounded(F.avg("f"), 4).alias("f"))
 
 
 @query(f"WITH {_X} SELECT vec_id, CAST(pos // 32 AS INTEGER) AS j, CAST(pos % 8 AS INTEGER) AS pos, CAST(avg(x) AS FLOAT) AS pooled FROM x GROUP BY ALL")
@@ -292,9 +254,7 @@ def cloud_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filter_sql() -> str:
-    b = scattering.filter_bank(ONE_D)
-    rows = [("phi", 0, k, float(v)) for k, v in enumerate(b.phi.ravel())] + [("psi", f, k, float(v)) for f, h in enumerate(b.first) for k, v in enumerate(h.ravel())]
-    return f"WITH h AS (SELECT * FROM {values(rows)} t(bank, f, k, v)), a AS (SELECT h.k, sum(CASE WHEN h.bank = 'phi' THEN h.v * h.v ELSE 0.5 * (h.v * h.v + m.v * m.v) END) AS a FROM h JOIN h m ON m.bank = h.bank AND m.f = h.f AND m.k = (64 - h.k) % 64 GROUP BY h.k) SELECT round(min(a), 6) + 0.0 AS least, round(max(a), 6) + 0.0 AS greatest FROM a"
+    return f"WITH {definitions.bank_1d(64, 3)}, a AS (SELECT h.k, sum(CASE WHEN h.f < 0 THEN h.h * h.h ELSE 0.5 * (h.h * h.h + m.h * m.h) END) AS a FROM hat h JOIN hat m ON m.f = h.f AND m.k = (64 - h.k) % 64 GROUP BY h.k) SELECT round(min(a), 6) + 0.0 AS least, round(max(a), 6) + 0.0 AS greatest FROM a"
 
 
 @query(_filter_sql)
@@ -309,9 +269,7 @@ def littlewood_paley(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT l_returnflag AS flag, l_linestatus AS status, date_trunc('month', l_shipdate) AS mon, sum(l_extendedprice * l_discount) AS s2, sum(l_extendedprice) AS s1 FROM lineitem GROUP BY ALL) SELECT flag, status, strftime(mon, '%Y-%m') AS month, round(CAST(CASE WHEN s1 = 0 THEN 0 ELSE s2 / s1 END AS DOUBLE), 6) + 0.0 AS ratio FROM m")
 def r2_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_extendedprice", "l_discount")
-    g = li.groupBy("flag", "status", "month")
-    s2, s1 = g.agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("s2")), g.agg(F.sum("l_extendedprice").alias("s1"))
-    q = s2.join(s1, ["flag", "status", "month"])
+    q = li.groupBy("flag", "status", "month").agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("s2"), F.sum("l_extendedprice").alias("s1"))
     return q.select("flag", "status", "month", rounded(F.when(F.col("s1") == 0, 0.0).otherwise(F.col("s2") / F.when(F.col("s1") != 0, F.col("s1"))), 6).alias("ratio"))
 
 
@@ -326,14 +284,6 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("l_orderkey", "l_linenumber", "l_partkey", rounded((F.col("l_quantity") - F.col("mq")) / F.col("sq"), 4).alias("zq"), rounded((F.col("l_extendedprice") - F.col("mp")) / F.col("sp"), 4).alias("zp"))
 
 
-_EV = "e AS (SELECT event_id, user_id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, 1.0 + event_id % 3 AS w FROM events)"
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), (1.0 + F.col("event_id") % 3).alias("w"))
-
-
 _HIST = f"WITH {_EV}, r AS (SELECT min(x) AS lo, max(x) AS hi FROM e), b AS (SELECT CAST(least(greatest(floor((x - lo) / (hi - lo) * 20), 0), 19) AS INTEGER) AS bin, x, w FROM e, r)"
 
 
@@ -344,10 +294,9 @@ def hist_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HIST + ", p AS (SELECT bin, sum(w) AS p, sum(CASE WHEN x > 250 THEN w ELSE 0 END) AS q FROM b GROUP BY bin), n AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM p) SELECT round(0.5 * sum(CASE WHEN p = 0 THEN 0 ELSE p * ln(p / (0.5 * (p + q))) END) + 0.5 * sum(CASE WHEN q = 0 THEN 0 ELSE q * ln(q / (0.5 * (p + q))) END), 6) + 0.0 AS jsd FROM n")
 def jsd_pre_post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    r = e.agg(F.min("x"), F.max("x")).first()
-    pre, post = tables.histogram(e, "x", "w", 20, *r), tables.histogram(e.where("x > 250"), "x", "w", 20, *r)
-    return tables.jsd_of(pre, post).select(rounded(F.col("jsd"), 6).alias("jsd"))
+    """One pass for the range, one for both histograms."""
+    both = tables.histograms(events(spark, sf_dir), "x", {"pre": F.col("w"), "post": F.when(F.col("x") > 250, F.col("w")).otherwise(0.0)}, 20)
+    return tables.jsd_of(both, "pre", "post").select(rounded(F.col("jsd"), 6).alias("jsd"))
 
 
 _SC = "sc AS (SELECT l.doc_id, l.quality AS y, CAST(d.n_chars AS DOUBLE) AS score, 1.0 + l.toxic AS w FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
@@ -378,7 +327,7 @@ def asimov_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("target", rounded(tables.asimov(F.col("s"), F.col("b")), 5).alias("z_asimov"))
 
 
-@query(_CUT + f", z AS (SELECT target, {_Z} AS z, bkg_eff AS j FROM f) SELECT round(a.z - o.z, 5) + 0.0 AS delta_sigma, round(a.j - o.j, 5) + 0.0 AS delta_jsd, a.z - o.z > 0 AND a.j - o.j <= 0 AS result FROM z a, z o WHERE a.target = 0.8 AND o.target = 0.3")
+@query(_CUT + f", z AS (SELECT target, CASE WHEN b > 0 THEN {_Z} END AS z, bkg_eff AS j FROM f) SELECT round(a.z - o.z, 5) + 0.0 AS delta_sigma, round(a.j - o.j, 5) + 0.0 AS delta_jsd, coalesce(a.z - o.z > 0 AND a.j - o.j <= 0, FALSE) AS result FROM z a, z o WHERE a.target = 0.8 AND o.target = 0.3")
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets as lambdas (0.3 as 0), background efficiency in place of the JSD."""
     c = tables.cut_at(_scores(spark, sf_dir), "score", "y", "w", "doc_id", TARGETS)
@@ -416,25 +365,30 @@ def dcorr_grad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", "event_id", rounded(F.col("grad"), 6).alias("grad"))
 
 
-@query()
+CHUNK = 256
+
+
+def _chunked_sql() -> str:
+    """Events in order of their draws, cut into chunks; the last, partial one is left
+    out, as the estimator has it."""
+    d = _dcorr_sql("w", "SELECT user_id, n, CASE WHEN vx * vy <= 0 OR sqrt(greatest(vx * vy, 0)) < 1e-12 THEN 0 ELSE d / sqrt(vx * vy) END AS d FROM m").replace("FROM e)", "FROM g)", 1)
+    head = f"""WITH {_EV}, {definitions.words("q", 0, 0x20001, 200_000)}, o AS (SELECT e.*, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM e),
+pl AS (SELECT o.*, row_number() OVER (ORDER BY q64.v // 2::UHUGEINT, idx) - 1 AS place, count(*) OVER () AS n FROM o JOIN q64 ON q64.i = o.idx),
+g AS (SELECT place // {CHUNK} AS user_id, event_id, x, y, w FROM pl WHERE place < n // {CHUNK} * {CHUNK}), """
+    return head + d.removeprefix(f"WITH {_EV}, ").replace("SELECT user_id, n, CASE", "SELECT count(*) AS chunks, round(avg(d), 6) + 0.0 AS dcorr2 FROM (SELECT user_id, n, CASE") + ")"
+
+
+@query(_chunked_sql)
 def dcorr2_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all events: exact up to 10,000 rows, by chunks above."""
+    """The estimator over all events, their order by draws made in tasks."""
     e = events(spark, sf_dir)
-    n = e.count()
-    value = tables.dcorr2_chunked(e, "x", "y", "w", order="event_id")
-    return spark.createDataFrame([(n, value)], "n long, dcorr2 double")
+    return tables.dcorr2_chunks(e, "x", "y", "w", order="event_id", chunk=CHUNK).agg(F.count("*").alias("chunks"), rounded(F.avg("value"), 6).alias("dcorr2"))
 
 
 @query(f"WITH {_EV}, v AS (SELECT event_id, x, y, w / (sum(w) OVER () + 1e-12) AS v FROM e), c AS (SELECT event_id, v, x - sum(v * x) OVER () AS dx, y - sum(v * y) OVER () AS dy FROM v), s AS (SELECT sum(dx * dy * v) AS cov, sum(dx * dx * v) + 1e-12 AS vx, sum(dy * dy * v) + 1e-12 AS vy FROM c) SELECT event_id, round(1e6 * 2 * (cov / sqrt(vx * vy)) * v * (dy / sqrt(vx * vy) - cov / sqrt(vx * vy) * dx / vx), 4) + 0.0 AS grad FROM c, s")
 def pearson_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient in millionths; three small aggregates meet the rows."""
-    e = events(spark, sf_dir)
-    v = e.join(F.broadcast(e.agg(F.sum("w").alias("t")))).select("event_id", "x", "y", (F.col("w") / (F.col("t") + 1e-12)).alias("v"))
-    mu = v.agg(F.sum(F.col("v") * F.col("x")).alias("mx"), F.sum(F.col("v") * F.col("y")).alias("my"))
-    c = v.join(F.broadcast(mu)).select("event_id", "v", (F.col("x") - F.col("mx")).alias("dx"), (F.col("y") - F.col("my")).alias("dy"))
-    s = c.agg(F.sum(F.expr("dx * dy * v")).alias("cov"), (F.sum(F.expr("dx * dx * v")) + 1e-12).alias("vx"), (F.sum(F.expr("dy * dy * v")) + 1e-12).alias("vy"))
-    g = F.expr("1e6D * 2 * (cov / sqrt(vx * vy)) * v * (dy / sqrt(vx * vy) - cov / sqrt(vx * vy) * dx / vx)")
-    return c.join(F.broadcast(s)).select("event_id", rounded(g, 4).alias("grad"))
+    """Gradient in millionths; one row of aggregates meets the rows."""
+    return tables.proxy_gradient(events(spark, sf_dir), "x", "y", "w").select("event_id", rounded(1e6 * F.col("grad"), 4).alias("grad"))
 
 
 @query(f"WITH {_EV} SELECT round(sum(x), 2) + 0.0 AS sx, round(sum(x * w), 2) + 0.0 AS sxw, count(*) AS n FROM e")
@@ -463,8 +417,7 @@ def ridge_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feature, by ordered sums; SQL has its closed form."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.array(F.col("l_quantity")).alias("x"))
-    rows = tables.dense_index(li, ["l_orderkey", "l_linenumber", "l_partkey"])
-    c = tables.calibrate(rows, "x", "l_extendedprice", order="idx")
+    c = tables.calibrate(li, "x", "l_extendedprice", order=["l_orderkey", "l_linenumber", "l_partkey"])
     return spark.createDataFrame([(round(float(c.coef[0]), 2), round(c.bias, 2))], "coef double, bias double")
 
 
@@ -482,6 +435,25 @@ def sigmoid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", z.alias("z")).select("vec_id", rounded(F.when(F.col("z") >= 0, 1 / (1 + F.exp(-F.col("z")))).otherwise(F.exp("z") / (1 + F.exp("z"))), 6).alias("score"))
 
 
+#: Published differences of two benchmark cases, to six digits.
+PUBLISHED = [("logistic/lambdas0_1_4/star1", "-6.666948", "-0.038645"), ("mlp16/lambdas0_0.5_2/star0.5", "0.020611", "0.008354")]
+
+
+@query("SELECT * FROM " + values(PUBLISHED) + " t(name, delta_sigma, delta_jsd), (SELECT FALSE AS result)")
+def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both published cases: samples made in tasks, a model per lambda in a task each,
+    evaluated and compared. Size is part of a case, so it does not grow."""
+    out = []
+    for name, _, _ in PUBLISHED:
+        head, lambdas, star = name.split("/")
+        grid, best = [float(x) for x in lambdas.removeprefix("lambdas").split("_")], float(star.removeprefix("star"))
+        own = suite.stream_of(f"tier2/report/{name}/n1200")
+        tr, ev = (tables.synthetic_dataset(spark, 1200, 4, suite.SEED, own + k) for k in (0, 1))
+        v = stats.verdict(tables.bench_report(tr, ev, grid, best, head=head, epochs=5, batch_size=128, lr=0.02, seed=own).rows, best)
+        out.append((name, stats.fixed6(v.delta_sigma), stats.fixed6(v.delta_jsd), v.result))
+    return spark.createDataFrame(out, "name string, delta_sigma string, delta_jsd string, result boolean")
+
+
 @query()
 def train_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a decorrelated classifier on the synthetic sample."""
@@ -490,18 +462,36 @@ def train_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.predict(ev, model).select("event_id", "y", "score")
 
 
-@query()
-def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tr, ev = tables.synthetic_dataset(spark, 1200, 4, 1, 0), tables.synthetic_dataset(spark, 1200, 4, 1, 1)
-    r = tables.bench_report(tr, ev, [0.0, 1.0, 4.0], 1.0, epochs=5, batch_size=128, lr=0.02, seed=1)
-    return spark.createDataFrame([(x.lam, x.threshold, x.s, x.b, x.sig_eff, x.bkg_eff, x.z_asimov, x.jsd, x.dcorr2_bkg) for x in r.rows], "lambda double, threshold double, s double, b double, sig_eff double, bkg_eff double, z_asimov double, jsd double, dcorr2_bkg double")
+def solve3(a: list[list[str]], c: list[str]) -> list[str]:
+    """Cramer's rule as SQL expressions."""
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    return [f"{det([[c[i] if j == k else a[i][j] for j in range(3)] for i in range(3)])} / {det(a)}" for k in range(3)]
 
 
-@query()
+def ridge_sql(by: str = "") -> str:
+    """fit(by, w0, w1, w2, bias, r2) of three standardized features, by the normal
+    equations; one row for each value of `by`."""
+    on = f"PARTITION BY {by}" if by else ""
+    key, lead = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    g = [[f"g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    gram = ", ".join(f"sum(z{i} * z{j}) + {'1e-4' if i == j else '0'} AS g{i}{j}" for i in range(3) for j in range(i, 3))
+    sums = ", ".join(f"sum(z{i} * t) AS c{i}, sum(z{i}) AS s{i}" for i in range(3))
+    w = solve3(g, ["c0", "c1", "c2"])
+    join = f"JOIN w ON {' AND '.join(f'w.{c.strip()} = z.{c.strip()}' for c in by.split(','))}" if by else ", w"
+    z = ", ".join(f"({c} - avg({c}) OVER ({on})) / (stddev_pop({c}) OVER ({on}) + 1e-8) AS z{k}" for k, c in enumerate(_FEATURES))
+    zkey = ", ".join(f"z.{c.strip()}" for c in by.split(",")) + ", " if by else ""
+    return f"""WITH z AS (SELECT {key}{z}, l_extendedprice AS t, avg(l_extendedprice) OVER ({on}) AS mt FROM lineitem),
+n AS (SELECT {key}count(*) AS n, any_value(mt) AS mt, {gram}, {sums} FROM z {lead}),
+w AS (SELECT {key}n, mt, w0, w1, w2, mt - (w0 * s0 + w1 * s1 + w2 * s2) / n AS bias FROM (SELECT *, {w[0]} AS w0, {w[1]} AS w1, {w[2]} AS w2 FROM n)),
+fit AS (SELECT {zkey}any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, any_value(bias) AS bias, 1 - sum(pow(t - (w0 * z0 + w1 * z1 + w2 * z2 + bias), 2)) / (sum(pow(t - z.mt, 2)) + 1e-12) AS r2 FROM z {join} {"GROUP BY " + zkey.rstrip(", ") if by else ""})"""
+
+
+@query(lambda: ridge_sql() + " SELECT round(w0, 2) + 0.0 AS w0, round(w1, 2) + 0.0 AS w1, round(w2, 2) + 0.0 AS w2, round(bias, 2) + 0.0 AS bias, round(r2, 6) + 0.0 AS r2 FROM fit")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three features, by ordered tree sums; SQL has the normal equations."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.array(*_FEATURES).alias("x"))
-    c = tables.calibrate(tables.dense_index(li, ["l_orderkey", "l_linenumber", "l_partkey"]), "x", "l_extendedprice", order="idx")
-    return spark.createDataFrame([(c.constants(), c.r2)], "constants string, r2 double")
+    c = tables.calibrate(li, "x", "l_extendedprice", order=["l_orderkey", "l_linenumber", "l_partkey"])
+    return spark.createDataFrame([(*[round(float(w), 2) for w in c.coef], round(c.bias, 2), round(c.r2, 6))], "w0 double, w1 double, w2 double, bias double, r2 double")
 
 
 # -------------------------------------------------------------- anomaly search
@@ -537,8 +527,7 @@ def _dirs() -> np.ndarray:
 
 
 def _topk_sql(tail: str) -> str:
-    rows = [(k, c, float(v)) for k, d in enumerate(_dirs()) for c, v in enumerate(d)]
-    return f"""WITH {_X}, d AS (SELECT * FROM {values(rows)} t(k, c, w)),
+    return f"""WITH {_X}, {definitions.directions("d", 8, N_DIRS)},
 p AS (SELECT vec_id, k, pos // 8 AS point, sum(x * w) AS v FROM x JOIN d ON d.c = pos % 8 GROUP BY ALL),
 o AS (SELECT vec_id, k, v, row_number() OVER (PARTITION BY vec_id, k ORDER BY v) AS r FROM p),
 s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, avg(abs(a.v - b.v)) AS sw1 FROM o a JOIN o b ON a.k = b.k AND a.r = b.r AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
@@ -563,15 +552,27 @@ def detect_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(lambda: _topk_sql("SELECT DISTINCT least(query, neighbour) AS i, greatest(query, neighbour) AS j FROM t"))
-def layer0_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected edges of the neighbour lists."""
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected edges of the exact neighbour lists of the query set."""
     return _top(spark, sf_dir).select(F.least("query", "neighbour").alias("i"), F.greatest("query", "neighbour").alias("j")).distinct()
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tables.Shards:
+    """Every row, in graphs of bounded size."""
+    return tables.index_shards(read(spark, sf_dir, "embeddings"), 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=5, directions=N_DIRS, shard=250)
+
+
+@query()
+def layer0_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected edges of layer 0 of each shard's graph, over all rows, with their
+    distances."""
+    return tables.layer0_edges(_index(spark, sf_dir))
+
+
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row against all others."""
+    """Rows whose id is divisible by 100, against all others."""
     e = read(spark, sf_dir, "embeddings")
-    return tables.indexed_knn(e, e, 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=5, directions=N_DIRS)
+    return tables.indexed_knn(e, e.where("vec_id % 100 = 0"), 8, id_col="vec_id", cloud_col="embedding", tau=0.5, k=10, directions=N_DIRS)
 
 
 @query()
@@ -579,15 +580,20 @@ def hnsw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).drop("distances")
 
 
+@query("SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM embeddings) - 1) AS neighbours, TRUE AS recalled, TRUE AS exact FROM embeddings WHERE vec_id % 100 = 0")
+def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against the exact lists (which SQL has): does it find at least nine
+    tenths of them, at the same distances."""
+    found = _nearest(spark, sf_dir).select(F.col("vec_id").alias("query"), F.explode(F.arrays_zip("nearest", "distances")).alias("n")).select("query", F.col("n.nearest").alias("neighbour"), F.col("n.distances").alias("d"))
+    both = _top(spark, sf_dir).where("rank <= 10").join(found, ["query", "neighbour"], "left")
+    got = both.agg(F.count("d").alias("hits"), F.count("*").alias("all"), F.max(F.abs(F.col("d") - F.col("sw1"))).alias("off")).join(found.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("neighbours")))
+    return got.select("queries", "neighbours", (F.col("hits") >= 0.9 * F.col("all")).alias("recalled"), (F.col("off") < 1e-12).alias("exact"))
+
+
 @query()
 def anomaly_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A node for every row, laid out by the edges of the neighbour lists. The layout
-    is computed in the driver."""
-    got = _nearest(spark, sf_dir).select("vec_id", "nearest", "flagged").orderBy("vec_id").collect()
-    place = {r.vec_id: k for k, r in enumerate(got)}
-    edges = sorted({tuple(sorted((place[r.vec_id], place[i]))) for r in got for i in r.nearest})
-    at = anomaly.spring_layout(len(got), edges, 100, 0)
-    return spark.createDataFrame([(r.vec_id, float(x), float(y), r.flagged) for r, (x, y) in zip(got, at)], "id long, x double, y double, flagged boolean")
+    """A node for every row, flagged and laid out within its shard's graph."""
+    return tables.shard_graphs(_index(spark, sf_dir))
 
 
 # ------------------------------------------------------ random streams, identity
@@ -603,15 +609,8 @@ def _stream_words(spark: SparkSession, n: int, seed: int, stream: int) -> DataFr
     return spark.range(n).mapInArrow(run, "i long, word long")
 
 
-def _philox_sql(tail: str, n: int = 4096, seed: int = 1, stream: int = 7) -> str:
-    key = int(rng.splitmix64(seed, 0, 1)[0])
-    k0, k1 = key & 0xFFFFFFFF, key >> 32
-    out = [f"WITH r0 AS (SELECT b, b AS c0, 0::HUGEINT AS c1, {stream}::HUGEINT AS c2, 0::HUGEINT AS c3 FROM (SELECT CAST(unnest(range({n // 4})) AS HUGEINT) AS b))"]
-    for r in range(10):
-        a, b = (k0 + r * rng.W0) & 0xFFFFFFFF, (k1 + r * rng.W1) & 0xFFFFFFFF
-        out.append(f"r{r + 1} AS (SELECT b, xor(xor(p1 // 4294967296, c1), {a}::HUGEINT) AS c0, p1 % 4294967296 AS c1, xor(xor(p0 // 4294967296, c3), {b}::HUGEINT) AS c2, p0 % 4294967296 AS c3 FROM (SELECT *, c0 * {int(rng.M0)} AS p0, c2 * {int(rng.M1)} AS p1 FROM r{r}))")
-    out.append("w AS (SELECT CAST(b * 4 + l AS BIGINT) AS i, CAST(CASE l WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END AS BIGINT) AS word FROM r10, (SELECT unnest(range(4)) AS l))")
-    return ", ".join(out) + " " + tail
+def _philox_sql(tail: str) -> str:
+    return f"WITH {definitions.words('w', 1, 7, 4096)} {tail}"
 
 
 @query(lambda: _philox_sql("SELECT i, word FROM w"))
@@ -626,7 +625,7 @@ def unit_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("i", (F.shiftrightunsigned("word", 8) * F.lit(2.0**-24)).alias("u"))
 
 
-@query()
+@query(lambda: f"WITH {definitions.words('w', 1, 7, 4 * 4096)}, {definitions.normals('n', 'w')} SELECT i, round(z, 9) + 0.0 AS z FROM n")
 def normal_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         for t in batches:
@@ -634,7 +633,7 @@ def normal_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
             z = rng.Stream(1, 7, 4 * int(i[0])).next_normal(len(i))
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(z)], names=["i", "z"])
 
-    return spark.range(4096).mapInArrow(run, "i long, z double")
+    return spark.range(4096).mapInArrow(run, "i long, z double").select("i", rounded(F.col("z"), 9).alias("z"))
 
 
 @query()
@@ -645,8 +644,8 @@ def oid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest hash of each event's scattering run."""
-    e = signals.with_oids(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", out="input_oid").select("vec_id", "input_oid")
-    s = signals.scatter(read(spark, sf_dir, "embeddings"), ONE_D, id_col="vec_id", signal_col="embedding", with_oid=True).select("vec_id", F.col("oid").alias("output_oid"))
+    e = signals.with_oids(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", out="input_oid")
+    s = signals.scatter(e, ONE_D, id_col="vec_id", signal_col="embedding", with_oid=True, keep=("input_oid",)).select("vec_id", "input_oid", F.col("oid").alias("output_oid"))
 
     def run(batches):
         plan = Scattering.compile(ONE_D)
@@ -654,46 +653,50 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             h = [provenance.scattering_manifest(plan, 1, a, b).manifest_hash() for a, b in zip(t.column(1).to_pylist(), t.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(h, pa.string())], names=["vec_id", "input_oid", "output_oid", "manifest_hash"])
 
-    return e.join(s, "vec_id").select("vec_id", "input_oid", "output_oid").mapInArrow(run, "vec_id long, input_oid string, output_oid string, manifest_hash string")
+    return s.mapInArrow(run, "vec_id long, input_oid string, output_oid string, manifest_hash string")
 
 
-@query()
+@query("SELECT 'float32' AS dtype, 64 AS elements, CAST(256 AS INTEGER) AS n_bytes, count(DISTINCT embedding) AS tensors, TRUE AS ok FROM embeddings")
 def tensor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding written to a tensor table under its identifier, read again
-    and verified."""
-    where = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/wavemill'}/tensors-{uuid.uuid4().hex}"
-    s = store.TensorStore(spark, where)
+    and verified; the table is removed again."""
+    s = store.TensorStore(spark, f"{scratch_dir(spark)}/tensors-{uuid.uuid4().hex}")
     s.put_column(read(spark, sf_dir, "embeddings"), "embedding", "float32")
-    return s.verified().select("oid", "dtype", F.size("shape").alias("axes"), F.length("bytes").alias("n_bytes"), "ok")
+    got = s.verified().groupBy("dtype", F.col("shape")[0].alias("elements"), F.length("bytes").alias("n_bytes")).agg(F.count("*").alias("tensors"), F.every("ok").alias("ok")).collect()
+    s.drop()
+    return spark.createDataFrame(got, "dtype string, elements int, n_bytes int, tensors long, ok boolean")
 
 
-@query()
+@query(lambda: _scatter_sql() + "SELECT path_id, pos, count(*) AS n, round(avg(v), 4) + 0.0 AS v FROM s GROUP BY path_id, pos")
 def stream_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scattering of a file stream, run until all files are read."""
     from ..streaming.scatter import scatter_stream
 
     e = read(spark, sf_dir, "embeddings")
     name = f"wavemill_{uuid.uuid4().hex}"
-    return scatter_stream(spark, f"{sf_dir}/embeddings.parquet", e.schema, ONE_D, id_col="vec_id", signal_col="embedding", name=name)
+    got = scatter_stream(spark, f"{sf_dir}/embeddings.parquet", e.schema, ONE_D, id_col="vec_id", signal_col="embedding", name=name)
+    long = signals.coeffs_long(got, ONE_D, id_col="vec_id")
+    return long.groupBy("path_id", "pos").agg(F.count("*").alias("n"), rounded(F.avg(F.col("value").cast("double")), 4).alias("v"))
 
 
-@query()
-def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sweeps against their recorded hashes, a task for each."""
-    from ..functions import sweeps
+#: Cases of each family, as the suite states them.
+FAMILIES = [("fft1d", 192), ("fft2d", 12), ("modulus", 9), ("mul_real_filter", 21), ("scatter", 169), ("sweep", 13), ("tier2", 18)]
 
-    def run(batches):
-        for t in batches:
-            names = t.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([sweeps.sweep_hash(n) == sweeps.HASHES[n] for n in names])], names=["name", "passed"])
 
-    rows = spark.createDataFrame([(n,) for n in sweeps.HASHES], "name string").repartition(len(sweeps.HASHES), "name")
-    return rows.mapInArrow(run, "name string, passed boolean")
+@query("SELECT family, CAST(cases AS BIGINT) AS cases, CAST(cases AS BIGINT) AS passed FROM " + values(FAMILIES) + " t(family, cases)")
+def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cases against the recorded digests, a task for each group of cases."""
+    got = suite.check(spark)
+    return got.groupBy(F.split("name", "/")[0].alias("family")).agg(F.sum("cases").alias("cases"), F.sum(F.when(F.col("passed"), F.col("cases")).otherwise(0)).alias("passed"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import kernel_queries  # noqa: F401  (registers its own)
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import kernel_queries  # noqa: F401
+
     return dict(SQL)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.provenance import is_oid, oid, tensor_bytes
+from .scratch import remove
 
 SCHEMA = "oid string, dtype string, shape array<int>, bytes binary"
 NUMPY = {"float32": "<f4", "float64": "<f8", "uint8": "u1", "uint32": "<u4"}
@@ -39,15 +40,23 @@ class TensorStore:
         return name
 
     def get(self, name: str) -> np.ndarray:
-        if not is_oid(name):
-            raise ValueError(f"{name} is no identifier")
-        row = self.table().where(F.col("oid") == name).first()
-        if row is None:
-            raise KeyError(name)
-        b = bytes(row.bytes)
-        if oid(b) != name:
-            raise ValueError(f"the bytes of {name} have changed")
-        return np.frombuffer(b, NUMPY[row.dtype]).reshape(row["shape"])
+        return self.get_many([name])[name]
+
+    def get_many(self, names: list[str]) -> dict[str, np.ndarray]:
+        """By one scan; identifiers are checked against the bytes."""
+        for name in names:
+            if not is_oid(name):
+                raise ValueError(f"{name} is no identifier")
+        out: dict[str, np.ndarray] = {}
+        for row in self.table().where(F.col("oid").isin(list(names))).collect() if names else []:
+            b = bytes(row.bytes)
+            if oid(b) != row.oid:
+                raise ValueError(f"the bytes of {row.oid} have changed")
+            out[row.oid] = np.frombuffer(b, NUMPY[row.dtype]).reshape(row["shape"])
+        for name in names:
+            if name not in out:
+                raise KeyError(name)
+        return out
 
     def put_column(self, df: DataFrame, column: str, dtype: str) -> None:
         """Every row's vector, each tensor once."""
@@ -61,6 +70,23 @@ class TensorStore:
         new = df.select(column).mapInArrow(run, SCHEMA).dropDuplicates(["oid"])
         new.join(self.table().select("oid"), "oid", "left_anti").select("oid", "dtype", "shape", "bytes").write.mode("append").parquet(self.path)
 
+    def remove(self, name: str) -> bool:
+        """Forget a tensor; whether it was there. The table is written anew without it,
+        as Parquet files do not change."""
+        if not is_oid(name):
+            raise ValueError(f"{name} is no identifier")
+        if self.table().where(F.col("oid") == name).isEmpty():
+            return False
+        rest = f"{self.path}-{name}"
+        self.table().where(F.col("oid") != name).write.mode("overwrite").parquet(rest)
+        self.spark.read.schema(SCHEMA).parquet(rest).write.mode("overwrite").parquet(self.path)
+        remove(self.spark, rest)
+        return True
+
+    def drop(self) -> None:
+        """Remove the table."""
+        remove(self.spark, self.path)
+
     def verified(self) -> DataFrame:
         """The table with `ok`: do the bytes have their identifier."""
 
