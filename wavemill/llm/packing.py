@@ -41,8 +41,8 @@ BLOCK = 1 << 18
 #: Penalties, in tokens of padding: a cut at a sentence's end, a cut inside a
 #: sentence, and each sequence (so that few are short).
 SENTENCE, INSIDE, EACH = 2, 64, 4
-#: Distinct words that a worker remembers in each of two generations, about 40 MB each.
-WORDS = 150_000
+#: Distinct words that a worker remembers in each of two generations, about 65 MB each.
+WORDS = 400_000
 
 
 _ENCODERS: dict[tuple[str, int], tuple] = {}
