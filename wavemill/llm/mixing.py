@@ -95,7 +95,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     fines = fines.withColumn("spent", F.col("spent") + F.coalesce(F.sum("words").over(before), F.lit(0)))
     fines = fines.where((F.col("spent") < F.col("left")) & (F.col("spent") + F.col("words") >= F.col("left")))
     fines = fines.select(F.col("source").alias("fs"), F.col("fine").alias("cut_fine"), F.col("spent").alias("fine_spent"))
-    last = last.join(fines, F.col("s").eqNullSafe(F.col("fs")), "left").select("s", "cut_bin", "cut_fine", "fine_spent")
+    last = cut(last.join(fines, F.col("s").eqNullSafe(F.col("fs")), "left").select("s", "cut_bin", "cut_fine", "fine_spent"))
 
     placed = ranked.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at_cut = F.coalesce((F.col("bin") == F.col("cut_bin")) & (F.col("fine") == F.col("cut_fine")), F.lit(False))
