@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import clean, cut, scratch_dir
+
+__all__ = ["clean", "cut", "scratch_dir"]
+
 #: Rows in one Arrow batch between the JVM and Python. Texts run to hundreds of
 #: kilobytes, so the default of 10,000 rows could hold gigabytes.
 ARROW_ROWS = 512
@@ -36,41 +35,6 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-_OWN: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder for this application in the shared one that the cluster names in
-    `spark.checkpoint.dir`. Only where all runs in one process (`local[...]`) may the
-    setting be missing: there a temporary folder serves, which goes at exit."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _OWN:
-            own = tempfile.mkdtemp(prefix="wavemill-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            _OWN.append("file://" + own)
-        where = _OWN[0]
-    return f"{where}/wavemill-{spark.sparkContext.applicationId}"
-
-
-def clean(spark: SparkSession) -> None:
-    """Remove what this application has cut. Results that were read from it must have
-    been written by then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends here, and a lost
-    executor costs one read instead of all that came before. `clean` removes it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have."""
     taken = {c.lower() for c in df.columns}
