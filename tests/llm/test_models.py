@@ -133,7 +133,7 @@ def test_likelihood_and_gradient():
     rng = np.random.default_rng(6)
     rows, n, grades = 30, 5, 4
     own, code = np.repeat(np.arange(rows), 3), rng.integers(0, n, 3 * rows)
-    x, grade, weight = rng.random(3 * rows), rng.integers(0, grades, rows), rng.random(rows)
+    x, grade, weight = rng.random(rows), rng.integers(0, grades, rows), rng.random(rows)
     p = np.concatenate([rng.normal(size=n), [-0.7], rng.normal(size=grades - 2) * 0.3])
 
     def loss(p):
@@ -142,7 +142,7 @@ def test_likelihood_and_gradient():
             t.append(t[-1] + np.exp(g))
         total = 0.0
         for r in range(rows):
-            s = sum(p[code[i]] * x[i] for i in range(len(own)) if own[i] == r)
+            s = x[r] * sum(p[code[i]] for i in range(len(own)) if own[i] == r)
             upto = [0.0, *(1 / (1 + np.exp(s - v)) for v in t), 1.0]  # P(grade < k)
             total -= weight[r] * np.log(upto[grade[r] + 1] - upto[grade[r]])
         return total + 0.5 * 0.01 * (p[:n] ** 2).sum()

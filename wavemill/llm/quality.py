@@ -104,12 +104,11 @@ class OrdinalModel:
         """Adam on the mean negative log-likelihood. Features of fewer than 3 rows
         keep weight 0."""
         rows = len(grade)
-        own = np.repeat(np.arange(rows, dtype=np.int32), np.diff(at))
+        own = np.repeat(np.arange(rows), np.diff(at))
         common = np.bincount(place, minlength=SIZE) >= min(3, max(1, rows // 4))
         keep = common[place]
         used, code = np.unique(place[keep], return_inverse=True)
-        code = code.astype(np.int32)
-        own, x = own[keep], (1 / norm(at))[own[keep]]
+        own, x = own[keep], 1 / norm(at)
         weight = np.full(rows, 1 / rows)
         p = np.concatenate([np.zeros(len(used)), [-1.0], np.zeros(grades - 2)])
         m, v = np.zeros(len(p)), np.zeros(len(p))
@@ -129,12 +128,12 @@ def thresholds(p: np.ndarray) -> np.ndarray:
 
 def loss_and_gradient(p: np.ndarray, own: np.ndarray, code: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int, l2: float) -> tuple[float, np.ndarray]:
     """Weighted negative log-likelihood of grades with a penalty on the weights, and its
-    gradient, in p = (weights, first threshold, logarithms of the gaps). Feature
-    `code[i]` of row `own[i]` has the value x[i]."""
+    gradient, in p = (weights, first threshold, logarithms of the gaps). Row own[i] has
+    the feature code[i]; a row's features all have its value of x."""
     rows, k = len(grade), grades - 1
     n = len(p) - k
     t = thresholds(p[n:])
-    s = np.bincount(own, weights=p[code] * x, minlength=rows)
+    s = np.bincount(own, weights=p[code], minlength=rows) * x
     up = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -60, 60)))  # P(grade > k)
     i = np.arange(rows)
     tail = np.concatenate([np.ones((rows, 1)), up, np.zeros((rows, 1))], 1)
@@ -146,7 +145,7 @@ def loss_and_gradient(p: np.ndarray, own: np.ndarray, code: np.ndarray, x: np.nd
     np.add.at(dt, grade[grade > 0] - 1, (weight * above)[grade > 0])
     np.add.at(dt, grade[grade < k], -(weight * below)[grade < k])
     loss = -(weight * np.log(like)).sum() + 0.5 * l2 * (p[:n] ** 2).sum()
-    dw = np.bincount(code, weights=ds[own] * x, minlength=n) + l2 * p[:n]
+    dw = np.bincount(code, weights=(ds * x)[own], minlength=n) + l2 * p[:n]
     return float(loss), np.concatenate([dw, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * np.exp(p[n + 1 :])])
 
 
