@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches
 
 #: Compiled transitions, and words, that a worker keeps.
-TRANSITIONS, WORDS = 400_000, 500_000
+TRANSITIONS, WORDS = 800_000, 500_000
 #: Characters of a chunk.
 CHUNK = 1 << 15
 SPACE = "▁"
@@ -72,7 +72,9 @@ class Transducer:
             raise ValueError("a piece holds a space after something else")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.states: dict[State, dict[str, tuple[State, int]]] = {START: {}}
+        #: Per state its row: by character the next state's row and the tokens emitted;
+        #: under None the state itself.
+        self.states: dict[State, dict] = {}
         self.compiled = 0
 
     def cost(self, piece: str) -> int:
@@ -123,27 +125,26 @@ class Transducer:
         piece, count = found
         return (*((node, left, k - count) for node, left, k in alive), (0, piece, 0)), count
 
-    def run(self, state: State, text: str) -> tuple[State, int]:
-        total = 0
+    def row(self, state: State) -> dict:
         row = self.states.get(state)
         if row is None:
-            row = self.states[state] = {}
-        for c in text:
-            if c == " ":
-                c = SPACE
+            row = self.states[state] = {None: state}
+        return row
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        total, row = 0, self.row(state)
+        for c in text.replace(" ", SPACE):
             step = row.get(c)
             if step is None:
                 if self.compiled > TRANSITIONS:
-                    self.states, self.compiled = {START: {}}, 0
-                    row = self.states.setdefault(state, {})
-                step = row[c] = self.compile(state, c)
+                    self.states, self.compiled = {}, 0
+                    row = self.row(row[None])
+                after, k = self.compile(row[None], c)
+                step = row[c] = self.row(after), k
                 self.compiled += 1
-            state, k = step
+            row, k = step
             total += k
-            row = self.states.get(state)
-            if row is None:
-                row = self.states[state] = {}
-        return state, total
+        return row[None], total
 
 
 class Memo(dict):
