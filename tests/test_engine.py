@@ -358,6 +358,22 @@ def test_synthetic_and_report(spark):
     assert np.array_equal([got[i] for i in range(500)], model.predict(b.x))
 
 
+def test_large_groups_are_split(spark):
+    g = np.random.default_rng(12)
+    rows = [(k, u, float(a), float(b)) for k, (u, a, b) in enumerate(zip(["hot"] * 900 + ["cold"] * 80 + [None] * 50, g.normal(size=1030), g.normal(size=1030)))]
+    df = spark.createDataFrame(rows, "k long, user string, x double, y double").repartition(6)
+    got = {r.user: r for r in tables.dcorr2(df, "x", "y", keys=["user"], order="k", exact_up_to=100, chunk=90).collect()}
+    value = lambda own: stats.dcorr2_exact([r[2] for r in own], [r[3] for r in own])
+    for u in ("cold", None):
+        own = [r for r in rows if r[1] == u]
+        assert got[u].n == len(own) and got[u].dcorr2 == value(own)
+    hot = rows[:900]
+    i = np.arange(900, dtype=np.uint64)
+    s = rng.Stream(0, rng.STREAM_CHUNKS)
+    order = np.lexsort((i, (s.words(2 * i) | s.words(2 * i + np.uint64(1)) << np.uint64(32)) >> np.uint64(1)))
+    assert got["hot"].n == 900 and abs(got["hot"].dcorr2 - np.mean([value([hot[k] for k in p]) for p in order.reshape(10, 90)])) < 1e-12
+
+
 def test_calibration_in_place_has_the_same_bits(spark):
     g = np.random.default_rng(8)
     x = g.normal(size=(700, 3)) * [1, 50, 0.1] + [0, 5, 2]
@@ -669,3 +685,100 @@ def test_api_names():
 
     for n in "scatter scatter_paths r2 fingerprint fingerprint_clouds dcorr2 synthetic_dataset train_tag calibrate AnomalyIndex bench_report scattering_manifest issue_certificate verify_certificate conformance_selftest oid Session".split():
         assert hasattr(api, n)
+
+
+# ------------------------------------------------------------------ arrays, segments
+
+CFG = {"J": 4, "Q": 2, "pad": "zero_pad"}
+
+
+def test_arrays_of_any_layout():
+    from wavemill import arrays
+
+    x = np.random.default_rng(7).normal(size=(3, 256)).astype(np.float32)
+    s, name = arrays.scatter(x, CFG)
+    for v in (np.asfortranarray(x), np.repeat(x, 2, 1)[:, ::2], x.astype(">f4"), x.astype(np.float64), x.tolist()):
+        assert arrays.scatter(v, CFG)[1] == name
+    one, _ = arrays.scatter(x[1], CFG)
+    assert s.shape == (3, len(arrays.scatter_paths({**CFG, "shape": [256]})), 16) and one[0].tobytes() == s[1].tobytes()
+    for bad in ({**CFG, "other": 1}, {"J": 0}, {"J": 4, "shape": 255}):
+        with pytest.raises(ValueError):
+            arrays.scatter(x, bad)
+    full = {**CFG, "shape": [256]}
+    fp, clouds, (ratio, _) = arrays.fingerprint(s, full)[0], arrays.fingerprint_clouds(s, full), arrays.r2(s, full)
+    assert np.allclose(clouds.mean(1), fp, rtol=0, atol=1e-12) and ratio.shape[0] == 3 and ratio.shape[2] == 16
+    images, _ = arrays.scatter(np.zeros((2, 16, 16)), {"J": 2, "L": 4, "pad": "circular"})
+    assert images.shape == (2, 25, 4, 4)
+
+
+def test_arrays_provenance(tmp_path):
+    import json
+
+    from wavemill import arrays
+
+    x = np.random.default_rng(5).normal(size=(2, 256)).astype(np.float32)
+    s, name = arrays.scatter(x, CFG)
+    local, digest = arrays.provenance_manifest(x, CFG, name)
+    other, same = arrays.provenance_manifest(x, CFG, name, backend="elsewhere", backend_version="9", executor="cloud", started_unix_ms=1, finished_unix_ms=2)
+    m = json.loads(local)
+    assert digest == same == m["manifest_hash"] and local != other and json.loads(other)["execution"]["wall_clock"] == {"finished_unix_ms": 2, "started_unix_ms": 1}
+    assert m["inputs"][0] == {"dtype": "float32", "name": "signal", "oid": arrays.oid(x.tobytes()), "shape": [2, 256]} and m["outputs"][0]["shape"] == list(s.shape)
+    cert = arrays.issue_certificate(local)
+    (tmp_path / f"{arrays.oid(x.tobytes())}.bin").write_bytes(x.tobytes())
+    assert arrays.verify_certificate(cert, str(tmp_path)) == {"verified": True, "manifest_hash_ok": True, "outputs": [{"name": "coefficients", "ok": True}], "error": None}
+    (tmp_path / f"{arrays.oid(x.tobytes())}.bin").write_bytes((x + 1).tobytes())
+    assert not arrays.verify_certificate(cert, str(tmp_path))["verified"]
+    with pytest.raises(ValueError):
+        arrays.provenance_manifest(x, CFG, "none")
+
+
+def test_arrays_statistics_and_search():
+    import json
+
+    from wavemill import arrays
+
+    data = arrays.synthetic_dataset(600, 4, 3)
+    a, b = (arrays.train_tag(data["x"], data["y"], data["w"], data["m"], epochs=4, batch_size=128) for _ in range(2))
+    assert a.oid == b.oid and a.epoch_loss[-1] < a.epoch_loss[0] and a.predict(data["x"]).shape == (600,)
+    with pytest.raises(ValueError):
+        arrays.train_tag(data["x"], data["y"], lam=1.0)
+    text, page = arrays.bench_report(data, arrays.synthetic_dataset(500, 4, 3, 1), lambdas=[0.0, 0.5], lambda_star=0.5, epochs=2)
+    assert json.loads(text)["win_condition"]["result"] in ("TRUE", "FALSE") and page.startswith("#")
+    g = np.random.default_rng(4)
+    x = g.normal(size=(300, 3))
+    c = arrays.calibrate(x, 2 * x[:, 0] - x[:, 1] + 1)
+    assert c["r2"] > 0.999999 and json.loads(c["constants_json"])["residuals_oid"] == c["residuals_oid"]
+    index = arrays.anomaly_index(g.normal(size=(40, 8, 4)), tau=1.0, k=5, seed=11)
+    got = arrays.anomaly_query(index, [g.normal(size=(8, 4)), g.normal(size=(8, 4)) + 6.0])
+    assert got["flagged"].tolist() == [False, True] and got["nearest"].shape == (2, 5) and len(json.loads(got["graph_json"])["nodes"]) == 42
+    few = arrays.anomaly_query(arrays.anomaly_index(g.normal(size=(3, 4)), tau=1.0, k=5), [g.normal(size=4)])
+    assert np.isnan(few["kth_distance"][0]) and (few["nearest"][0] == -1).sum() == 2
+    v = g.normal(size=400)
+    assert arrays.dcorr2_w(v, v) == pytest.approx(1) and arrays.dcorr2_w(v, v * v, g.random(400)) > 0.05
+
+
+@pytest.mark.parametrize("kind", ["file", "posix_shm"])
+def test_segments(tmp_path, kind):
+    from wavemill.sources import segments
+
+    s = segments.FolderSegments(str(tmp_path)) if kind == "file" else segments.SharedSegments()
+    b = np.random.default_rng(6).bytes(1000)
+    name = provenance.oid(b)
+    assert s.kind == kind and s.write(name, b) and not s.write(name, b) and s.read(name, 1000) == b
+    if kind == "posix_shm":
+        from multiprocessing import shared_memory
+
+        m = shared_memory.SharedMemory(name=name, track=False)
+        assert bytes(m.buf[:1000]) == b
+        m.close()
+    with pytest.raises(ValueError):
+        s.read(name, 999)
+    with pytest.raises(ValueError):
+        s.write("0" * 28, b)
+    with pytest.raises(ValueError):
+        s.read("../x", 1)
+    s.remove(name)
+    with pytest.raises(OSError):
+        s.read(name, 1000)
+    s.write(name, b)
+    s.close()

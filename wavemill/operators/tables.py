@@ -94,10 +94,33 @@ def psum_columns(df: DataFrame, order: list[str], columns: list[str], depth: int
 # -------------------------------------------------------- distance correlation
 
 
-def dcorr2(df: DataFrame, x: str, y: str, w: str | None = None, *, keys: list[str], order: str) -> DataFrame:
+def dcorr2(df: DataFrame, x: str, y: str, w: str | None = None, *, keys: list[str], order: str, exact_up_to: int = stats.EXACT_UP_TO, chunk: int = stats.CHUNK) -> DataFrame:
     """(keys, n, dcorr2) of every group, its rows in the order of a key: exact up to
-    10,000 rows, by chunks of a fixed permutation above."""
-    return _by_group(df, x, y, w, keys, order, "n long, dcorr2 double", lambda o, a, b, c: {"n": pa.array([len(a)]), "dcorr2": pa.array([stats.weighted_dcorr2(a, b, c)])})
+    10,000 rows, a group in a task. Above, as the estimator is defined, the mean over
+    chunks of a permutation, which is drawn in tasks; each chunk is a task's work, so a
+    group that holds most rows is split."""
+    exact = lambda o, a, b, c: {"n": pa.array([len(a)]), "dcorr2": pa.array([stats.dcorr2_exact(a, b, c)])}
+    large = cut(df.groupBy(*keys).agg(F.count("*").alias("wm_n")).where(F.col("wm_n") > exact_up_to))
+    if large.isEmpty():
+        return _by_group(df, x, y, w, keys, order, "n long, dcorr2 double", exact)
+    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
+    small = df.alias("a").join(large.alias("b"), same, "left_anti")
+    hot = df.alias("a").join(large.alias("b"), same).select(*[F.col(f"a.`{k}`").alias(k) for k in keys], "wm_n", F.col(f"a.`{order}`").cast("long").alias("wm_o"), F.col(f"a.`{x}`").cast("double").alias("wm_x"), F.col(f"a.`{y}`").cast("double").alias("wm_y"), (F.col(f"a.`{w}`").cast("double") if w else F.lit(1.0)).alias("wm_w"))
+    hot = hot.withColumn("wm_i", F.row_number().over(Window.partitionBy(*keys).orderBy("wm_o")) - 1)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hot.schema)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            i, words = t.column("wm_i").to_numpy().astype(np.uint64), Stream(0, STREAM_CHUNKS)
+            v = words.words(2 * i) | words.words(2 * i + np.uint64(1)) << np.uint64(32)
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array((v >> np.uint64(1)).view(np.int64))], names=[*t.schema.names, "wm_draw"])
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("wm_draw", "wm_i")) - 1
+    hot = hot.mapInArrow(draw, f"{fields}, wm_draw long").withColumn("wm_place", place)
+    hot = hot.withColumn("wm_chunk", F.floor(F.col("wm_place") / chunk).cast("long")).where(F.col("wm_chunk") < F.floor(F.col("wm_n") / chunk))
+    parts = _by_group(hot.repartition(*keys, "wm_chunk"), "wm_x", "wm_y", "wm_w", [*keys, "wm_n", "wm_chunk"], "wm_place", "n long, dcorr2 double", exact)
+    means = parts.groupBy(*keys, "wm_n").agg(F.avg("dcorr2").alias("dcorr2")).select(*keys, F.col("wm_n").alias("n"), "dcorr2")
+    return _by_group(small, x, y, w, keys, order, "n long, dcorr2 double", exact).unionByName(means)
 
 
 def dcorr2_grad(df: DataFrame, s: str, m: str, w: str | None = None, *, keys: list[str], order: str) -> DataFrame:
