@@ -41,9 +41,9 @@ def least_bits(x: np.ndarray, scratch: np.ndarray | None = None) -> int:
     """Bits of the smallest nonzero magnitude."""
     x = np.ascontiguousarray(x)
     b = np.empty(x.shape, np.uint32) if scratch is None else scratch[: x.size].view(np.uint32).reshape(x.shape)
-    np.left_shift(x.view(np.uint32), np.uint32(1), out=b)
-    b -= np.uint32(1)
-    return (int(b.min()) + 1) >> 1 if b.size else 0x7F800000
+    # Minus twice the bits, modulo 2^32: signs drop out, and zeros are the least.
+    np.multiply(x.view(np.uint32), np.uint32(0xFFFFFFFE), out=b)
+    return ((1 << 32) - int(b.max())) >> 1 if b.size else 0x7F800000
 
 
 def mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,16 +104,19 @@ def fft(re: np.ndarray, im: np.ndarray, inverse: bool = False, always_flush: boo
     single = re.dtype == F32
     if n == 1 and not over:
         return re, im
+    rest = re[0].size
+    planes = _buffers(n * rest, re.dtype)
+    known = None  # the least magnitude at the first level, from the flush of the operands
     if single:
-        re, im = ftz(re), ftz(im)
+        known = min(least_bits(re, planes[4]), least_bits(im, planes[4]))
+        if known < int(_TINY_BITS):
+            re, im, known = ftz(re), ftz(im), None
     if n == 1:
         return _scaled(re, im, over)
     wr, wi = twiddles(n, single, inverse)
     if single:
         wr, wi = ftz(wr), ftz(wi)
-    rest = re[0].size
     xr, xi = re.reshape(n, rest), im.reshape(n, rest)
-    planes = _buffers(n * rest, re.dtype)
     dr, di = (p[: n * rest // 2] for p in planes[4:6])
     size, stride, turn, sure = n, 1, 0, not single
     with np.errstate(all="ignore"):
@@ -130,7 +133,7 @@ def fft(re: np.ndarray, im: np.ndarray, inverse: bool = False, always_flush: boo
             if sure:
                 safe, sure = True, not single
             else:
-                least = 0 if always_flush else min(least_bits(xr, planes[4]), least_bits(xi, planes[4]))
+                least = 0 if always_flush else min(least_bits(xr, planes[4]), least_bits(xi, planes[4])) if known is None else known
                 safe, sure = least >= _SAFE_BITS, least >= _SAFE_TWICE
             if safe:
                 er, ei, odd_r, odd_i = dr.reshape(shape), di.reshape(shape), yr[:, 1], yi[:, 1]
@@ -151,7 +154,7 @@ def fft(re: np.ndarray, im: np.ndarray, inverse: bool = False, always_flush: boo
                 yr[:, 1] = ftz(mul(er, pr) - mul(ei, pi))
                 yi[:, 1] = ftz(mul(er, pi) + mul(ei, pr))
             xr, xi = yr.reshape(n, rest), yi.reshape(n, rest)
-            size, stride, turn = half, 2 * stride, 1 - turn
+            size, stride, turn, known = half, 2 * stride, 1 - turn, None
     if inverse:
         xr, xi = _scaled(xr, xi, over or n)
     return xr.reshape(re.shape), xi.reshape(re.shape)
