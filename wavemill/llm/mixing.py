@@ -8,8 +8,8 @@ ranked by random odds divided by inclusion odds, (u / (1 - u)) / (p / (1 - p)),
 and the first ones are taken until the words left for the source are spent. The
 sample's size is fixed in words, so a source meets its target to half a document.
 
-The random number is a hash of (seed, id, text): reruns and other partitions
-agree. Ranking needs no sort of a source: ranks fall into `BINS` bins, words per
+The random number is 52 bits of the MD5 sum of seed, id and text: reruns, other
+partitions and SQL agree. Ranking needs no sort of a source: ranks fall into `BINS` bins, words per
 bin are summed before any shuffle; the bin in which the words run out falls into as
 many again, and only the last of these, a millionth of a source, is ordered. A source's
 figures meet its documents by a join that Spark may split; nothing is collected.
@@ -52,7 +52,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts under 32 words have half the odds of others. Its distinct values
     should be few: they are classes for which words are summed."""
     text = F.col(text_col).cast("string")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    none = F.lit("")
+    drawn = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), none), F.lit("|"), F.coalesce(text, none)))
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) * F.lit(2.0**-52)
     odds = F.when(F.col("size") < 32, 0.5).otherwise(1.0) if odds is None else odds
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), u.alias("u"))
     rows = cut(rows.withColumn("odds", odds.cast("double")))
