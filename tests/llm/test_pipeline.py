@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wavemill.llm import language, mixing, quality
@@ -57,6 +58,26 @@ def test_empty_stages(spark, sf_dir):
         assert stage(spark, none, sf_dir).collect() == [], name
 
 
+def test_clashing_columns_and_long_texts(spark, sf_dir):
+    """Columns with the names of any stage's own, null ids, repeats and a very long text
+    pass through all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    one = docs.first()
+    long = " ".join(f"{w}{k}" for k in range(3000) for w in one.text.split()[:12])
+    odd = [(5001, long, one.lang, "src1", len(long)), (5002, one.text, one.lang, "src1", 1), (one.doc_id, one.text, one.lang, one.source, 1), (None, one.text, one.lang, None, 1), (5003, None, None, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    for name in ("keep", "expected_grade", "tail_prob", "wm_keep", "wm_lang", "wm_score", "wm_text", "wm_letter", "wm_id", "wm_copies", "copies", "component_id", "cls", "rank", "size", "shard"):
+        docs = docs.withColumn(name, F.lit("own"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        assert docs.columns == names, name
+        assert docs.where("keep <> 'own' or component_id <> 'own' or wm_copies <> 'own'").count() == 0
+        assert docs.where("doc_id = 5003").count() == 0
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert got.count() > 0 and set(got.columns) >= {"doc_id", "start", "length", "sequence_id"}
+
+
 @pytest.mark.parametrize("name", ["near_duplicates", "mix"])
 def test_null_ids_stay(spark, sf_dir, name):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

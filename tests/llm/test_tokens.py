@@ -77,6 +77,19 @@ def test_count_tokens(spark, sf_dir):
     assert tokencount.count_tokens(docs.limit(0), tokenizer(PIECE_BPE)).collect() == []
 
 
+def test_long_texts_go_through_the_scan():
+    """Above a chunk's size, at the size that is used."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer(PIECE_BPE))
+    rng = random.Random(9)
+    words = ["the", "cat", "naïve", "日本語", "\n", "  ", "x" * 40, "▁", "12.5"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (9000, 25_000)] + ["a" * (2 * tokencount.CHUNK + 5), "\n" * (tokencount.CHUNK + 1)]
+    assert all(len(t) > tokencount.CHUNK for t in texts)
+    count = tokencount.counter(tokenizer(PIECE_BPE)).count
+    assert [count(t) for t in texts] == [len(x) for x in sp.encode(texts)]
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
