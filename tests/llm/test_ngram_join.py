@@ -77,6 +77,17 @@ def test_long_lists_meet_in_blocks(spark, monkeypatch):
         assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("window, often, common", [(400, 2, 3), (10_000, 3, 20)])
+def test_common_shingles_skip_the_count(spark, monkeypatch, window, often, common):
+    for name, value in (("WINDOW", window), ("OFTEN", often), ("COMMON", common)):
+        monkeypatch.setattr(ngram_join, name, value)
+    seen = []
+    real = ngram_join._common
+    monkeypatch.setattr(ngram_join, "_common", lambda s: seen.append(real(s)) or seen[-1])
+    rows = corpus(5)
+    assert run(spark, rows) == brute(rows) and len(seen[0][0]) > 10 and (np.diff(seen[0][0].astype(float)) > 0).all()
+
+
 def test_empty_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_jaccard_join(empty).collect() == []

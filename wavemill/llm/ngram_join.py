@@ -13,7 +13,10 @@ How the work is laid out:
 * A scan of the texts sends every class's shingles, sorted, packed as
   differences and cut into buckets of the shingle space. A bucket counts in how
   many classes each shingle occurs. A shingle of one class can link nothing and
-  goes no further: only its number stays, as the set's size is known.
+  goes no further: only its number stays, as the set's size is known. Shingles of
+  very many classes (lines that a good part of the texts hold) would fill a bucket: the
+  first scan finds them window by window, and they skip the count, going to their
+  classes with the number of times that they were found instead.
 * What is shared returns to its class, again packed. There the set is put in
   rare-first order: first the shingles of this class alone, then by count and hash.
   Those of the prefix that are shared are posted; a class whose prefix is its own
@@ -36,9 +39,8 @@ How the work is laid out:
   it links with there and one class that it is connected to, so a group of k near
   copies sends k rows, not its k^2 links. Copies count as often as they occur.
 
-Nothing but sizes reaches the driver, nothing is broadcast. A bucket's task holds 12
-bytes for each class of each of its shingles, so one shingle's classes are bounded by
-a task's memory.
+Sizes and the very common shingles reach the driver; the latter, 2^17 at most by the
+limit that makes them common, are broadcast.
 
 Defined results: null or wordless text has an empty set and links with nothing;
 fewer words than `n` make one shingle of the whole sequence; texts of any length
@@ -71,6 +73,9 @@ FLUSH = 1_000_000
 SEEN = 200_000
 #: Shingles in a bucket, about.
 BUCKET = 3_000_000
+#: A shingle is found often if so many classes of a window of so many shingles hold it;
+#: it skips the count if it was found so often in all, or a 2^17th of all shingles.
+WINDOW, OFTEN, COMMON = 1_000_000, 16, 750_000
 #: Candidates, or cells of a table of common shingles, at a time.
 TILE = 1_000_000
 #: What meets: a whole family, a class and its candidates, one or two blocks of a list.
@@ -227,21 +232,48 @@ def _rows(key: str, blobs: dict[int, bytes]) -> pa.Table:
 
 
 def _light(n: int):
-    """Per row: doc_id, class, size of its set."""
+    """Per row: doc_id, class, size of its set. Per window: shingles that many of its
+    classes hold, and how many do."""
+    names = ["doc_id", "cls", "n_shingles", "tok", "hits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def often() -> pa.RecordBatch:
+            tok = np.sort(np.concatenate(held))
+            runs = np.array(_cuts(tok)).reshape(-1, 2)
+            runs = runs[runs[:, 1] - runs[:, 0] >= OFTEN]
+            return pa.record_batch([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.decimal128(38, 0)), pa.nulls(len(runs), pa.int64()), _long(tok[runs[:, 0]]), pa.array(runs[:, 1] - runs[:, 0], pa.int64())], names=names)
+
         for t in batches:
             ids = t.column(0)
-            for a, low, high, at, _ in shingle_sets(t.column(1), n):
-                yield pa.record_batch([ids.slice(a, len(low)), _classes(low, high), pa.array(np.diff(at))], names=["doc_id", "cls", "n_shingles"])
+            for a, low, high, at, h in shingle_sets(t.column(1), n):
+                k, lens = len(low), np.diff(at)
+                yield pa.record_batch([ids.slice(a, k), _classes(low, high), pa.array(lens), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+                fresh = np.zeros(k, bool)
+                for i, c in enumerate(low.tolist()):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                held.append(h[np.repeat(fresh, lens)])
+                size += len(held[-1])
+                if size >= WINDOW:
+                    yield often()
+                    seen, held, size = set(), [], 0
+        if size:
+            yield often()
 
     return run
 
 
-def _scan(n: int, buckets: int):
-    """Per task and bucket: the shingles of its classes, each class once."""
+def _scan(n: int, buckets: int, common):
+    """Per task and bucket: the shingles of its classes, each class once. Common ones
+    (ascending, with their counts) go to buckets -1, -2, ...: those of the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, hits = common.value
         seen: set[int] = set()
         held: list[list[np.ndarray]] = [[], [], [], []]
         size = names = 0
@@ -250,6 +282,16 @@ def _scan(n: int, buckets: int):
             tok, code, low, high = map(np.concatenate, held)
             o = np.argsort(tok)
             tok, code = tok[o], code[o]
+            if len(often):
+                at = np.minimum(np.searchsorted(often, tok), len(often) - 1)
+                skip = often[at] == tok
+                part = _bucket_of(mix(low), buckets)[code[skip]]
+                o = np.argsort(part, kind="stable")
+                t, c, k, part = tok[skip][o], code[skip][o], hits[at[skip]][o], part[o]
+                for i, j in _cuts(part):
+                    blob = pack_table(t[i:j], *_named(c[i:j], low, high), k[i:j])
+                    yield pa.record_batch([pa.array([-1 - int(part[i])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+                tok, code = tok[~skip], code[~skip]
             where = _bucket_of(tok, buckets)
             for i, j in _cuts(where):
                 blob = pack_table(tok[i:j], *_named(code[i:j], low, high))
@@ -281,6 +323,8 @@ def _shared(classes: int):
     """Of a bucket, the shingles of two classes or more, dealt out by class."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:  # common shingles, on their way to their classes
+            return pa.table({"part": pa.array([-1 - key[0].as_py()] * len(t), pa.int32()), "blob": t.column("blob")})
         low, high, tok, code = _together(t.column("blob"), 0)
         o = np.argsort(tok)
         tok = tok[o]
@@ -322,6 +366,9 @@ def _prefixes(num: int, den: int, buckets: int):
         # rare-first inside each class
         o = np.lexsort((tok, count, cls))
         tok, cls = tok[o], cls[o]
+        new = np.ones(len(tok), bool)  # common ones come from every task that has a copy
+        new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+        tok, cls = tok[new], cls[new]
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
         shares = np.diff(np.concatenate([edge, [len(cls)]]))[: len(edge)].astype(np.int64)
         n, w = size[code[cls[edge]]], copies[code[cls[edge]]]
@@ -683,6 +730,18 @@ def _power(x: float) -> int:
     return 1 << max(0, int(x)).bit_length()
 
 
+def _common(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Very common shingles, ascending, and how often they were found. Each has at least
+    a 2^17th of all shingles, so there are no more than 2^17."""
+    total = scanned.agg(F.sum("n_shingles")).first()[0] or 0
+    found = scanned.where("tok is not null").groupBy("tok").agg(F.sum("hits").alias("hits"))
+    got = found.where(F.col("hits") >= max(COMMON, total >> 17)).collect()
+    tok = np.array([r.tok for r in got], np.int64).view(U64)
+    hits = np.minimum(np.array([r.hits for r in got], np.int64), 0xFFFFFFFF).astype(np.uint32)
+    o = np.argsort(tok)
+    return tok[o], hits[o]
+
+
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 3, den: int = 4, counts: bool = False) -> DataFrame:
     """Every row's (id, n_shingles, component_id) under links of Jaccard >=
     num/den between sets of n-word shingles; with `counts` also n_links, the number
@@ -694,8 +753,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # A word and its space take at least two bytes, about six on average.
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(_power(parts(spark)), _power(total / 6 / BUCKET))
-    light = cut(rows.mapInArrow(_light(n), f"doc_id long, cls {CLASS}, n_shingles long"))
-    shared = rows.select("text").mapInArrow(_scan(n, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_shared(buckets), "part int, blob binary")
+    scanned = cut(rows.mapInArrow(_light(n), f"doc_id long, cls {CLASS}, n_shingles long, tok long, hits long"))
+    light = scanned.where("tok is null").select("doc_id", "cls", "n_shingles")
+    common = spark.sparkContext.broadcast(_common(scanned))
+    shared = rows.select("text").mapInArrow(_scan(n, buckets, common), "bucket int, blob binary").groupBy("bucket").applyInArrow(_shared(buckets), "part int, blob binary")
     sizes = light.where("cls <> 0").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.count("*").alias("w"))
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
