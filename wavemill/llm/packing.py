@@ -41,8 +41,8 @@ BLOCK = 1 << 18
 #: Penalties, in tokens of padding: a cut at a sentence's end, a cut inside a
 #: sentence, and each sequence (so that few are short).
 SENTENCE, INSIDE, EACH = 2, 64, 4
-#: Distinct words that a worker remembers in each of two generations, about 65 MB each.
-WORDS = 400_000
+#: Distinct words that a worker remembers in each of two generations, about 40 MB each.
+WORDS = 250_000
 
 
 _ENCODERS: dict[tuple[str, int], tuple] = {}
@@ -184,14 +184,8 @@ def _word_encoder(path: str, end_id: int):
     special = [t.content.lower().encode() for t in tok.get_added_tokens_decoder().values()]
     dots = {m: _ids(tok, [m.decode()])[0] for m in (b".", b",")}
 
-    def learn(parts: set[bytes]) -> None:
-        """Afterwards all parts are known. A full memory becomes the older one, of
-        which the words that still occur are taken over."""
-        nonlocal known, older
-        missing = {p for p in parts if p not in known}
-        if len(known) + 2 * len(missing) > WORDS:
-            known, older = {}, known
-            missing = parts
+    def learn(missing: set[bytes]) -> None:
+        """Afterwards these parts are known."""
         words: set[bytes] = set()
         other, tails = [], []
         for p in missing:
@@ -206,11 +200,13 @@ def _word_encoder(path: str, end_id: int):
                 continue
             if tail:
                 tails.append(p)
-            got = older.get(w)
-            if got is not None:
-                known[w] = got
-            elif w not in known:
-                words.add(w)
+                if w in known:
+                    continue
+                got = older.get(w)
+                if got is not None:
+                    known[w] = got
+                    continue
+            words.add(w)
         ask = list(words)
         known.update(zip(ask, merges.encode(ask)))
         known.update(zip(other, _ids(tok, [p.decode() for p in other])))
@@ -218,14 +214,35 @@ def _word_encoder(path: str, end_id: int):
             known[p] = known[p[:-1]] + dots[p[-1:]]
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = []
+        """A full memory becomes the older one, from which the words that still occur
+        are taken over."""
+        nonlocal known, older
+        found: list[tuple[list | None, list | None, list[int]]] = []
+        missing: set[bytes] = set()
+        get = known.get
         for data in texts:
             low = data.lower()
             # The library finds these before it splits words.
-            split.append(None if any(s in low for s in special) else low.split())
-        learn(set().union(*(p for p in split if p is not None)))
-        get = known.__getitem__
-        return [_ids(tok, [data.decode()])[0] if p is None else b"".join(map(get, p)) for data, p in zip(texts, split)]
+            if any(s in low for s in special):
+                found.append((None, None, []))
+                continue
+            split = low.split()
+            ids = list(map(get, split))
+            gaps = [k for k, v in enumerate(ids) if v is None] if None in ids else []
+            missing.update([split[k] for k in gaps])
+            found.append((split, ids, gaps))
+        learn(missing)
+        out = []
+        for data, (split, ids, gaps) in zip(texts, found):
+            if ids is None:
+                out.append(_ids(tok, [data.decode()])[0])
+                continue
+            for k in gaps:
+                ids[k] = known[split[k]]
+            out.append(b"".join(ids))
+        if len(known) > WORDS:
+            known, older = {}, known
+        return out
 
     size = max(max(tok.get_vocab().values()), end_id) + 1
     ends = np.zeros(size, bool)
@@ -245,18 +262,25 @@ def plan(at: np.ndarray, penalty: np.ndarray, length: int, each: float = EACH) -
     p, pen = at.tolist(), penalty.tolist()
     n = len(p)
     f, back = [0.0] * n, [0] * n
-    where = {x: k for k, x in enumerate(p)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    # Which candidates lie a power of two before each: found for all at once.
+    later, earlier = [], []
+    for w in [1 << k for k in range(length.bit_length()) if 1 << k <= length]:
+        i = np.searchsorted(at, at - w)
+        hit = at[i] == at - w
+        later.append(np.flatnonzero(hit))
+        earlier.append(i[hit])
+    later = np.concatenate(later)
+    o = np.argsort(later, kind="stable")
+    before, first = np.concatenate(earlier)[o].tolist(), np.searchsorted(later[o], np.arange(n + 1)).tolist()
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     for j in range(1, n):
         x = p[j]
         while p[queue[0][1]] < x - length:
             queue.popleft()
-        cost, i = queue[0]
-        best, b = cost + length - x, i
-        for w in powers:
-            i = where.get(x - w)
-            if i is not None and f[i] < best:
+        cost, b = queue[0]
+        best = cost + length - x
+        for i in before[first[j] : first[j + 1]]:
+            if f[i] < best:
                 best, b = f[i], i
         f[j] = best = best + pen[j] + each
         back[j] = b
@@ -295,18 +319,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
             flat = np.frombuffer(b"".join(h[1] for h in held), "<u4")
             lens = np.array([len(h[1]) // 4 for h in held])
             stop = np.cumsum(lens)
-            flags = ends[flat]
-            cuts = np.unique(np.concatenate([[0], stop, np.flatnonzero(flags) + 1]))
+            # Penalty of a cut before each token and at the end; none but these: 255.
+            mark = np.full(len(flat) + 1, 255, np.uint8)
+            mark[1:][ends[flat]] = SENTENCE
+            mark[stop] = np.minimum(mark[stop], INSIDE)  # where a document goes on
+            ended = np.array([h[2] + len(h[1]) // 4 == h[3] for h in held])
+            mark[stop[ended]] = mark[0] = mark[-1] = 0
+            cuts = np.flatnonzero(mark < 255)
             gap = np.diff(cuts)
             wide = np.flatnonzero(gap > grain)
             more = [np.arange(cuts[k] + grain, cuts[k + 1], grain) for k in wide.tolist()]
-            at = np.unique(np.concatenate([cuts, *more])) if more else cuts
-            pen = np.full(len(at), float(INSIDE))
-            pen[np.isin(at, np.flatnonzero(flags) + 1)] = SENTENCE
-            ended = np.array([h[2] + len(h[1]) // 4 == h[3] for h in held])
-            pen[np.isin(at, stop[ended])] = 0
-            pen[0] = pen[-1] = 0
-            chosen = at[plan(at, pen, length)]
+            if more:
+                mark[np.concatenate(more)] = INSIDE
+            at = np.flatnonzero(mark < 255)
+            chosen = at[plan(at, mark[at].astype(np.float64), length)]
             if not final:
                 # The stream goes on: keep the tail for the next block.
                 chosen = chosen[: max(2, np.searchsorted(chosen, chosen[-1] - 4 * length))]
