@@ -243,9 +243,11 @@ def _light(n: int):
 
         def often() -> pa.RecordBatch:
             tok = np.sort(np.concatenate(held))
-            runs = np.array(_cuts(tok)).reshape(-1, 2)
-            runs = runs[runs[:, 1] - runs[:, 0] >= OFTEN]
-            return pa.record_batch([pa.nulls(len(runs), pa.int64()), pa.nulls(len(runs), pa.decimal128(38, 0)), pa.nulls(len(runs), pa.int64()), _long(tok[runs[:, 0]]), pa.array(runs[:, 1] - runs[:, 0], pa.int64())], names=names)
+            edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            hits = np.diff(np.append(edge, len(tok)))
+            many = hits >= OFTEN
+            k = int(many.sum())
+            return pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.decimal128(38, 0)), pa.nulls(k, pa.int64()), _long(tok[edge[many]]), pa.array(hits[many], pa.int64())], names=names)
 
         for t in batches:
             ids = t.column(0)
