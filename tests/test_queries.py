@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from wavemill.plans import queries as plans
@@ -80,3 +81,32 @@ def test_scratch_is_shared_or_refused(spark, monkeypatch):
     Context.master = "local-cluster[2,1,1024]"
     with pytest.raises(RuntimeError):
         scratch.scratch_dir(Session())
+
+
+def test_portable_functions_round_as_sql(spark, db, tmp_path):
+    """Values whose ninth digit hangs on the last place of exp or on how ties are
+    rounded, and null."""
+    v = [619.52, 712.91, 861.0, 932.15, 245.13, 0.0, None]
+    rows = [(i, x) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, plans.queries()["portable_functions"](spark, str(tmp_path)).collect()))
+    other = db.cursor()
+    other.execute(f"create or replace temp view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(other.execute(plans.oracle_sql()["portable_functions"]).fetchall())
+    assert got == want and got[-1] == (6, *[None] * 5)
+
+
+def test_nearest_doubles():
+    """Known digits, and the kernels within one last place of them."""
+    from wavemill.functions import detmath as m
+
+    assert m.nearest("sin", 1e22) == -0.8522008497671888 and m.nearest("cos", 0.0) == 1.0
+    assert m.nearest("exp", 619.52 / 100) == 490.38951309349994 and m.nearest("ln", 2.0) == m.LN2
+    x = np.concatenate([np.linspace(0.01, 700, 400), np.linspace(1e6, 5e9, 100)])
+    for name in ("exp", "ln", "sin", "cos"):
+        at = x[x <= 700] if name == "exp" else x
+        n = np.array([m.nearest(name, float(t)) for t in at])
+        assert (np.abs(getattr(m, name)(at) - n) <= np.spacing(np.abs(n))).all()
+        if name in ("sin", "cos"):
+            flip = np.array([m.nearest(name, -float(t)) for t in at])
+            assert (flip == (-n if name == "sin" else n)).all()
